@@ -131,6 +131,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slots_of(ids: DataFrame, column: str = "doc_id", slots: int = 1 << 20) -> DataFrame:
+    """The hash slots that ids fall into: at most ``slots`` rows whatever the input, so small enough to broadcast.
+
+    A semi join with them passes all rows with such an id and few others; an exact join follows.
+    """
+    return ids.select(slot(column, slots).alias("slot")).distinct()
+
+
+def slot(column: str, slots: int = 1 << 20):
+    return F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables that end where a key ends, from batches sorted by key; a key's rows are never split over two tables."""
     held: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, by_batch, component_labels, cut, groups_of, mix, powers, signed, text_of
+from .common import WHITE, by_batch, component_labels, cut, groups_of, mix, powers, signed, slot, slots_of, text_of
 from .simhash import block_masks, runs_of
 
 PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -78,8 +78,28 @@ def described_lines(docs: DataFrame) -> DataFrame:
     return by_batch(text_of(docs), run, LINES)
 
 
-def edit_similarity(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether 1 - (word edits) / (words of the longer) is at least ``least``. Only a band as wide as the edits allowed is filled."""
+def edits(a: list[int], b: list[int]) -> int:
+    """Levenshtein distance of two sequences, a column of the table at a time as the bits of one number."""
+    if not a or not b:
+        return max(len(a), len(b))
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        plus, minus = (down | ~(across | up)) & full, up & across
+        distance += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = (minus | ~(vertical | plus)) & full, plus & vertical
+    return distance
+
+
+def similar(a: list[int], b: list[int], least: float) -> bool:
+    """Whether 1 - (word edits) / (words of the longer) is at least ``least``."""
     n, m = len(a), len(b)
     most = int((1 - least) * max(n, m) + 1e-9)
     if abs(n - m) > most:
@@ -90,23 +110,7 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     q = 0
     while q < min(n, m) - p and a[n - 1 - q] == b[m - 1 - q]:
         q += 1
-    a, b = a[p : n - q], b[p : m - q]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) <= most
-    far = most + 1
-    prev = [j if j <= most else far for j in range(m + 1)]
-    for i in range(1, n + 1):
-        low, high = max(1, i - most), min(m, i + most)
-        row = [far] * (m + 1)
-        row[0] = i if i <= most else far
-        x = a[i - 1]
-        for j in range(low, high + 1):
-            row[j] = min(prev[j - 1] + (x != b[j - 1]), prev[j] + 1, row[j - 1] + 1)
-        if min(row[max(0, low - 1) : high + 1]) > most:
-            return False
-        prev = row
-    return prev[m] <= most
+    return edits(a[p : n - q], b[p : m - q]) <= most
 
 
 def marked(nodes: DataFrame, k: int, masks: list[np.uint64]) -> DataFrame:
@@ -144,6 +148,7 @@ def marked(nodes: DataFrame, k: int, masks: list[np.uint64]) -> DataFrame:
 
 def words_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """h and the word hashes of its first occurrence, for nodes (h, doc_id, line)."""
+    few = docs.join(F.broadcast(slots_of(nodes)), slot("doc_id") == F.col("slot"), "left_semi")
     wanted = nodes.groupBy(F.col("doc_id").alias("c")).agg(F.collect_list(F.struct("line", "h")).alias("want"))
 
     def fetch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,28 +161,34 @@ def words_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 out.append(w[i:j].astype("<u4").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(out, pa.binary())], ["h", "words"])
 
-    return by_batch(text_of(docs).join(wanted, F.col("doc_id") == F.col("c")).select("text", "want"), fetch, "h long, words binary").dropDuplicates(["h"])
+    return by_batch(text_of(few).join(wanted, F.col("doc_id") == F.col("c")).select("text", "want"), fetch, "h long, words binary").dropDuplicates(["h"])
 
 
-def verified(groups: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each key's group, from (key, h, words)."""
+def verified(groups: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of a spanning forest of each key's group, from (key, h, fp, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key"):
-            keys, hs, raw = t.column("key").to_numpy(), t.column("h").to_numpy(), t.column("words")
+            keys, hs, fps, raw = t.column("key").to_numpy(), t.column("h").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("words")
             a, b = [], []
             for i, j in runs_of(keys):
                 ws = [np.frombuffer(raw[x].as_py(), "<u4").tolist() for x in range(i, j)]
-                trees: list[list[int]] = []
-                for x in range(j - i):
-                    met = []
-                    for tree in trees:  # one link to a tree is enough; trees that x links become one
-                        y = next((y for y in tree if edit_similarity(ws[x], ws[y], similarity)), None)
-                        if y is not None:
-                            met.append(tree)
+                root = list(range(j - i))
+
+                def find(x: int, root: list[int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for x in range(1, j - i):
+                    near = np.flatnonzero(np.bitwise_count(fps[i : i + x] ^ fps[i + x]) <= k).tolist()
+                    for y in near:
+                        p, q = find(x), find(y)
+                        if p != q and similar(ws[x], ws[y], similarity):
+                            root[max(p, q)] = min(p, q)
                             a.append(hs[i + x])
                             b.append(hs[i + y])
-                    trees = [tree for tree in trees if not any(tree is m for m in met)] + [[*(y for m in met for y in m), x]]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -192,8 +203,8 @@ def repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_wor
     # wider keys only where there are many nodes: groups stay small, and what is found is the same
     masks = block_masks(k, k + 1 if fuzzy.count() < 10_000_000 else k + 2)
     close = cut(marked(fuzzy, k, masks))
-    words = words_of(docs, nodes.join(close.select("h").distinct(), "h", "left_semi"))
-    edges = verified(close.join(words, "h").select("key", "h", "words"), similarity)
+    words = words_of(docs, cut(nodes.join(close.select("h").distinct(), "h", "left_semi").select("h", "doc_id", "line")))
+    edges = verified(close.join(words, "h").join(nodes.select("h", "fp"), "h").select("key", "h", "fp", "words"), k, similarity)
     roots = component_labels(edges)
     tied = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "doc_id", "line", F.coalesce("root", "h").alias("tree"))
     keeper = tied.groupBy("tree").agg(F.min(F.struct("doc_id", "line")).alias("keep"))
@@ -203,8 +214,12 @@ def repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_wor
 
 def without_repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
     """The documents with their columns, and n_lines and n_removed; the text without its repeated lines."""
-    gone = repeated_lines(docs, k, similarity, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
-    both = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    gone = cut(repeated_lines(docs, k, similarity, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone")))
+    slots = F.broadcast(slots_of(gone, "__doc"))
+    # only the texts that may lose a line are shuffled
+    touched = docs.join(slots, slot("doc_id") == F.col("slot"), "left_semi").join(gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    others = docs.join(slots, slot("doc_id") == F.col("slot"), "left_anti").withColumn("__gone", F.lit(None).cast("array<int>"))
+    both = touched.unionByName(others)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
