@@ -1,6 +1,371 @@
-"""All registered queries of the conversation-graph engine and their SQL."""
+"""All registered queries of the conversation-graph engine and the SQL that each is checked with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import graph as G
+from .operators import windows as W
+from .plans.flagship import conversation_graph
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+SLUG_SQL = "(CASE WHEN {s} = '' THEN 'untitled' ELSE {s} END)"
+
+
+def slug_sql(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return SLUG_SQL.format(s=s)
+
+
+def word_sql(x: str, words: str) -> str:
+    words = words.replace("'", "''")
+    return f"regexp_matches({x}, '(?i)\\b(?:{words})\\b')"
+
+
+# --- sources, previews, scalars -------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT 'conv-' || conv_id AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_ord,
+ CASE WHEN role IN ('user','assistant','system','tool') THEN role ELSE 'unknown' END AS role, {TRIM.format("text")} AS text FROM conversations WHERE {TRIM.format("text")} <> ''""")
+def turn_order(spark, d):
+    t = read(spark, d, "conversations").withColumn("text", T.trim_all(F.col("text"))).where("text <> ''")
+    role = F.when(F.col("role").isin("user", "assistant", "system", "tool"), F.col("role")).otherwise("unknown")
+    return t.select(F.concat(F.lit("conv-"), "conv_id").alias("source_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("turn_ord"), role.alias("role"), "text")
+
+
+@query("SELECT 'conv-' || conv_id AS source_id, string_agg('### ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def transcript(spark, d):
+    part = F.struct("turn", F.concat(F.lit("### "), "role", F.lit("\n"), "text").alias("t"))
+    g = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return g.select(F.concat(F.lit("conv-"), "conv_id").alias("source_id"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("transcript"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, sum(length('### ' || role || chr(10) || text)) + 2 * (count(*) - 1) AS chars FROM conversations GROUP BY conv_id),
+ t AS (SELECT count(*) AS conversations, sum(n)::BIGINT AS turns, (sum(chars) + 2 * (count(*) - 1))::BIGINT AS chars FROM c),
+ k AS (SELECT *, ceil(chars / 4.0)::BIGINT AS tokens FROM t),
+ m AS (SELECT *, tokens * 2 + conversations * 2800 + 1800 + ceil(0.12 * tokens::DOUBLE) AS i, ceil(0.35 * tokens::DOUBLE * 2) + ceil(0.08 * tokens::DOUBLE) AS o, ceil(0.35 * tokens::DOUBLE) AS e FROM k)
+ SELECT conversations, turns, chars, tokens, floor(((i * 2.5 + o * 15 + e * 0.13) / 1000000) * 10000 + 0.5) / 10000 AS cost_usd FROM m""")
+def import_preview(spark, d):
+    part = F.length(F.concat(F.lit("### "), "role", F.lit("\n"), "text"))
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), (F.sum(part) + 2 * (F.count("*") - 1)).alias("chars"))
+    t = c.agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"), (F.sum("chars") + 2 * (F.count("*") - 1)).alias("chars")).withColumn("tokens", F.ceil(F.col("chars") / 4).cast("long"))
+    k = F.col("tokens").cast("double")
+    i, o, e = k * 2 + F.col("conversations") * 2800 + 1800 + F.ceil(k * 0.12), F.ceil(k * 0.35 * 2) + F.ceil(k * 0.08), F.ceil(k * 0.35)
+    return t.withColumn("cost_usd", F.floor(((i * 2.5 + o * 15 + e * 0.13) / 1000000) * 10000 + 0.5) / 10000)
+
+
+@query("""SELECT conv_id, turn, lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor((h * 33) & 4294967295, c)), 36)) AS id FROM conversations""")
+def hash_id(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.hash_id(F.col("text")).alias("id"))
+
+
+@query(f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents")
+def slug(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
+
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+SINGULAR_SQL = """CASE WHEN t IN ('scoring', 'scores') THEN 'score' WHEN t = 'features' THEN 'feature' WHEN t = 'benchmarks' THEN 'benchmark' WHEN t = 'weights' THEN 'weight' WHEN t = 'tmobile' THEN 'mobile'
+ WHEN suffix(t, 'ies') AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN suffix(t, 's') AND length(t) > 4 AND NOT suffix(t, 'ss') THEN left(t, length(t) - 1) ELSE t END"""
+
+
+def tokens_sql(table: str, key: str, text: str) -> str:
+    """A relation (key, tokens): the significant tokens in order of first place."""
+    return f"""(WITH s AS (SELECT {key}, string_split({slug_sql(text)}, '-') AS w FROM {table}),
+ e AS (SELECT {key}, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM s),
+ n AS (SELECT {key}, {SINGULAR_SQL} AS t, i FROM e),
+ f AS (SELECT {key}, t, min(i) AS i FROM n WHERE (length(t) >= 3 OR regexp_matches(t, '^[0-9]+$')) AND NOT list_contains({STOP_SQL}, t) GROUP BY {key}, t)
+ SELECT {key}, list(t ORDER BY i) AS tokens FROM f GROUP BY {key})"""
+
+
+@query(f"SELECT p_partkey, array_to_string(tokens, ' ') AS tokens FROM {tokens_sql('part', 'p_partkey', 'p_name')}")
+def sig_tokens(spark, d):
+    t = read(spark, d, "part").select("p_partkey", T.significant_tokens(F.col("p_name")).alias("t"))
+    return t.where(F.size("t") > 0).select("p_partkey", F.array_join("t", " ").alias("tokens"))
+
+
+@query("""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[\\\\/:*?"<>|#^\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS u FROM pages),
+ t AS (SELECT page_id, regexp_replace(left(u, 96), '^\\s+|\\s+$', '', 'g') AS u FROM s) SELECT page_id, CASE WHEN u = '' THEN 'Untitled' ELSE u END AS name FROM t""".replace("\\\\s", "\\s"))
+def file_name(spark, d):
+    return read(spark, d, "pages").select("page_id", T.file_name(F.col("url")).alias("name"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 1200 THEN text ELSE regexp_replace(left(text, 1185), '\s+$', '') || chr(10) || chr(10) || '[truncated]' END AS cut, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
+def truncate(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.truncated(F.col("text"), 1200).alias("cut"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, left(regexp_replace(regexp_replace(text, 'sk-proj-[A-Za-z0-9_-]+', 'sk-proj-[redacted]', 'g'), 'sk-[A-Za-z0-9_-]{8,}', 'sk-[redacted]', 'g'), 1000) AS masked FROM documents")
+def mask_secrets(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.masked_secrets(F.col("text")).alias("masked"))
+
+
+# --- filters ---------------------------------------------------------------------------------------------------------
+
+CATEGORY_SQL = "CASE " + " ".join(f"WHEN {word_sql('text', w)} THEN '{n}'" for n, w in T.CATEGORY_RULES) + " ELSE 'other' END"
+CLASS_SQL = "CASE " + " ".join("WHEN " + " AND ".join([*(word_sql("text", p) for p in need), *("NOT " + word_sql("text", p) for p in bar)]) + f" THEN '{n}'" for n, need, bar in T.SOURCE_RULES)
+CLASS_SQL += " WHEN regexp_matches({t}, '(?i)^(?:%s)\\b') OR {w} THEN 'transactional_lookup' ELSE 'other' END" % T.LOOKUP_START
+
+
+@query(f"SELECT conv_id, turn, {CATEGORY_SQL} AS category FROM conversations")
+def review_category(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.review_category(F.col("text")).alias("category"))
+
+
+@query(f"SELECT conv_id, turn, {CLASS_SQL.format(t=TRIM.format('text'), w=word_sql('text', T.LOOKUP_TITLE))} AS class FROM conversations")
+def source_class(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.source_class(F.col("text"), F.col("text")).alias("class"))
+
+
+@query(r"""SELECT conv_id, turn, (CASE WHEN regexp_matches(text, '(?i)\.[a-z0-9]{1,8}$') OR regexp_matches(text, '[a-z][A-Z]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '\b[A-Z]{2,}\b') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(text, '\bThe\s+[A-Z][a-z]+\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END)::INT AS strength,
+ (CASE WHEN regexp_matches(text, '(?i)\bchunk\b') THEN 10 ELSE 0 END + CASE WHEN length(text) > 80 THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)[^a-z0-9 ._-]') THEN 2 ELSE 0 END)::INT AS noise,
+ regexp_matches(%s, '(?i)^(?:%s)\b') AS narrow FROM conversations""" % (TRIM.format("text"), T.ACTIONS))
+def name_strength(spark, d):
+    x = F.col("text")
+    return read(spark, d, "conversations").select("conv_id", "turn", T.name_strength(x).alias("strength"), T.label_noise(x).alias("noise"), T.narrow_action(x).alias("narrow"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 1 - l_discount AS confidence, CASE WHEN l_returnflag = 'R' THEN 'pattern' ELSE 'topic' END AS type FROM lineitem WHERE l_linenumber >= 1 AND 1 - l_discount >= CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 0.95 END")
+def eligible_items(spark, d):
+    t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 - F.col("l_discount")).alias("confidence"), F.when(F.col("l_returnflag") == "R", "pattern").otherwise("topic").alias("type"))
+    return t.where((F.col("l_linenumber") >= 1) & (F.col("confidence") >= F.when(F.col("type") == "pattern", F.lit(0.9)).otherwise(F.lit(0.95))))
+
+
+# --- windows ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_returnflag, l_linenumber, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount, l_quantity DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END")
+def item_limit(spark, d):
+    limit = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    return W.top_per_group(read(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], [F.col("l_discount"), F.desc("l_quantity"), F.col("l_linenumber")], limit).select("l_orderkey", "l_returnflag", "l_linenumber", "rank")
+
+
+@query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS r FROM part) WHERE r = 1")
+def representative(spark, d):
+    return W.first_of(read(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), F.desc("p_size"), F.col("p_partkey")]).select("p_brand", "p_partkey", "p_name")
+
+
+@query("""SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END, l_discount, l_quantity DESC, l_partkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
+def anchor_pick(spark, d):
+    kind = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    return W.top_per_group(read(spark, d, "lineitem"), ["l_orderkey"], [kind, F.col("l_discount"), F.desc("l_quantity"), F.col("l_partkey"), F.col("l_linenumber")], 1).select("l_orderkey", "l_partkey")
+
+
+LINKS_SQL = "(SELECT DISTINCT l_orderkey AS source, l_partkey AS node, p_type AS type, p_retailprice AS price FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    parts = read(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_retailprice").alias("price"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("node")).distinct().join(parts, F.col("node") == F.col("p_partkey")).drop("p_partkey")
+
+
+@query(f"SELECT source, type, node, rank::INT AS rank, greatest(n - 2, 0) AS removed FROM (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY price DESC, node) AS rank, count(*) OVER (PARTITION BY source, type) AS n FROM {LINKS_SQL}) WHERE rank <= 2")
+def cap_links(spark, d):
+    return W.capped_links(links(spark, d), ["source", "type"], [F.desc("price"), F.col("node")], 2).select("source", "type", "node", "rank", "removed")
+
+
+@query("""SELECT p_partkey, p_type, CASE WHEN n = 1 THEN 0.85::DOUBLE ELSE floor((0.99::DOUBLE - (r - 1)::DOUBLE / (n - 1)::DOUBLE * 0.44::DOUBLE) * 100 + 0.5) / 100 END AS rescaled
+ FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_retailprice DESC, p_name, p_partkey) AS r, count(*) OVER (PARTITION BY p_type) AS n FROM part)""")
+def rescale(spark, d):
+    return W.rescaled(read(spark, d, "part"), "p_type", [F.desc("p_size"), F.desc("p_retailprice"), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "p_type", "rescaled")
+
+
+@query("SELECT event_id, user_id, event_type, lead(ts) OVER w AS completed_at, epoch_ms(lead(ts) OVER w) - epoch_ms(ts) AS duration_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def phase_timings(spark, d):
+    return W.phase_timings(read(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "event_type", "completed_at", "duration_ms")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_orderpriority LIKE '1%' THEN 5 WHEN o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%' THEN 3 ELSE 0 END")
+def render_caps(spark, d):
+    p = F.col("o_orderpriority")
+    cap = F.when(p.startswith("1"), 5).when(p.startswith("2") | p.startswith("3"), 3).otherwise(0)
+    return W.top_per_group(read(spark, d, "orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")], cap).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def dedupe_first(spark, d):
+    return W.first_of(read(spark, d, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+# --- aggregations ----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH i AS (SELECT l_orderkey AS source, p_type AS type, l_linenumber AS ord, p_brand AS label, 1 - l_discount AS confidence, p_name AS quote FROM lineitem JOIN part ON l_partkey = p_partkey),
+ q AS (SELECT source, type, lower(label) AS key, quote, min(ord) AS o FROM i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, type, key ORDER BY o, quote) AS n FROM q),
+ t AS (SELECT source, type, key, string_agg(quote, ' | ' ORDER BY n) AS quotes FROM r WHERE n <= 5 GROUP BY ALL),
+ g AS (SELECT source, type, lower(label) AS key, arg_min(label, ord) AS label, max(confidence) AS confidence, count(*) AS n_items FROM i GROUP BY ALL)
+ SELECT g.source, g.type, label, confidence, n_items, quotes FROM g JOIN t USING (source, type, key)""")
+def merge_items(spark, d):
+    p = read(spark, d, "part").select("p_partkey", F.col("p_type").alias("type"), F.col("p_brand").alias("label"), F.col("p_name").alias("quote"))
+    i = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("ord"), (1 - F.col("l_discount")).alias("confidence"), "l_partkey")
+    return G.merged_items(i.join(p, F.col("l_partkey") == F.col("p_partkey")))
+
+
+@query("SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS sources, max(1 - l_discount) AS confidence, count(DISTINCT l_orderkey) >= 2 AND max(1 - l_discount) >= 0.78 AS promoted FROM lineitem GROUP BY l_partkey")
+def cluster_stats(spark, d):
+    g = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count_distinct("l_orderkey").alias("sources"), F.max(1 - F.col("l_discount")).alias("confidence"))
+    return g.withColumn("promoted", (F.col("sources") >= 2) & (F.col("confidence") >= 0.78))
+
+
+@query("SELECT event_type AS phase, count(*) FILTER (NOT cached) AS calls, count(*) FILTER (cached) AS hits, sum(CASE WHEN cached THEN 0 ELSE tokens END)::BIGINT AS tokens FROM (SELECT event_type, event_id % 5 = 0 AS cached, floor(value * 100)::BIGINT AS tokens FROM events) GROUP BY ROLLUP (event_type)")
+def usage_by_phase(spark, d):
+    e = read(spark, d, "events").select(F.col("event_type").alias("phase"), (F.col("event_id") % 5 == 0).alias("cached"), F.floor(F.col("value") * 100).cast("long").alias("n"))
+    return e.rollup("phase").agg(F.count_if(~F.col("cached")).alias("calls"), F.count_if("cached").alias("hits"), F.sum(F.when(F.col("cached"), 0).otherwise(F.col("n"))).alias("tokens"))
+
+
+NODE_LINKS_SQL = f"""(SELECT node, other, other_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY node, other_type ORDER BY price DESC, other) AS rank FROM (
+ SELECT DISTINCT a.node, b.node AS other, b.type AS other_type, b.price FROM {LINKS_SQL} a JOIN {LINKS_SQL} b ON a.source = b.source AND a.node <> b.node)) WHERE rank <= 2)"""
+
+
+def node_links(spark: SparkSession, d: str) -> DataFrame:
+    return G.cooccurrence(links(spark, d), "source", "node", "type", ["price"], 2)
+
+
+@query(f"SELECT node, other, other_type, rank::INT AS rank FROM {NODE_LINKS_SQL}")
+def cooccurrence(spark, d):
+    return node_links(spark, d).select("node", "other", "other_type", "rank")
+
+
+@query(f"SELECT node, count(*) AS degree FROM (SELECT node FROM {LINKS_SQL} UNION ALL SELECT node FROM {NODE_LINKS_SQL} UNION ALL SELECT other FROM {NODE_LINKS_SQL}) GROUP BY node")
+def degree(spark, d):
+    return G.degrees(links(spark, d), node_links(spark, d))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_discount < 0.02) SELECT count(*) AS visible, count(*) FILTER (s.node IS NULL) AS isolated, count(*) FILTER (p_type = (SELECT min(p_type) FROM part)) AS self_model,
+ floor(count(*) FILTER (p_size > 25)::DOUBLE / count(*)::DOUBLE * 100 + 0.5) / 100 AS ratio FROM part LEFT JOIN s ON p_partkey = s.node""")
+def graph_stats(spark, d):
+    s = read(spark, d, "lineitem").where("l_discount < 0.02").select(F.col("l_partkey").alias("node")).distinct()
+    p = read(spark, d, "part")
+    first = p.agg(F.min("p_type").alias("first_type"))
+    t = p.join(s, F.col("p_partkey") == F.col("node"), "left").join(F.broadcast(first), F.col("p_type") == F.col("first_type"), "left")
+    return t.agg(F.count("*").alias("visible"), F.count_if(F.col("node").isNull()).alias("isolated"), F.count_if(F.col("first_type").isNotNull()).alias("self_model"), (F.floor(F.count_if(F.col("p_size") > 25).cast("double") / F.count("*").cast("double") * 100 + 0.5) / 100).alias("ratio"))
+
+
+@query("""WITH e AS (SELECT unnest(['click', 'view', 'purchase', 'none']) AS kind) SELECT kind, count(event_id) AS n, least(count(event_id), 5) AS rendered FROM e LEFT JOIN events ON event_type = kind GROUP BY kind""")
+def type_counts(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in ("click", "view", "purchase", "none")], "kind string")
+    n = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("c"))
+    n = F.broadcast(kinds).join(n, F.col("kind") == F.col("event_type"), "left").withColumn("n", F.coalesce("c", F.lit(0)))
+    return n.select("kind", "n", F.least("n", F.lit(5)).alias("rendered"))
+
+
+# --- joins -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH n AS (SELECT key, max(p_partkey) AS node FROM (SELECT p_partkey, 'b:' || p_brand || ':' || p_size AS key FROM part UNION ALL SELECT p_partkey, 't:' || {slug_sql('p_type')} FROM part WHERE p_size > 45) GROUP BY key),
+ p AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_quantity::INT AS id, 0 AS key_ord, 'b:' || p_brand || ':' || l_quantity::INT AS key FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_quantity::INT, 1, 't:' || {slug_sql('p_type')} FROM lineitem JOIN part ON l_partkey = p_partkey)
+ SELECT id, arg_min(key_ord, key_ord)::INT AS key_ord, arg_min(p.key, key_ord) AS key, arg_min(node, key_ord) AS node FROM p JOIN n ON p.key = n.key GROUP BY id""")
+def key_match(spark, d):
+    part = read(spark, d, "part")
+    by_type = F.concat(F.lit("t:"), T.slug(F.col("p_type")))
+    node_keys = F.array_compact(F.array(F.concat(F.lit("b:"), "p_brand", F.lit(":"), "p_size"), F.when(F.col("p_size") > 45, by_type)))
+    probe = read(spark, d, "lineitem").join(part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    probe = probe.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int")).alias("id"), F.array(F.concat(F.lit("b:"), "p_brand", F.lit(":"), F.col("l_quantity").cast("int")), by_type).alias("keys"))
+    return G.first_key_match(probe, F.col("keys"), part.select("p_partkey", node_keys.alias("keys")), F.col("keys"), "id", "p_partkey")
+
+
+SIMILAR_SQL = """(SELECT a.vec_id AS id, b.vec_id AS other, b.label AS other_type, a.label AS type, floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) / 1000000 AS similarity
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"""
+
+
+@query(f"SELECT id, other_type, other, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, other_type ORDER BY similarity DESC, other) AS rank FROM {SIMILAR_SQL} WHERE similarity >= 0.2) WHERE rank <= 2")
+def similarity_topk(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
+    return G.grid_neighbours(v, 2, 0.2)
+
+
+@query(f"SELECT id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM {SIMILAR_SQL} WHERE type = other_type AND similarity >= 0.25) WHERE r = 1")
+def semantic_match(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
+    best = G.grid_neighbours(v, 1, 0.25).join(v.select(F.col("id").alias("i"), "type"), F.col("id") == F.col("i")).where("type = other_type")
+    return best.select("id", "other", "similarity")
+
+
+@query(f"""WITH t AS (SELECT p.p_partkey AS id, p_brand AS type, tokens FROM {tokens_sql('part', 'p_partkey', 'p_name')} k JOIN part p USING (p_partkey)),
+ j AS (SELECT a.id AS a, b.id AS b, a.type, len(list_intersect(a.tokens, b.tokens)) AS n_shared, len(list_distinct(list_concat(a.tokens, b.tokens))) AS n_all FROM t a JOIN t b ON a.type = b.type AND a.id < b.id)
+ SELECT a, b, type, n_shared, n_all FROM j WHERE n_shared >= 2 AND n_shared / n_all >= 0.25""")
+def jaccard_pairs(spark, d):
+    t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), T.significant_tokens(F.col("p_name")).alias("tokens"))
+    return G.token_pairs(t)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def reject_anti(spark, d):
+    return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, p.toxic, -1) AS value, l.doc_id IS NOT NULL AS direct FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN labels p ON d.doc_id + 1 = p.doc_id")
+def evidence_source(spark, d):
+    docs, lab = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels")
+    a = lab.select(F.col("doc_id").alias("la"), "quality")
+    b = lab.select((F.col("doc_id") - 1).alias("lb"), "toxic")
+    j = docs.join(a, F.col("doc_id") == F.col("la"), "left").join(b, F.col("doc_id") == F.col("lb"), "left")
+    return j.select("doc_id", F.coalesce("quality", "toxic", F.lit(-1)).alias("value"), F.col("la").isNotNull().alias("direct"))
+
+
+@query("SELECT source, count(*) FILTER (l.quality IS NOT NULL) AS hits, count(*) FILTER (l.quality IS NULL) AS misses FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def cache_probe(spark, d):
+    j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return j.groupBy("source").agg(F.count_if(F.col("quality").isNotNull()).alias("hits"), F.count_if(F.col("quality").isNull()).alias("misses"))
+
+
+@query("""WITH x AS (SELECT d.doc_id AS path, coalesce(quality, 1) = 1 AS managed, coalesce(toxic, 0) = 1 AS protected, CASE WHEN d.doc_id % 7 = 0 THEN 'review_item' ELSE 'note' END AS kind FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 2 = 0),
+ n AS (SELECT doc_id AS path, doc_id % 5 = 0 AS create_only FROM documents WHERE doc_id % 3 = 0)
+ SELECT coalesce(n.path, x.path) AS path, CASE WHEN n.path IS NULL AND managed AND (NOT protected OR kind = 'review_item') THEN 'delete' WHEN n.path IS NULL THEN 'keep' WHEN x.path IS NULL THEN 'create'
+ WHEN create_only THEN 'skip_create_only' WHEN protected THEN 'skip_protected' WHEN NOT managed THEN 'skip_unmanaged' ELSE 'update' END AS action FROM x FULL OUTER JOIN n ON x.path = n.path""")
+def file_merge(spark, d):
+    docs, lab = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").withColumnRenamed("doc_id", "l")
+    kind = F.when(F.col("doc_id") % 7 == 0, "review_item").otherwise("note")
+    x = docs.where("doc_id % 2 = 0").join(lab, F.col("doc_id") == F.col("l"), "left").select(F.col("doc_id").alias("path"), (F.coalesce("quality", F.lit(1)) == 1).alias("managed"), (F.coalesce("toxic", F.lit(0)) == 1).alias("protected"), kind.alias("kind"))
+    n = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("path"), (F.col("doc_id") % 5 == 0).alias("create_only"))
+    return G.merge_actions(x, n)
+
+
+@query("""SELECT 'source_' || l_orderkey || '->part_' || l_partkey AS id, max(1 - l_discount) AS confidence, least(count(*), 3) AS n_evidence FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey""")
+def edges(spark, d):
+    j = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    g = j.groupBy("l_orderkey", "l_partkey").agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.least(F.count("*"), F.lit(3)).alias("n_evidence"))
+    return g.select(F.concat(F.lit("source_"), "l_orderkey", F.lit("->part_"), "l_partkey").alias("id"), "confidence", "n_evidence")
+
+
+@query("""SELECT l_orderkey, l_partkey, rank::INT AS rank FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_partkey, l_linenumber) AS rank FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) WHERE rank <= 8""")
+def source_only(spark, d):
+    known = read(spark, d, "part").where("p_size > 10").select("p_partkey")
+    rest = read(spark, d, "lineitem").join(known, F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+    return W.top_per_group(rest, ["l_orderkey"], [F.col("l_discount"), F.col("l_partkey"), F.col("l_linenumber")], 8).select("l_orderkey", "l_partkey", "rank")
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text) + 80 AS n FROM conversations),
+ r AS (SELECT conv_id, i, turn, n AS used, 0 AS chunk FROM t WHERE i = 1 UNION ALL
+ SELECT t.conv_id, t.i, t.turn, CASE WHEN r.used + t.n > 2000 THEN t.n ELSE r.used + t.n END, CASE WHEN r.used + t.n > 2000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+ SELECT conv_id AS source_id, turn AS turn_ord, chunk::INT AS chunk FROM r""")
+def chunk_split(spark, d):
+    return G.chunked(read(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("turn_ord"), "text"), 2000)
+
+
+@query()
+def flagship_graph(spark, d):
+    return conversation_graph(spark, d)
