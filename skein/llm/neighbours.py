@@ -162,6 +162,9 @@ def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int,
 def nearest(vectors: DataFrame, k: int = 20, degree: int = 32, block: int = 512, near: int = 4, rounds: int = 2, beam: int = 96, hops: int = 3, divisor: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``divisor``."""
     rows = cut(usable(vectors))
+    none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if rows.isEmpty():
+        return none
     key = F.xxhash64("v")
     classed = rows.withColumn("node", F.min("vec_id").over(Window.partitionBy(key, "v"))) if rows.select("v").distinct().count() < rows.count() else rows.withColumn("node", F.col("vec_id"))
     classed = cut(classed)
@@ -176,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 20, degree: int = 32, block: int = 512,
     queries = cut(homes.join(asks, "node", "left_semi"))
     found = search(graph, queries, nodes, beam, hops)
     if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     # nodes back to rows: of equal vectors the k + 1 smallest ids are enough
     ranked = Window.partitionBy("node").orderBy("vec_id")
     members = classed.select("node", "vec_id", F.row_number().over(ranked).alias("m")).where(F.col("m") <= k + 1)
