@@ -86,8 +86,8 @@ def first_graph(blocked: DataFrame, k: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         x, ids = matrix(t.column("v")), t.column("node").to_numpy()
         out_s, out_i = [], []
-        for a in range(0, len(ids), 1024):
-            s = x[a : a + 1024] @ x.T
+        for a in range(0, len(ids), 256):
+            s = x[a : a + 256] @ x.T
             s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
             s, i = best(s, ids, k)
             out_s.append(s)
@@ -100,10 +100,11 @@ def first_graph(blocked: DataFrame, k: int) -> DataFrame:
 
 
 def merged(rows: DataFrame, k: int) -> DataFrame:
-    """One list a node: the best k of its lists."""
-    flat = rows.groupBy("node").agg(F.flatten(F.collect_list(F.arrays_zip("sims", "near"))).alias("z"))
-    top = F.slice(F.array_sort(F.array_distinct("z"), lambda a, b: F.when(a["sims"] > b["sims"], -1).when(a["sims"] < b["sims"], 1).when(a["near"] < b["near"], -1).when(a["near"] > b["near"], 1).otherwise(0)), 1, k)
-    return flat.select("node", top.alias("z")).select("node", F.col("z.near").alias("near"), F.col("z.sims").alias("sims"))
+    """One list a node: the best k of its lists, each neighbour once."""
+    flat = rows.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("near", "sims")))).alias("z"))
+    once = F.filter("z", lambda x, i: (i == 0) | (F.get("z", i - 1)["near"] != x["near"]))
+    top = F.slice(F.array_sort(F.transform(once, lambda x: F.struct((-x["sims"]).alias("far"), x["near"].alias("near")))), 1, k)
+    return flat.select("node", top.alias("z")).select("node", F.col("z.near").alias("near"), F.transform("z.far", lambda x: -x).alias("sims"))
 
 
 def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own: bool) -> DataFrame:
@@ -116,10 +117,10 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
         x, ids = matrix(left.column("v")), left.column("node").to_numpy()
         y, cs = matrix(right.column("v")), right.column("c").to_numpy()
         out_s, out_i = [], []
-        for a in range(0, len(ids), 256):
-            s = x[a : a + 256] @ y.T
+        for a in range(0, len(ids), 64):
+            s = x[a : a + 64] @ y.T
             if not own:
-                s[ids[a : a + 256, None] == cs[None, :]] = -np.inf
+                s[ids[a : a + 64, None] == cs[None, :]] = -np.inf
             s, i = best(s, cs, k)
             out_s.append(s)
             out_i.append(i)
@@ -129,37 +130,37 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
     return members.select(F.col("b").alias("block"), F.col("node").alias("node"), F.col("v").alias("v")).groupBy("block").cogroup(candidates.groupBy("asker")).applyInArrow(run, GRAPH)
 
 
-def descend(graph: DataFrame, homes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """One round: neighbours of neighbours, either way, meet; each node keeps the best k."""
-    edges = graph.select("node", F.explode("near").alias("to"))
+def descend(graph: DataFrame, homes: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
+    """One round: the ``width`` nearest neighbours of the ``width`` nearest neighbours, either way, meet; each node keeps the best k of these and its own."""
+    edges = graph.select("node", F.explode(F.slice("near", 1, width)).alias("to"))
     both = edges.union(edges.select("to", "node")).distinct()
     of = both.join(homes.select("node", "b"), "node").select("b", F.col("to").alias("via")).distinct()
-    asked = of.join(edges.withColumnRenamed("node", "via"), "via").select("b", F.col("to").alias("c")).union(of.select("b", F.col("via").alias("c"))).distinct()
-    return meet(homes, asked, vectors, k, False)
+    asked = of.join(edges.withColumnRenamed("node", "via"), "via").select("b", F.col("to").alias("c")).distinct()
+    return merged(meet(homes, asked, vectors, k, False).union(graph), k)
 
 
-def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int, hops: int) -> DataFrame:
-    """Greedy search from each query's own node: node, near, sims of the ``beam`` best met, its own node among them."""
-    state = queries.select("b", "node", "v").join(graph, "node").select("b", "node", "v", F.concat(F.array("node"), "near").alias("near"))
-    found, done = None, None
+def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int, hops: int, expand: int) -> DataFrame:
+    """Greedy search from each query's own node: node, near, sims of the ``beam`` best met, its own node among them.
+
+    Each hop expands the ``expand`` best nodes not yet expanded; it ends when all of a query's beam have been, or after ``hops``.
+    """
+    own = F.aggregate(F.zip_with("v", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    start = queries.join(graph, "node").select("node", F.concat(F.array("node"), "near").alias("near"), F.concat(F.array(own), "sims").alias("sims"))
+    start = queries.select("node").join(start, "node", "left").select("node", F.coalesce("near", F.array("node")).alias("near"), "sims")
+    state = cut(start.withColumn("done", F.array("node")))
     for _ in range(hops):
-        frontier = state.select("b", "node", F.explode("near").alias("via"))
-        if done is not None:
-            frontier = frontier.join(done, ["node", "via"], "left_anti")
-        frontier = cut(frontier)
-        if frontier.isEmpty():
+        ahead = state.withColumn("now", F.slice(F.array_except("near", "done"), 1, expand))
+        frontier = cut(ahead.withColumn("done", F.array_union("done", "now")))
+        if frontier.where(F.size("now") > 0).isEmpty():
             break
-        via = frontier.select("b", "via").distinct()
-        seen = found.join(queries.select("node", "b"), "node").select("b", F.explode("near").alias("c")) if found is not None else frontier.select("b", F.col("via").alias("c"))
-        asked = via.join(graph.select(F.col("node").alias("via"), "near"), "via").select("b", F.explode("near").alias("c")).union(seen).union(via.select("b", F.col("via").alias("c"))).distinct()
-        found = cut(meet(queries, asked, vectors, beam, True))
-        now = frontier.select("node", "via")
-        done = now if done is None else done.union(now)
-        state = queries.select("b", "node", "v").join(found, "node").select("b", "node", "v", "near")
-    return found
+        via = frontier.join(queries.select("node", "b"), "node").select("b", F.explode("now").alias("via")).distinct()
+        asked = via.join(graph.select(F.col("node").alias("via"), "near"), "via").select("b", F.explode("near").alias("c")).distinct()
+        met = merged(meet(queries, asked, vectors, beam, True).union(frontier.select("node", "near", "sims")), beam)
+        state = cut(met.join(frontier.select("node", "done"), "node"))
+    return state.select("node", "near", "sims")
 
 
-def nearest(vectors: DataFrame, k: int = 20, degree: int = 32, block: int = 512, near: int = 4, rounds: int = 2, beam: int = 96, hops: int = 3, divisor: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512, near: int = 4, rounds: int = 2, width: int = 10, beam: int = 64, hops: int = 3, expand: int = 12, divisor: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``divisor``."""
     rows = cut(usable(vectors))
     none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -174,18 +175,19 @@ def nearest(vectors: DataFrame, k: int = 20, degree: int = 32, block: int = 512,
     homes = blocked.select("node", "v", F.col("blocks")[0].alias("b"))
     graph = cut(first_graph(blocked, degree))
     for _ in range(rounds):
-        graph = cut(descend(graph, homes, nodes, degree))
+        graph = cut(descend(graph, homes, nodes, degree, width))
     asks = classed.where(F.col("vec_id") % divisor == 0).select("node").distinct()
     queries = cut(homes.join(asks, "node", "left_semi"))
-    found = search(graph, queries, nodes, beam, hops)
-    if found is None:
-        return none
+    found = search(graph, queries, nodes, beam, hops, expand)
     # nodes back to rows: of equal vectors the k + 1 smallest ids are enough
     ranked = Window.partitionBy("node").orderBy("vec_id")
     members = classed.select("node", "vec_id", F.row_number().over(ranked).alias("m")).where(F.col("m") <= k + 1)
     pairs = found.select("node", F.explode(F.arrays_zip("near", "sims")).alias("z")).select("node", F.col("z.near").alias("c"), F.col("z.sims").alias("score"))
+    # a few more than k, scored again in double precision from the original vectors, term by term
     best_k = Window.partitionBy("node").orderBy(F.desc("score"), "c")
-    pairs = pairs.withColumn("r", F.row_number().over(best_k)).where(F.col("r") <= k + 1).drop("r")
+    pairs = pairs.withColumn("r", F.row_number().over(best_k)).where(F.col("r") <= k + 5).select("node", "c")
+    both = pairs.join(nodes.withColumnRenamed("v", "x"), "node").join(nodes.select(F.col("node").alias("c"), F.col("v").alias("y")), "c")
+    pairs = both.select("node", "c", F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score"))
     hits = pairs.join(members.select(F.col("node").alias("c"), "vec_id"), "c").select("node", "vec_id", "score")
     ids = classed.where(F.col("vec_id") % divisor == 0).select(F.col("vec_id").alias("query_id"), "node")
     out = ids.join(hits, "node").where("query_id <> vec_id")
