@@ -131,6 +131,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of one row a group, ready to be joined to all rows: broadcast if it has at most ``most`` rows, so that a
+    group's rows stay where they are; else as it is, for a join that splits skewed partitions."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def slots_of(ids: DataFrame, column: str = "doc_id", slots: int = 1 << 20) -> DataFrame:
     """The hash slots that ids fall into: at most ``slots`` rows whatever the input, so small enough to broadcast.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, beside, cut
 
 BITS, LEVELS = 15, 4
 
@@ -57,7 +57,7 @@ def mix_sources(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
     plan = cut(plan)
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        here = sized.join(plan.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s")))
+        here = sized.join(beside(plan.select(F.col("source").alias("s"), "low")), F.col("source").eqNullSafe(F.col("s")))
         if level:  # only the boundary bucket
             here = here.where(F.shiftright("h", shift + BITS) == F.shiftright("low", shift + BITS))
         hist = here.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
@@ -72,11 +72,11 @@ def mix_sources(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
         plan = plan.select("source", "source_size", "target", "copies", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce("to", past).alias("low"))
         plan = cut(plan)
     # the one document beyond the threshold that fills what is left best, where it brings the sum nearer
-    beyond = sized.join(plan.select(F.col("source").alias("s"), "low", "left"), F.col("source").eqNullSafe(F.col("s"))).where("h >= low")
+    beyond = sized.join(beside(plan.select(F.col("source").alias("s"), "low", "left")), F.col("source").eqNullSafe(F.col("s"))).where("h >= low")
     last = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "h", "size")).alias("last"), F.first("left").alias("gap")).where("last.off < gap")
     plan = plan.join(last.select(F.col("source").alias("s"), F.col("last.h").alias("extra")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.withColumnRenamed("source", "s")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    plan = cut(plan.withColumnRenamed("source", "s"))
+    out = sized.join(beside(plan), F.col("source").eqNullSafe(F.col("s")))
     copies = F.col("copies") + F.when((F.col("h") < F.col("low")) | (F.coalesce(F.col("h") == F.col("extra"), F.lit(False))), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(copies, F.lit(max_repeats))).cast("long").alias("taken"))
 

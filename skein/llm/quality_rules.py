@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, text_of
+from .common import beside, by_batch, cut, text_of
 
 GAMMA = 1.04
 SYMBOLS = b"#*$%&|<>"
@@ -105,8 +105,8 @@ def fences(sketch: DataFrame, spread: float = 3.0) -> DataFrame:
 def judge(docs: DataFrame, spread: float = 3.0) -> DataFrame:
     """doc_id, the five counts, base_failed, kept, and each signal with its fence."""
     marked = cut(signals(docs))
-    limits = fences(sketches(marked), spread).withColumnsRenamed({"lang": "l", "source": "s"})
-    both = marked.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    limits = cut(fences(sketches(marked), spread).withColumnsRenamed({"lang": "l", "source": "s"}))
+    both = marked.join(beside(limits), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = base == F.lit(False)
     for s in SIGNALS:
