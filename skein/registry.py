@@ -193,7 +193,7 @@ def rescale(spark, d):
     return W.rescaled(read(spark, d, "part"), "p_type", [F.desc("p_size"), F.desc("p_retailprice"), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "p_type", "rescaled")
 
 
-@query("SELECT event_id, user_id, event_type, lead(ts) OVER w AS completed_at, epoch_ms(lead(ts) OVER w) - epoch_ms(ts) AS duration_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("SELECT event_id, user_id, event_type, lead(ts) OVER w AS completed_at, epoch_us(lead(ts) OVER w) // 1000 - epoch_us(ts) // 1000 AS duration_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def phase_timings(spark, d):
     return W.phase_timings(read(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "event_type", "completed_at", "duration_ms")
 
