@@ -369,3 +369,6 @@ def chunk_split(spark, d):
 @query()
 def flagship_graph(spark, d):
     return conversation_graph(spark, d)
+
+
+from . import exchange_queries as exchange_queries  # noqa: E402  adds its queries to the tables above
