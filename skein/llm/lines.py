@@ -1,13 +1,18 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
+"""Fuzzy line dedup: prefix filter over rare words, edit similarity, one occurrence a group.
 
 A line is normalised (ASCII lower case, ASCII punctuation and white space aside). Equal normalised lines are one node with its
-first occurrence. Nodes of ``min_words`` words or more have a SimHash of their words; those within ``k`` bits that meet
-on a pigeonhole block are linked if their word sequences' edit similarity is at least ``similarity``. Of each connected
-group the first occurrence (smallest doc_id, then line) stays.
+first occurrence. Nodes of ``min_words`` words or more are linked if their word sequences' edit similarity is at least
+``similarity``. Of each connected group the first occurrence (smallest doc_id, then line) stays.
 
-A block's candidates never leave as pairs. First only the nodes that have a close partner in a block, and no
-earlier block in common with it, are marked; then the words of the marked nodes alone are fetched, and each block's group is
-verified in one task, where pairs that are already connected are passed over, so that it reports a spanning forest.
+No pair is lost before the edit check: one edit takes at most one word from what two lines share, so lines of n <= m words
+and at most e = (1 - similarity) m edits share m - e words, and in any one order of all words the first n - (m - e) + 1 words
+of both have one in common. Each line is sent to the words of its prefix, rare words first. The order is taken from a sample
+of documents, as it decides the speed only. In a word's group, pairs are passed over whose lengths are too far apart, whose
+parity sketches (each word flips one of 128 bits) differ in more bits than the edits could flip, or that share an earlier key.
+
+A group's candidates never leave as pairs: only the nodes that have a candidate in it are marked; then the words of the marked
+nodes alone are fetched, and each group is verified in one task, where pairs that are already connected are passed over, so
+that it reports a spanning forest.
 
 Defined cases: lines without words always stay; null texts have no lines and stay as they are; a repeated row is treated like its
 twin; an empty table gives no rows; other columns are ignored (and kept by ``without_repeated_lines``).
@@ -23,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, by_batch, component_labels, cut, groups_of, mix, powers, signed, slot, slots_of, text_of
-from .simhash import block_masks, runs_of
+from .simhash import runs_of
 
 PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-LINES = "doc_id long, line int, h long, fp long, n int"
+LINES = "doc_id long, line int, h long, n int, low long, high long, keys binary"
+SLOTS = 1 << 20
 
 
 def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,33 +53,68 @@ def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(np.flatnonzero(a == 10), starts)
 
 
-def described(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line with words: its number, a hash of its words in order, its SimHash and its number of words."""
+def most_edits(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """The edits that a line and a shorter one may be apart."""
+    return np.floor((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+def hashed_lines(hashes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line with words: a hash of its words in order, and its number of words."""
     if not len(hashes):
-        return line, hashes, hashes, line
+        return hashes, line
     at = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
     n = np.diff(np.r_[at, len(line)])
     up, down = powers(len(hashes))
     with np.errstate(over="ignore"):
-        h = mix(np.add.reduceat(hashes * up[: len(hashes)], at) * down[at] + n.astype(np.uint64))
-    fps = np.zeros(len(at), np.uint64)
-    first = 0
-    while first < len(at):  # some 8192 words at a time
-        last = max(first + 1, int(np.searchsorted(at, at[first] + 8192, "right")) - 1) if at[-1] > at[first] + 8192 else len(at)
-        words = hashes[at[first] : at[last] if last < len(at) else len(hashes)]
-        bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, at[first:last] - at[first], axis=0, dtype=np.int32)
-        fps[first:last] = np.packbits(2 * sums > n[first:last, None], axis=1, bitorder="little").view("<u8").ravel()
-        first = last
-    return line[at], h, fps, n
-
-
-def described_lines(docs: DataFrame) -> DataFrame:
+        return mix(np.add.reduceat(hashes * up[: len(hashes)], at) * down[at] + n.astype(np.uint64)), n
+
+
+def described(hashes: np.ndarray, line: np.ndarray, ranks: np.ndarray, similarity: float, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each line with words: its number, a hash of its words in order, its number of words, both halves of its parity
+    sketch, and its prefix: the distinct keys, in order, of all such lines with min_words, and how many each has."""
+    if not len(hashes):
+        return line, hashes, line, hashes, hashes, np.zeros(0, "<u4"), line
+    h, n = hashed_lines(hashes, line)
+    at = np.cumsum(n) - n
+    bit = np.uint64(1) << (hashes >> np.uint64(1) & np.uint64(63))
+    upper = (hashes & np.uint64(1)).astype(bool)
+    low, high = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), at) for x in (~upper, upper))
+    of = np.repeat(np.arange(len(at)), n)
+    rank = ranks[(hashes >> np.uint64(8) & np.uint64(SLOTS - 1)).astype(np.int64)]
+    key = hashes >> np.uint64(32)
+    order = np.lexsort((key, rank, of)) if len(at) >> 24 else np.argsort(of.astype(np.uint64) << np.uint64(40) | rank.astype(np.uint64) << np.uint64(32) | key)
+    key = key[order].astype("<u4")
+    inside = np.arange(len(of)) - np.repeat(at, n) <= np.repeat(np.where(n >= min_words, most_edits(n, similarity), -1), n)
+    inside[1:] &= (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    return line[at], h, n, low, high, key[inside], np.bincount(of[inside], minlength=len(at))
+
+
+def word_ranks(docs: DataFrame, part: int = 16) -> np.ndarray:
+    """How common the words of each hash slot are in a sample of documents, on a logarithmic scale: the order of the prefixes."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [described(*line_words(t)) for t in b.column("text").to_pylist()]
+        slots = np.concatenate([line_words(t)[0] for t in b.column("text").to_pylist()]) >> np.uint64(8) & np.uint64(SLOTS - 1)
+        u, c = np.unique(slots.astype(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(c.astype(np.int64))], ["slot", "c"])
+
+    sample = by_batch(text_of(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)), run, "slot int, c long")
+    got = sample.groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    ranks = np.zeros(SLOTS, np.uint8)
+    ranks[got.column("slot").to_numpy()] = np.minimum(255, 8 * np.log2(1.0 + got.column("c").to_numpy()))
+    return ranks
+
+
+def described_lines(docs: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    ranks = word_ranks(docs)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [described(*line_words(t), ranks, similarity, min_words) for t in b.column("text").to_pylist()]
         ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x[0]) for x in got])
-        cat = [np.concatenate([x[i] for x in got]) for i in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cat[0].astype(np.int32)), pa.array(signed(cat[1])), pa.array(signed(cat[2])), pa.array(cat[3].astype(np.int32))], ["doc_id", "line", "h", "fp", "n"])
+        line, h, n, low, high, keys, size = (np.concatenate([x[i] for x in got]) for i in range(7))
+        offsets = np.r_[0, np.cumsum(4 * size)].astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(keys.astype("<u4").tobytes())])
+        columns = [pa.array(ids, pa.int64()), pa.array(line.astype(np.int32)), pa.array(signed(h)), pa.array(n.astype(np.int32)), pa.array(signed(low)), pa.array(signed(high)), packed]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "h", "n", "low", "high", "keys"])
 
     return by_batch(text_of(docs), run, LINES)
 
@@ -113,80 +154,89 @@ def similar(a: list[int], b: list[int], least: float) -> bool:
     return edits(a[p : n - q], b[p : m - q]) <= most
 
 
-def marked(nodes: DataFrame, k: int, masks: list[np.uint64]) -> DataFrame:
-    """(key, h) of the nodes that have a partner within k bits in the key's group and in no earlier mask's."""
+def candidates(x: np.ndarray | int, y: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, early: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of places x, y may be similar and share none of the first two keys before this one (early; 0: none)."""
+    longer = np.maximum(n[x], n[y])
+    shared = longer - most_edits(longer, similarity)
+    ok = (np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= n[x] + n[y] - 2 * shared) & (np.minimum(n[x], n[y]) >= shared)
+    half = np.uint64(32)
+    a, b = early[x], early[y]
+    for p in (a >> half, a & np.uint64(0xFFFFFFFF)):
+        ok &= (p == 0) | ((p != b >> half) & (p != b & np.uint64(0xFFFFFFFF)))
+    return ok
+
+
+def marked(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(key, h, early) of the nodes that have a candidate in the key's group."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            keys = [(mix((fp & m) ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)) & ~np.uint64(63)) | np.uint64(i) for i, m in enumerate(masks)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(signed(np.tile(fp, len(masks)))), pa.array(np.tile(b.column("h").to_numpy(), len(masks)))], ["key", "fp", "h"])
+            raw = b.column("keys").to_pylist()
+            size = np.array([len(x) // 4 for x in raw], np.int64)
+            keys, of = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.repeat(np.arange(len(size)), size)
+            first = np.r_[0, np.cumsum(size)][:-1][of]
+            at = np.arange(len(keys)) - first
+            early = np.where(at > 0, keys[first], np.uint64(0)) | np.where(at > 1, keys[np.minimum(first + 1, len(keys) - 1)], np.uint64(0)) << np.uint64(32)
+            row = [b.column(c).to_numpy()[of] for c in ("h", "n", "low", "high")]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), *map(pa.array, row), pa.array(signed(early))], ["key", "h", "n", "low", "high", "early"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key"):
-            keys, fps, hs = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("h").to_numpy()
+            keys, n = t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            low, high, early = (t.column(c).to_numpy().view(np.uint64) for c in ("low", "high", "early"))
             hit = np.zeros(len(keys), bool)
-            for i, j in runs_of(keys):
-                earlier = masks[: int(keys[i]) & 63]
-                for x in range(i, j, 512):
-                    for y in range(x, j, 512):
-                        d = fps[x : min(j, x + 512), None] ^ fps[None, y : min(j, y + 512)]
-                        p, q = np.nonzero(np.bitwise_count(d) <= k)
-                        if x == y:
-                            p, q = p[p < q], q[p < q]
-                        if len(p):
-                            ok = np.ones(len(p), bool)
-                            for m in earlier:
-                                ok &= (d[p, q] & m) != 0
-                            hit[x + p[ok]] = hit[y + q[ok]] = True
+            x, step = np.arange(len(keys)), 0
+            while len(x):  # each row and the one ``step`` places on, as long as key and length allow: rows are sorted by both
+                step += 1
+                x = x[x + step < len(keys)]
+                y = x + step
+                x = x[(keys[x] == keys[y]) & (n[x] >= n[y] - most_edits(n[y], similarity))]
+                p = x[candidates(x, x + step, n, low, high, early, similarity)]
+                hit[p] = hit[p + step] = True
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(hs[hit])], ["key", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(t.column("h").to_numpy()[hit]), pa.array(signed(early[hit]))], ["key", "h", "early"])
 
-    rows = nodes.select("fp", "h").mapInArrow(spread, "key long, fp long, h long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(close, "key long, h long")
+    rows = nodes.select("h", "n", "low", "high", "keys").mapInArrow(spread, "key long, h long, n int, low long, high long, early long")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(close, "key long, h long, early long")
 
 
-def words_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """h and the word hashes of its first occurrence, for nodes (h, doc_id, line)."""
+def words_of(docs: DataFrame, nodes: DataFrame, slots: int = 1 << 22) -> DataFrame:
+    """h and its word hashes, for nodes (h, doc_id, line): taken where the texts lie, then shuffled without them."""
     few = docs.join(F.broadcast(slots_of(nodes)), slot("doc_id") == F.col("slot"), "left_semi")
-    wanted = nodes.groupBy(F.col("doc_id").alias("c")).agg(F.collect_list(F.struct("line", "h")).alias("want"))
+    at = nodes.select(F.col("h").bitwiseAND(slots - 1).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
+    wanted = np.packbits(np.isin(np.arange(slots), at))
 
     def fetch(b: pa.RecordBatch) -> pa.RecordBatch:
         hs, out = [], []
-        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+        some = np.unpackbits(wanted).astype(bool)
+        for text in b.column("text").to_pylist():
             w, line = line_words(text)
-            for x in want:
-                i, j = np.searchsorted(line, [x["line"], x["line"] + 1])
-                hs.append(x["h"])
-                out.append(w[i:j].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(out, pa.binary())], ["h", "words"])
+            h, n = hashed_lines(w, line)
+            end = np.cumsum(n)
+            for i in np.flatnonzero(some[(h & np.uint64(slots - 1)).astype(np.int64)]).tolist():
+                hs.append(h[i])
+                out.append(w[end[i] - n[i] : end[i]].astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.array(hs, np.uint64))), pa.array(out, pa.binary())], ["h", "words"])
 
-    return by_batch(text_of(few).join(wanted, F.col("doc_id") == F.col("c")).select("text", "want"), fetch, "h long, words binary").dropDuplicates(["h"])
+    return by_batch(text_of(few), fetch, "h long, words binary").join(nodes.select("h"), "h", "left_semi").dropDuplicates(["h"])
 
 
-def verified(groups: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each key's group, from (key, h, fp, words)."""
+def verified(groups: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of a spanning forest of each key's group, from (key, h, n, low, high, early, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "key"):
-            keys, hs, fps, raw = t.column("key").to_numpy(), t.column("h").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("words")
+            keys, hs, n, raw = t.column("key").to_numpy(), t.column("h").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("words")
+            low, high, early = (t.column(c).to_numpy().view(np.uint64) for c in ("low", "high", "early"))
             a, b = [], []
             for i, j in runs_of(keys):
                 ws = [np.frombuffer(raw[x].as_py(), "<u4").tolist() for x in range(i, j)]
-                root = list(range(j - i))
-
-                def find(x: int, root: list[int] = root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
+                root = np.arange(j - i)
                 for x in range(1, j - i):
-                    near = np.flatnonzero(np.bitwise_count(fps[i : i + x] ^ fps[i + x]) <= k).tolist()
-                    for y in near:
-                        p, q = find(x), find(y)
-                        if p != q and similar(ws[x], ws[y], similarity):
-                            root[max(p, q)] = min(p, q)
+                    near = np.flatnonzero(candidates(i + x, np.arange(i, i + x), n, low, high, early, similarity))
+                    for y in near.tolist():
+                        if root[x] != root[y] and similar(ws[x], ws[y], similarity):
+                            root[: x + 1][root[: x + 1] == root[x]] = root[y]
                             a.append(hs[i + x])
                             b.append(hs[i + y])
             if a:
@@ -195,16 +245,13 @@ def verified(groups: DataFrame, k: int, similarity: float) -> DataFrame:
     return groups.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
     """(doc_id, line): the occurrences that an earlier one of their group stands for."""
-    lines = cut(described_lines(docs))
-    nodes = cut(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("h", "first.doc_id", "first.line", "fp", "n"))
-    fuzzy = nodes.where(F.col("n") >= min_words)
-    # wider keys only where there are many nodes: groups stay small, and what is found is the same
-    masks = block_masks(k, k + 1 if fuzzy.count() < 10_000_000 else k + 2)
-    close = cut(marked(fuzzy, k, masks))
+    lines = cut(described_lines(docs, similarity, min_words))
+    nodes = cut(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.first(c).alias(c) for c in ("n", "low", "high", "keys")]).select("h", "first.doc_id", "first.line", "n", "low", "high", "keys"))
+    close = cut(marked(nodes.where(F.col("n") >= min_words), similarity))
     words = words_of(docs, cut(nodes.join(close.select("h").distinct(), "h", "left_semi").select("h", "doc_id", "line")))
-    edges = verified(close.join(words, "h").join(nodes.select("h", "fp"), "h").select("key", "h", "fp", "words"), k, similarity)
+    edges = cut(verified(close.join(words, "h").join(nodes.select("h", "n", "low", "high"), "h").select("key", "h", "n", "low", "high", "early", "words"), similarity))
     roots = component_labels(edges)
     tied = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "doc_id", "line", F.coalesce("root", "h").alias("tree"))
     keeper = tied.groupBy("tree").agg(F.min(F.struct("doc_id", "line")).alias("keep"))
@@ -212,9 +259,9 @@ def repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_wor
     return lines.join(stays, "h").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))).select("doc_id", "line")
 
 
-def without_repeated_lines(docs: DataFrame, k: int = 3, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> DataFrame:
     """The documents with their columns, and n_lines and n_removed; the text without its repeated lines."""
-    gone = cut(repeated_lines(docs, k, similarity, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone")))
+    gone = cut(repeated_lines(docs, similarity, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone")))
     slots = F.broadcast(slots_of(gone, "__doc"))
     # only the texts that may lose a line are shuffled
     touched = docs.join(slots, slot("doc_id") == F.col("slot"), "left_semi").join(gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")

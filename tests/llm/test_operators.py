@@ -200,6 +200,28 @@ def test_lines(spark):
     assert got[3][0] is None and got[4][0] == "" and got[5] == ("", 1, 1) and got[6] == ("", 1, 1)
 
 
+@pytest.mark.parametrize("shortest, longest", [(5, 15), (16, 30), (31, 120)])
+def test_lines_find_what_brute_force_finds(spark, shortest, longest):
+    r = random.Random(longest)
+    vocab = [f"w{i}" for i in range(400)]
+    made = []
+    for _ in range(60):
+        ws = r.choices(vocab, k=r.randint(shortest, longest))
+        made.append(list(ws))
+        for _ in range(r.choice([0, 1, 2, len(ws) // 5, len(ws) // 5 + 1])):  # up to the bound, and beyond it
+            at = r.randrange(len(ws))
+            ws[at : at + r.choice([0, 1, 1])] = r.choices(vocab, k=r.choice([0, 1, 1]))
+        made.append(ws)
+    root = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if min(len(made[i]), len(made[j])) >= 5 and lines.edits(made[i], made[j]) <= max(len(made[i]), len(made[j])) // 5 or made[i] == made[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {i for i in range(len(made)) if i != root.index(root[i])}
+    got = {x.doc_id for x in lines.repeated_lines(frame(spark, [" ".join(ws) for ws in made])).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_edits_are_levenshtein():
     r = random.Random(2)
     for _ in range(500):
