@@ -2,7 +2,7 @@
 
 Signals of each text are taken in one pass. Their distribution in each (lang, source) is kept as a mergeable
 quantile sketch: counts of logarithmic bins, each within 2 % of its values, so that sketches of parts add up
-to the sketch of the whole, whatever the order. Upper fences come from the sketch's quartiles and join back
+to the sketch of the whole, whatever the order. Upper fences come from the sketch's upper quantiles and join back
 on (lang, source). A document is kept if the fixed base rules and all fences let it pass.
 
 Defined cases: a null text has no words and fails the base rules; null lang or source are groups of their own;
@@ -21,9 +21,9 @@ from .common import beside, by_batch, cut, text_of
 GAMMA = 1.04
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\v\f\r"
-#: Signal: a fence never lies below this. They only keep a nearly constant signal from setting a fence too close.
-FLOORS = {"symbol_ratio": 0.08, "shout_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.40, "bang_ratio": 0.10}
-SIGNALS = list(FLOORS)
+#: The least width of a fence above its quantile: a signal that is nearly constant has no spread of its own.
+SLACK = 0.01
+SIGNALS = ["symbol_ratio", "shout_ratio", "dup_line_ratio", "repeat_ratio", "bang_ratio"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -91,14 +91,13 @@ def sketches(marked: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, spread: float = 3.0) -> DataFrame:
-    """lang, source and one fence a signal: third quartile + spread x interquartile range, at least its floor."""
+    """lang, source and one fence a signal: the 0.95 quantile + spread x interquartile range, SLACK at least."""
     whole = Window.partitionBy("lang", "source", "signal")
     run = whole.orderBy(F.col("bin").asc_nulls_first())
     at = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
     value = F.coalesce(F.lit(2.0) * F.pow(F.lit(GAMMA), F.col("bin")) / F.lit(GAMMA + 1.0), F.lit(0.0))
-    q = at.groupBy("lang", "source", "signal").agg(*[F.min(F.when(F.col("upto") >= p * F.col("all"), value)).alias(f"q{int(100 * p)}") for p in (0.25, 0.75)])
-    floor = F.create_map(*[x for s, v in FLOORS.items() for x in (F.lit(s), F.lit(v))])[F.col("signal")]
-    q = q.withColumn("fence", F.greatest(F.col("q75") + spread * (F.col("q75") - F.col("q25")), floor))
+    q = at.groupBy("lang", "source", "signal").agg(*[F.min(F.when(F.col("upto") >= p * F.col("all"), value)).alias(f"q{int(100 * p)}") for p in (0.25, 0.75, 0.95)])
+    q = q.withColumn("fence", F.col("q95") + F.greatest(spread * (F.col("q75") - F.col("q25")), F.lit(SLACK)))
     return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"{s}_fence") for s in SIGNALS])
 
 

@@ -92,6 +92,20 @@ def test_quality_rules(spark, texts):
         assert r.base_failed == (len(ws) < 50 or 100 * len(hit) > 50 * len(ws)) and not (r.kept and r.base_failed)
 
 
+def test_quality_fences_follow_their_group(spark):
+    r = random.Random(4)
+    vocab = [f"word{i}" for i in range(5000)]
+
+    def text(bangs):
+        ws = r.sample(vocab, 100)
+        return " ".join(w + "!" if i < bangs else w for i, w in enumerate(ws))
+
+    rows = [(i, text(0), "en", "calm", 1) for i in range(60)] + [(100 + i, text(r.randint(0, 30)), "en", "loud", 1) for i in range(60)]
+    rows += [(1, text(5), "en", "calm", 1), (101, text(25), "en", "loud", 1)]
+    got = {(x.doc_id, x.source, x.bang_ratio): x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not got[1, "calm", 0.05].kept and got[101, "loud", 0.25].kept
+
+
 def fingerprint(t):
     ws = (t or "").encode().lower().split()
     shingles = [b" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))] if ws else []
