@@ -1,13 +1,12 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the empty history, every frequent word and every frequent pair of words; frequent means a share of
-at least ``min_share`` of the training tokens, so there are at most 1/min_share states of each order whatever
-the corpus, and they are broadcast. Arcs (state, next word) with their counts have no such bound: they grow
-with the corpus and stay distributed. Reading a word from a state follows its arc, with weight
+States are the empty history, every word and every pair of words that the training documents hold at least ``min_count``
+times. States and arcs (state, next word) grow with the corpus and stay distributed: the total of a history is the count of
+its own word or pair, which comes back with the arcs' counts. Reading a word from a state follows its arc, with weight
 seen x count / total, plus the failure arc, with weight 1 - seen, to the state of the shorter history; at the
 empty history the smoothed unigram share ends the descent. Each text is read once, left to right.
 
-Documents are dealt into groups of some 20 MB by the hash of doc_id. A group asks for its distinct words and arcs
+Documents are dealt into groups of some 20 MB by the hash of doc_id. A group asks for its distinct words, pairs and triples
 (packed arrays, split by key range), the training counts are added up by key range, and the sums return to the groups that
 asked: each distinct n-gram crosses the network once a group, not once an occurrence.
 
@@ -66,36 +65,14 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: i
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-class States:
-    """The frequent words and pairs of words: what the automaton can remember."""
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(1))
 
-    def __init__(self, words: list[tuple[int, int]], pairs: list[tuple[int, int]]):
-        self.words, self.word_counts = self.sorted_(words)
-        self.pairs, self.pair_counts = self.sorted_(pairs)
 
-    @staticmethod
-    def sorted_(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array([k for k, _ in rows], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.array([c for _, c in rows], np.int64)[order]
-
-    @staticmethod
-    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(1))
-
-    def histories(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the counts of the histories of one and two words that are states (0: none), and the keys of their arcs."""
-        one, two = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        k1, k2 = np.zeros(len(t), np.uint64), np.zeros(len(t), np.uint64)
-        one[1:] = look_up(self.words, self.word_counts, t[:-1])
-        at = np.flatnonzero(one)
-        k1[at] = self.pair(t[at - 1] ^ np.uint64(0x0123456789ABCDEF), t[at])
-        at = np.flatnonzero((one[1:] > 0) & (one[:-1] > 0)) + 1
-        p = self.pair(t[at - 2], t[at - 1])
-        two[at] = look_up(self.pairs, self.pair_counts, p)
-        k2[at] = self.pair(p, t[at])
-        return one, two, k1, k2
+def arcs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the pairs and the triples of a text's tokens; the last token of each is the arc's word."""
+    return pair(t[:-1] ^ np.uint64(0x0123456789ABCDEF), t[1:]), pair(pair(t[:-2], t[1:-1]), t[2:])
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
@@ -131,18 +108,6 @@ def counted(texts: DataFrame, keys_of, ranges: int, most: int = 3_000_000) -> Da
     return texts.where("not held_out").mapInArrow(local, PACKED).groupBy("r").applyInArrow(total, PACKED)
 
 
-def frequent(counts: DataFrame, least: float) -> list[tuple[int, int]]:
-    """The keys counted at least ``least`` times; with least = share x N there are at most 1/share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, c = joined(b.column("keys"), "<i8"), joined(b.column("counts"), "<i8")
-            at = np.flatnonzero(c >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(c[at])], ["k", "c"])
-
-    return [(r.k, r.c) for r in counts.mapInArrow(run, "k long, c long").collect()]
-
-
 def sizes_of(counts: DataFrame) -> tuple[int, int]:
     """N and V: the tokens and the distinct tokens counted."""
 
@@ -155,7 +120,7 @@ def sizes_of(counts: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def score_documents(docs: DataFrame, min_share: float = 1e-4, seen: tuple[float, float] = (0.6, 0.5), group_chars: int = 20_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, min_count: int = 2, seen: tuple[float, float] = (0.6, 0.5), group_chars: int = 20_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = train_rows(docs)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -163,15 +128,6 @@ def score_documents(docs: DataFrame, min_share: float = 1e-4, seen: tuple[float,
     ranges = max(4, groups)
     unigrams = cut(counted(texts, lambda t: t, ranges))
     n, v = sizes_of(unigrams)
-    words = frequent(unigrams, max(1.0, min_share * n))
-    only = States(words, [])
-
-    def pairs_of(t: np.ndarray) -> np.ndarray:
-        known = look_up(only.words, only.word_counts, t[:-1]) > 0  # the end is no history
-        at = np.flatnonzero(known[1:] & known[:-1])
-        return States.pair(t[at], t[at + 1])
-
-    states = States(words, frequent(counted(texts, pairs_of, ranges), max(1.0, min_share * n)))
     floor = n + 0.5 * (v + 1)
     grouped = texts.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("g")
 
@@ -180,12 +136,11 @@ def score_documents(docs: DataFrame, min_share: float = 1e-4, seen: tuple[float,
         keys, trained, n = [], [], 0
         for i in range(t.num_rows):
             x = tokens(t.column("text")[i].as_py())
-            one, two, k1, k2 = states.histories(x)
-            keys += [x, k1[one > 0], k2[two > 0]]
+            keys += [x, *arcs(x)]
             more = sum(map(len, keys[-3:]))
             trained.append(np.full(more, not t.column("held_out")[i].as_py(), np.int64))
             n += more
-            if n >= 700_000 or i == t.num_rows - 1:  # added up now and then, so that only distinct keys are held
+            if n >= max(700_000, len(u)) or i == t.num_rows - 1:  # added up now and then, so that only distinct keys are held
                 u, c = summed(np.concatenate([u, *keys]), np.concatenate([c, *trained]))
                 keys, trained, n = [], [], 0
         r, k, w = packed(u, c, ranges)
@@ -213,12 +168,13 @@ def score_documents(docs: DataFrame, min_share: float = 1e-4, seen: tuple[float,
             x = tokens(text)
             c = look_up(keys, counts, x)
             p = base_p = (c + 0.5) / floor
-            one, two, k1, k2 = states.histories(x)
-            for total, k, weight in ((one, k1, seen[0]), (two, k2, seen[1])):
-                at = np.flatnonzero(total)
+            pairs, triples = (look_up(keys, counts, k) for k in arcs(x))
+            for back, totals, found, weight in ((1, c, pairs, seen[0]), (2, pairs, triples, seen[1])):
+                total = totals[: len(found)]
+                at = np.flatnonzero(total >= min_count)
                 if len(at):  # the arc, and the failure arc to what the shorter history says
                     p = p.copy()
-                    p[at] = weight * look_up(keys, counts, k[at]) / total[at] + (1 - weight) * p[at]
+                    p[at + back] = weight * found[at] / total[at] + (1 - weight) * p[at + back]
             known.append(int((c > 0).sum()))
             tokens_.append(len(x))
             base.append(float(np.log10(base_p).sum()))

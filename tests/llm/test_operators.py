@@ -76,6 +76,28 @@ def test_language_model(spark, texts):
     assert len(got) == len(texts) and all(r.score <= 0 for r in got.values())
 
 
+def test_language_model_remembers_rare_histories(spark, texts):
+    texts = [*texts, "word " * 60000, "rare follow here", "rare follow there", "rare follow here"]
+    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, texts)).collect()}
+    rows = [[*(w.lower() for w in words(t)), None] for t in texts]
+    c = [Counter(), Counter(), Counter()]
+    for i, ws in enumerate(rows):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for d in range(3):
+                c[d].update(zip(*(ws[k:] for k in range(d + 1))))
+    floor = sum(c[0].values()) + 0.5 * (len(c[0]) + 1)
+    for i, ws in enumerate(rows):
+        want = 0.0
+        for j in range(len(ws)):
+            p = (c[0][(ws[j],)] + 0.5) / floor
+            for d, seen in ((1, 0.6), (2, 0.5)):
+                total = c[d - 1][tuple(ws[j - d : j])] if j >= d else 0
+                if total >= 2:
+                    p = seen * c[d][tuple(ws[j - d : j + 1])] / total + (1 - seen) * p
+            want += math.log10(p)
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_quality_rules(spark, texts):
     got = {r.doc_id: r for r in quality_rules.judge(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
