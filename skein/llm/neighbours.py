@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mix
 
 MAX_PIVOTS = 2048
 GRAPH = "node long, near array<long>, sims array<double>"
@@ -74,7 +74,9 @@ def with_blocks(nodes: DataFrame, total: int, block: int, near: int) -> DataFram
             if b.num_rows:
                 x = matrix(pa.chunked_array([b.column("v")]))
                 _, at = best(x @ pivots.T, np.arange(len(pivots)), near)
-                at = at * parts + (b.column("node").to_numpy() % parts)[:, None]
+                # another division at each pivot: nodes that are apart at one meet at the next
+                drawn = mix(b.column("node").to_numpy().view(np.uint64)[:, None] ^ mix(at.astype(np.uint64) + np.uint64(1)))
+                at = at * parts + (drawn % np.uint64(parts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(list(at), pa.list_(pa.int64()))], ["node", "v", "blocks"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, v array<float>, blocks array<long>")

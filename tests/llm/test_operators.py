@@ -185,6 +185,19 @@ def test_neighbours(spark):
     assert hit >= 0.9 * total and {g.query_id for g in got} == set(range(0, 600, 20))
 
 
+def test_neighbours_in_divided_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_PIVOTS", 5)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 8)).astype(np.float32)
+    got = neighbours.nearest(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<float>"), k=5, degree=12, block=10).collect()
+    s = x.astype(float) @ x.astype(float).T
+    hit = 0
+    for q in range(0, 600, 20):
+        want = sorted((j for j in range(600) if j != q), key=lambda j: (-round(s[q, j], 12), j))[:5]
+        hit += len({g.vec_id for g in got if g.query_id == q} & set(want))
+    assert hit >= 0.9 * 5 * 30
+
+
 def test_classifiers(spark):
     good = ["the house by the river was old and quiet in the evening " * 6 + f"number {i}" for i in range(60)]
     bad = [f"buy$$$ now%%% cheap*** {i} " * 20 for i in range(60)]
