@@ -1,14 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the empty history, every word and every pair of words that the training documents hold at least ``min_count``
-times. States and arcs (state, next word) grow with the corpus and stay distributed: the total of a history is the count of
-its own word or pair, which comes back with the arcs' counts. Reading a word from a state follows its arc, with weight
-seen x count / total, plus the failure arc, with weight 1 - seen, to the state of the shorter history; at the
-empty history the smoothed unigram share ends the descent. Each text is read once, left to right.
-
-Documents are dealt into groups of some 20 MB by the hash of doc_id. A group asks for its distinct words, pairs and triples
-(packed arrays, split by key range), the training counts are added up by key range, and the sums return to the groups that
-asked: each distinct n-gram crosses the network once a group, not once an occurrence.
+States are the empty history and every word and pair of words that the training documents hold. A state's arcs are the tokens
+seen after it; an arc's weight is the n-gram's smoothed probability, (count + mu x shorter history's probability) /
+(total + mu), and its failure arc, of weight mu / (total + mu), leads to the shorter history; at the empty history the base
+share ends the descent. So the weights of each state sum to one over the known tokens and the unknown one. mu, one for words
+and one for pairs, is estimated from the counts of counts: the average failure weight is the share that absolute
+discounting, with discount n1 / (n1 + 2 n2), takes from the seen n-grams. A text is read once from left to right: the state
+is carried, an arc or the failure arcs down to one are followed, and their logarithms are added up. All texts of
+a group are read side by side, a token of each at a time.
+
+Nothing of the model is held whole. Documents are dealt into groups of ``group_chars`` by hash. A group asks for its
+distinct words, pairs and triples (packed sorted keys, split by key range); a range adds up the training counts and answers
+each group with the counts alone, in the order in which it asked. Each distinct n-gram so crosses the network once a group, and its
+count comes back in about a byte. A group sends at most a row a range, and never more rows than keys; larger groups, where
+executors have the memory (about ten times the group's size), make fewer and larger rows.
 
 Defined cases: a null text is empty, its only token is the end; without training documents N and V are 0 and
 every token has the unknown token's share; a null doc_id counts as the text "" for the split; repeated rows count
@@ -17,6 +22,7 @@ as often as they occur; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,161 +30,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, signed, text_of, word_hashes
+from .common import cut, mix, text_of, word_hashes
 
 END = np.uint64(0x5BF03635D1E7D2C3)
-PACKED = "r int, keys binary, counts binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Low bits of a key: the order of its n-gram (1 to 3) above one bit that is free.
+ORDER = np.uint64(6)
 
 
 def tokens(text: bytes) -> np.ndarray:
     return np.append(word_hashes(text.lower()), END)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    if counts is None:
-        u, c = np.unique(keys, return_counts=True)
-        return u, c.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[at], np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-
-
-def packed(keys: np.ndarray, counts: np.ndarray, ranges: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """Sorted keys and their counts, cut into ranges of the key's upper 32 bits."""
+def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of all texts in a row: the places where they begin (and the end), and the keys of the word, the pair and the triple
+    that end at each place; where a text has none, the key is 0."""
+    each = [tokens(t) for t in texts]
+    at = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
+    x = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    keys = [x]
+    with np.errstate(over="ignore"):
+        for k in (1, 2):
+            longer = np.zeros(len(x), np.uint64)
+            longer[k:] = mix(keys[-1][k - 1 : -1] * np.uint64(0x9E3779B97F4A7C15) + x[k:] + np.uint64(k)) if len(x) > k else longer[k:]
+            keys.append(longer)
+    out = [k & ~np.uint64(7) | np.uint64(2 * (n + 1)) for n, k in enumerate(keys)]
+    for n in (1, 2):
+        for back in range(n):  # a text's first places have no pair, its second none with three
+            first = at[:-1] + back
+            out[n][first[first < at[1:]]] = 0
+    return at, x, out
+
+
+def distinct(keys: list[np.ndarray], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each stands at a place that is not held out."""
+    marked = np.concatenate([k[k != 0] | held[k != 0].astype(np.uint64) for k in keys])
+    marked.sort()
+    bare = marked & ~np.uint64(1)
+    first = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1]]) if len(bare) else np.zeros(0, np.int64)
+    trained = np.r_[0, np.cumsum((marked & np.uint64(1)) == 0)]
+    return bare[first], np.diff(np.r_[trained[first], trained[-1]]) if len(first) else np.zeros(0, np.int64)
+
+
+def squeezed(counts: np.ndarray) -> bytes:
+    """A byte a count; those from 255 follow in full."""
+    big = counts >= 255
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[big].astype("<i8").tobytes()
+
+
+def unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return out
+
+
+def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys, by their upper 32 bits."""
     r = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]) if len(r) else np.zeros(1, np.int64)
-    cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-    return [int(r[a]) for a, _ in cuts], [keys[a:b].astype("<u8").tobytes() for a, b in cuts], [counts[a:b].astype("<i8").tobytes() for a, b in cuts]
-
-
-def joined(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int = 0) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(1))
-
-
-def arcs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the pairs and the triples of a text's tokens; the last token of each is the arc's word."""
-    return pair(t[:-1] ^ np.uint64(0x0123456789ABCDEF), t[1:]), pair(pair(t[:-2], t[1:-1]), t[2:])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(r[a]), a, b
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
-    """Texts with held_out: crc32 of doc_id as text, modulo 5, is 1; g is free for the group."""
+    """Texts with held_out: crc32 of doc_id as text, modulo 5, is 1."""
     return text_of(docs, (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out"))
 
 
-def counted(texts: DataFrame, keys_of, ranges: int, most: int = 3_000_000) -> DataFrame:
-    """Packed training counts of the keys of each text, added up once for ``most`` keys of a task and then by key range."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            u, c = summed(np.concatenate(held))
-            r, k, v = packed(u, c, ranges)
-            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["r", "keys", "counts"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(keys_of(tokens(text)))
-                n += len(held[-1])
-                if n >= most:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    def total(t: pa.Table) -> pa.Table:
-        u, c = summed(joined(t.column("keys"), "<u8"), joined(t.column("counts"), "<i8"))
-        return pa.table({"r": pa.array([t.column("r")[0].as_py()], pa.int32()), "keys": pa.array([u.tobytes()], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary())})
+def buckets(counts: np.ndarray) -> np.ndarray:
+    """Counts up to 1024 as they are; larger ones in steps of under one per cent."""
+    return np.where(counts <= 1024, counts, 1024 + np.ceil(np.log(np.maximum(counts, 1024) / 1024) * 128)).astype(np.int64)
 
-    return texts.where("not held_out").mapInArrow(local, PACKED).groupBy("r").applyInArrow(total, PACKED)
 
+def answers(asked: DataFrame) -> DataFrame:
+    """(r, g, counts): the training counts of each group's keys of a range; and with g = -1 the range's counts of counts."""
 
-def sizes_of(counts: DataFrame) -> tuple[int, int]:
-    """N and V: the tokens and the distinct tokens counted."""
+    def run(t: pa.Table) -> pa.Table:
+        ks = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
+        cs = [unsqueezed(x, len(k)) for x, k in zip(t.column("counts").to_pylist(), ks, strict=True)]
+        keys, counts = np.concatenate(ks), np.concatenate(cs)
+        order = np.argsort(keys, kind="stable")
+        sorted_ = keys[order]
+        first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        sums = np.add.reduceat(counts[order], np.flatnonzero(first))
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(first) - 1
+        ends = np.cumsum([len(k) for k in ks])
+        out = [squeezed(sums[of[e - len(k) : e]]) for k, e in zip(ks, ends.tolist(), strict=True)]
+        mine, kinds = sums > 0, sorted_[first] & ORDER
+        mine &= sorted_[first] != (END & ~np.uint64(7) | np.uint64(2))  # the end is no history; its count is added by itself
+        table = [(int(o) // 2, *row) for o in np.unique(kinds[mine]) for row in zip(*grouped(sums[mine & (kinds == o)]), strict=True)]
+        table += [(0, 0, int(mine.size > 0), int(x)) for x in sums[sorted_[first] == (END & ~np.uint64(7) | np.uint64(2))]]
+        r = t.column("r")[0].as_py()
+        out.append(np.array(table, "<i8").tobytes())
+        return pa.table({"r": pa.array([r] * len(out), pa.int32()), "g": pa.concat_arrays([*t.column("g").chunks, pa.array([-1], pa.int32())]), "counts": pa.array(out, pa.binary())})
+
+    return asked.groupBy("r").applyInArrow(run, "r int, g int, counts binary")
+
+
+def grouped(counts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Bucket, how many counts, and their sum."""
+    b, at, n = np.unique(buckets(counts), return_inverse=True, return_counts=True)
+    return b.tolist(), n.tolist(), np.bincount(at, counts, len(b)).astype(np.int64).tolist()
+
+
+def counts_of_counts(reply: DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
+    """order -> bucket -> (how many n-grams, sum of their counts): some two thousand rows an order. Order 0: the end's count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = joined(b.column("counts"), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum())]), pa.array([len(c)])], ["n", "v"])
-
-    row = counts.mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return row[0] or 0, row[1] or 0
-
-
-def score_documents(docs: DataFrame, min_count: int = 2, seen: tuple[float, float] = (0.6, 0.5), group_chars: int = 20_000_000) -> DataFrame:
+            x = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], ["order", "bucket", "n", "total"])
+
+    out: dict[int, dict[int, tuple[int, int]]] = {0: {}, 1: {}, 2: {}, 3: {}}
+    rows = reply.where("g = -1").select("counts").mapInArrow(run, "order long, bucket long, n long, total long")
+    for r in rows.groupBy("order", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        out[r["order"]][r["bucket"]] = (r["n"], r["total"])
+    return out
+
+
+def prior(histories: dict[int, tuple[int, int]], ngrams_: dict[int, tuple[int, int]]) -> float:
+    """mu: the weight of the shorter history, in counts, at which failure arcs get what discounting takes from the seen n-grams."""
+    n1, n2 = (ngrams_.get(k, (0, 0))[0] for k in (1, 2))
+    n, total = (np.array([x[i] for x in histories.values()], float) for i in (0, 1))
+    if not len(n) or not n1:
+        return 1.0
+    share = n1 / (n1 + 2 * n2) * sum(x[0] for x in ngrams_.values()) / total.sum()
+    low, high = 1e-4, 1e7
+    for _ in range(100):
+        mu = (low * high) ** 0.5
+        if (total * mu / (total / n + mu)).sum() < share * total.sum():
+            low = mu
+        else:
+            high = mu
+    return mu
+
+
+class Automaton:
+    """The part of the automaton that a group's texts can reach: weights (log10) by the place of the token read."""
+
+    def __init__(self, at: np.ndarray, counts: list[np.ndarray], base: np.ndarray, mu: tuple[float, float]):
+        self.at, self.known, self.base = at, counts[0] > 0, np.log10(base)
+        self.arcs, self.fails, p = [self.base], [np.zeros(len(base))], base
+        for k in (1, 2):
+            total = np.zeros(len(base))
+            total[1:] = counts[k - 1][:-1]  # of the state that is left: the count of its own word or pair
+            p = (counts[k] + mu[k - 1] * p) / (total + mu[k - 1])
+            with np.errstate(divide="ignore"):
+                self.arcs.append(np.where(counts[k] > 0, np.log10(p), -np.inf))  # no arc: only failure leads on
+            self.fails.append(np.log10(mu[k - 1] / (total + mu[k - 1])))
+
+    def read(self, most: int = 4096) -> np.ndarray:
+        """The log10 probability of each text. Lanes are texts, or parts of them: a part begins two tokens early, which do not count, and so carries the state of the whole."""
+        starts, texts, warm = [], [], []
+        for i, (a, b) in enumerate(zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)):
+            for p in range(a, b, most):
+                starts.append((max(a, p - 2), min(b, p + most)))
+                warm.append(p)
+                texts.append(i)
+        if not starts:
+            return np.zeros(len(self.at) - 1)
+        place, end = np.array(starts).T
+        order = np.argsort(place - end, kind="stable")  # the longest first: lanes that have ended are at the back
+        place, length, warm = place[order], (end - place)[order], np.array(warm)[order]
+        state, score = np.zeros(len(order), np.int8), np.zeros(len(order))  # state: the words of its history
+        alive = len(order)
+        for step in range(int(length[0])):
+            while length[alive - 1] <= step:
+                alive -= 1
+            p, s = place[:alive] + step, state[:alive]
+            weight = np.zeros(alive)
+            for k in (2, 1):
+                fails = (s == k) & np.isneginf(self.arcs[k][p])
+                weight[fails] += self.fails[k][p[fails]]
+                s[fails] = k - 1
+            weight += np.choose(s, [a[p] for a in self.arcs])
+            score[:alive] += np.where(p >= warm[:alive], weight, 0.0)
+            s[:] = np.where(s > 0, 2, self.known[p])  # where the arc leads
+        return np.bincount(np.array(texts)[order], score, len(self.at) - 1)
+
+
+def score_documents(docs: DataFrame, group_chars: int = 20_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = train_rows(docs)
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(1, -(-chars // group_chars))
-    ranges = max(4, groups)
-    unigrams = cut(counted(texts, lambda t: t, ranges))
-    n, v = sizes_of(unigrams)
-    floor = n + 0.5 * (v + 1)
-    grouped = texts.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("g")
+    chars = texts.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    groups = ranges = max(1, -(-chars // group_chars))
+    dealt = texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("g")
+
+    def keys_of(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        at, _, keys = ngrams(t.column("text").to_pylist())
+        return at, keys, np.repeat(t.column("held_out").to_numpy().astype(bool), np.diff(at))
 
     def ask(t: pa.Table) -> pa.Table:
-        u, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, trained, n = [], [], 0
-        for i in range(t.num_rows):
-            x = tokens(t.column("text")[i].as_py())
-            keys += [x, *arcs(x)]
-            more = sum(map(len, keys[-3:]))
-            trained.append(np.full(more, not t.column("held_out")[i].as_py(), np.int64))
-            n += more
-            if n >= max(700_000, len(u)) or i == t.num_rows - 1:  # added up now and then, so that only distinct keys are held
-                u, c = summed(np.concatenate([u, *keys]), np.concatenate([c, *trained]))
-                keys, trained, n = [], [], 0
-        r, k, w = packed(u, c, ranges)
-        return pa.table({"r": pa.array(r, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(r), pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(w, pa.binary())})
-
-    def answer(t: pa.Table) -> pa.Table:
-        ks = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        u, c = summed(np.concatenate(ks), joined(t.column("counts"), "<i8"))
-        kept, kept_c = u[c > 0], c[c > 0]
-        out_k, out_c = [], []
-        for k in ks:
-            at = np.minimum(np.searchsorted(kept, k), max(0, len(kept) - 1))
-            at = at[kept[at] == k] if len(kept) else at[:0]
-            out_k.append(kept[at].tobytes())
-            out_c.append(kept_c[at].tobytes())
-        return pa.table({"r": t.column("r"), "g": t.column("g"), "keys": pa.array(out_k, pa.binary()), "counts": pa.array(out_c, pa.binary())})
-
-    reply = grouped.applyInArrow(ask, "r int, g int, keys binary, counts binary").groupBy("r").applyInArrow(answer, "r int, g int, keys binary, counts binary")
+        _, keys, held = keys_of(t)
+        u, c = distinct(keys, held)
+        rows = [(r, u[a:b].astype("<u8").tobytes(), squeezed(c[a:b])) for r, a, b in ranges_of(u, ranges)]
+        r, k, n = zip(*rows, strict=True)
+        return pa.table({"r": pa.array(r, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(r), pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(n, pa.binary())})
+
+    reply = cut(answers(dealt.applyInArrow(ask, "r int, g int, keys binary, counts binary")))
+    table = counts_of_counts(reply)
+    ends = sum(x[1] for x in table[0].values())
+    total = ends + sum(x[1] for x in table[1].values())
+    floor = total + 0.5 * (sum(x[0] for x in table[1].values()) + (ends > 0) + 1)
+    mu = prior(table[1], table[2]), prior(table[2], table[3])
 
     def read(t: pa.Table, sums: pa.Table) -> pa.Table:
-        sums = sums.sort_by("r")
-        keys, counts = joined(sums.column("keys"), "<u8"), joined(sums.column("counts"), "<i8")
-        known, tokens_, base, score = [], [], [], []
-        for text in t.column("text").to_pylist():
-            x = tokens(text)
-            c = look_up(keys, counts, x)
-            p = base_p = (c + 0.5) / floor
-            pairs, triples = (look_up(keys, counts, k) for k in arcs(x))
-            for back, totals, found, weight in ((1, c, pairs, seen[0]), (2, pairs, triples, seen[1])):
-                total = totals[: len(found)]
-                at = np.flatnonzero(total >= min_count)
-                if len(at):  # the arc, and the failure arc to what the shorter history says
-                    p = p.copy()
-                    p[at + back] = weight * found[at] / total[at] + (1 - weight) * p[at + back]
-            known.append(int((c > 0).sum()))
-            tokens_.append(len(x))
-            base.append(float(np.log10(base_p).sum()))
-            score.append(float(np.log10(p).sum()))
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(tokens_, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n] * len(base), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
-
-    return grouped.cogroup(reply.groupBy("g")).applyInArrow(read, OUT)
+        at, keys, held = keys_of(t)
+        u, _ = distinct(keys, held)
+        rows = dict(zip(sums.column("r").to_pylist(), sums.column("counts").to_pylist(), strict=True))
+        known = np.concatenate([unsqueezed(rows[r], b - a) for r, a, b in ranges_of(u, ranges)])
+        counts = [np.where(k != 0, known[np.minimum(np.searchsorted(u, k), len(u) - 1)], 0) for k in keys]
+        model = Automaton(at, counts, (counts[0] + 0.5) / floor, mu)
+        n, first = np.diff(at), at[:-1]
+        out = {"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": n, "n_known": np.add.reduceat(model.known, first, dtype=np.int64), "train_tokens": np.full(len(n), total), "base_score": np.add.reduceat(model.base, first), "score": model.read()}
+        return pa.table(out)
+
+    return dealt.cogroup(reply.where("g >= 0").groupBy("g")).applyInArrow(read, OUT)
+
+
+def perplexities(scored: DataFrame) -> Counter:
+    """Of the held-out and the training documents: the perplexity of a token."""
+    rows = scored.groupBy("held_out").agg(F.pow(10.0, -F.sum("score") / F.sum("n_tokens")).alias("p")).collect()
+    return Counter({r["held_out"]: r["p"] for r in rows})

@@ -76,26 +76,68 @@ def test_language_model(spark, texts):
     assert len(got) == len(texts) and all(r.score <= 0 for r in got.values())
 
 
-def test_language_model_remembers_rare_histories(spark, texts):
-    texts = [*texts, "word " * 60000, "rare follow here", "rare follow there", "rare follow here"]
-    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, texts)).collect()}
-    rows = [[*(w.lower() for w in words(t)), None] for t in texts]
+class PlainAutomaton:
+    """States, arcs and failure arcs as dictionaries, from counts by length."""
+
+    def __init__(self, counts, mu):
+        self.c, self.mu = counts, mu
+        self.n, self.v = sum(counts[0].values()), len(counts[0])
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[0][(w,)] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        total, mu = self.c[len(history) - 1][history], self.mu[len(history) - 1]
+        return (self.c[len(history)][(*history, w)] + mu * self.p(history[1:], w)) / (total + mu)
+
+    def score(self, ws):
+        state, out = (), 0.0
+        for w in ws:
+            while state and not self.c[len(state)][(*state, w)]:
+                mu = self.mu[len(state) - 1]
+                out += math.log10(mu / (self.c[len(state) - 1][state] + mu))
+                state = state[1:]
+            out += math.log10(self.p(state, w))
+            state = (*state, w)[-2:] if state else (w,) if self.c[0][(w,)] else ()
+        return out
+
+
+def training_counts(rows):
     c = [Counter(), Counter(), Counter()]
     for i, ws in enumerate(rows):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             for d in range(3):
                 c[d].update(zip(*(ws[k:] for k in range(d + 1))))
-    floor = sum(c[0].values()) + 0.5 * (len(c[0]) + 1)
+    return c
+
+
+@pytest.mark.parametrize("group_chars", [20_000_000, 6_000])
+def test_language_model_is_a_backoff_automaton(spark, texts, group_chars):
+    texts = [*texts, "word " * 60000, "rare follow here", "rare follow there", "rare follow here", "word " * 9000 + "rare follow there"]
+    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, texts), group_chars).collect()}
+    rows = [[*(w.lower() for w in words(t)), None] for t in texts]
+    c = training_counts(rows)
+
+    def table(counts, end=True):
+        kinds = Counter(int(language_model.buckets(np.array([n]))[0]) for k, n in counts.items() if end or k != (None,))
+        sums = Counter()
+        for k, n in counts.items():
+            if end or k != (None,):
+                sums[int(language_model.buckets(np.array([n]))[0])] += n
+        return {b: (kinds[b], sums[b]) for b in kinds}
+
+    tables = [table(c[0], False), table(c[1]), table(c[2])]
+    model = PlainAutomaton(c, (language_model.prior(tables[0], tables[1]), language_model.prior(tables[1], tables[2])))
     for i, ws in enumerate(rows):
-        want = 0.0
-        for j in range(len(ws)):
-            p = (c[0][(ws[j],)] + 0.5) / floor
-            for d, seen in ((1, 0.6), (2, 0.5)):
-                total = c[d - 1][tuple(ws[j - d : j])] if j >= d else 0
-                if total >= 2:
-                    p = seen * c[d][tuple(ws[j - d : j + 1])] / total + (1 - seen) * p
-            want += math.log10(p)
-        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(got[i], model.score(ws), rel_tol=1e-9, abs_tol=1e-9)
+    seen = [w for (w,) in c[0]]
+    for history in ((), ("rare",), ("rare", "follow"), (next(w for w in seen if w),)):
+        if not history or c[len(history) - 1][history]:
+            assert math.isclose(sum(model.p(history, w) for w in seen) + model.p(history, "never seen"), 1.0)
+
+
+def test_language_model_prefers_what_it_has_read(spark, texts):
+    got = language_model.score_documents(frame(spark, texts)).where("not held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_quality_rules(spark, texts):
