@@ -10,10 +10,11 @@ is carried, an arc or the failure arcs down to one are followed, and their logar
 a group are read side by side, a token of each at a time.
 
 Nothing of the model is held whole. Documents are dealt into groups of ``group_chars`` by hash. A group asks for its
-distinct words, pairs and triples (packed sorted keys, split by key range); a range adds up the training counts and answers
-each group with the counts alone, in the order in which it asked. Each distinct n-gram so crosses the network once a group, and its
-count comes back in about a byte. A group sends at most a row a range, and never more rows than keys; larger groups, where
-executors have the memory (about ten times the group's size), make fewer and larger rows.
+distinct words, pairs and triples (sorted keys, packed as differences and split by key range); a range adds up the training counts and
+answers each group with the counts alone, in the order in which it asked. Each distinct n-gram so crosses the network once a
+group, in some four bytes, and its count comes back in one. A group sends at most a row a range, and never more rows than keys;
+larger groups, where executors have the memory (some thirty times a group's size), make fewer and larger rows. Texts are dealt once,
+for asking and for reading: one exchange serves both.
 
 Defined cases: a null text is empty, its only token is the end; without training documents N and V are 0 and
 every token has the unknown token's share; a null doc_id counts as the text "" for the split; repeated rows count
@@ -30,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_of, word_hashes
+from .common import mix, text_of, word_hashes
 
 END = np.uint64(0x5BF03635D1E7D2C3)
+REPLY = "r int, g int, counts binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Low bits of a key: the order of its n-gram (1 to 3) above one bit that is free.
+#: A key: its range, 44 bits of a hash, the order of the n-gram (1 to 3), and one bit that is free. A range has few keys (a group's), so these do not meet by chance.
+HASH_BITS = 44
+INNER = np.uint64((1 << (HASH_BITS + 3)) - 1)
 ORDER = np.uint64(6)
 
 
@@ -42,24 +46,32 @@ def tokens(text: bytes) -> np.ndarray:
     return np.append(word_hashes(text.lower()), END)
 
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def keyed(hashes: np.ndarray, order: int, ranges: int) -> np.ndarray:
+    """Keys in the order of their ranges. Ranges: at most 2**17."""
+    r = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return r << np.uint64(HASH_BITS + 3) | (hashes & np.uint64((1 << HASH_BITS) - 1)) << np.uint64(3) | np.uint64(2 * order)
+
+
+def ngrams(texts: list[bytes], ranges: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of all texts in a row: the places where they begin (and the end), and the keys of the word, the pair and the triple
     that end at each place; where a text has none, the key is 0."""
     each = [tokens(t) for t in texts]
     at = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
     x = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    keys = [x]
-    with np.errstate(over="ignore"):
-        for k in (1, 2):
-            longer = np.zeros(len(x), np.uint64)
-            longer[k:] = mix(keys[-1][k - 1 : -1] * np.uint64(0x9E3779B97F4A7C15) + x[k:] + np.uint64(k)) if len(x) > k else longer[k:]
-            keys.append(longer)
-    out = [k & ~np.uint64(7) | np.uint64(2 * (n + 1)) for n, k in enumerate(keys)]
-    for n in (1, 2):
-        for back in range(n):  # a text's first places have no pair, its second none with three
+    del each
+    hashes, out = x, [keyed(x, 1, ranges)]
+    for k in (1, 2):
+        longer = np.zeros(len(x), np.uint64)
+        if len(x) > k:
+            with np.errstate(over="ignore"):
+                longer[k:] = mix(hashes[k - 1 : -1] * np.uint64(0x9E3779B97F4A7C15) + x[k:] + np.uint64(k))
+        hashes = longer
+        keys = keyed(hashes, k + 1, ranges)
+        for back in range(k):  # a text's first place has no pair, its first two no triple
             first = at[:-1] + back
-            out[n][first[first < at[1:]]] = 0
-    return at, x, out
+            keys[first[first < at[1:]]] = 0
+        out.append(keys)
+    return at, out
 
 
 def distinct(keys: list[np.ndarray], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +96,28 @@ def unsqueezed(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
-    """(range, from, to) of sorted keys, by their upper 32 bits."""
-    r = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+def ranges_of(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys."""
+    r = keys >> np.uint64(HASH_BITS + 3)
     edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]) if len(r) else np.zeros(1, np.int64)
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         yield int(r[a]), a, b
 
 
+def narrowed(keys: np.ndarray) -> bytes:
+    """Sorted keys of a range as differences: the low halves, then the upper 16 bits, which are zero where keys are many and so compress away."""
+    inner = (keys & INNER) >> np.uint64(1)
+    step = np.diff(inner, prepend=np.uint64(0))
+    return (step & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (step >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    """The keys without their range."""
+    n = len(raw) // 6
+    step = np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(step) << np.uint64(1)
+
+
 def train_rows(docs: DataFrame) -> DataFrame:
     """Texts with held_out: crc32 of doc_id as text, modulo 5, is 1."""
     return text_of(docs, (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out"))
@@ -104,28 +130,32 @@ def buckets(counts: np.ndarray) -> np.ndarray:
 
 def answers(asked: DataFrame) -> DataFrame:
     """(r, g, counts): the training counts of each group's keys of a range; and with g = -1 the range's counts of counts."""
+    end = keyed(np.array([END]), 1, 1)[0]
 
     def run(t: pa.Table) -> pa.Table:
-        ks = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        cs = [unsqueezed(x, len(k)) for x, k in zip(t.column("counts").to_pylist(), ks, strict=True)]
-        keys, counts = np.concatenate(ks), np.concatenate(cs)
-        order = np.argsort(keys, kind="stable")
-        sorted_ = keys[order]
-        first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        ks = [widened(x) for x in t.column("keys").to_pylist()]
+        sizes = [len(k) for k in ks]
+        counts = np.concatenate([unsqueezed(x, n) for x, n in zip(t.column("counts").to_pylist(), sizes, strict=True)])
+        keys = np.concatenate(ks)
+        del ks
+        order = np.argsort(keys, kind="stable")  # runs that are in order each
+        keys = keys[order]
+        first = np.r_[True, keys[1:] != keys[:-1]]
         sums = np.add.reduceat(counts[order], np.flatnonzero(first))
         of = np.empty(len(keys), np.int64)
         of[order] = np.cumsum(first) - 1
-        ends = np.cumsum([len(k) for k in ks])
-        out = [squeezed(sums[of[e - len(k) : e]]) for k, e in zip(ks, ends.tolist(), strict=True)]
-        mine, kinds = sums > 0, sorted_[first] & ORDER
-        mine &= sorted_[first] != (END & ~np.uint64(7) | np.uint64(2))  # the end is no history; its count is added by itself
+        ends = np.cumsum(sizes)
+        out = [squeezed(sums[of[e - n : e]]) for n, e in zip(sizes, ends.tolist(), strict=True)]
+        keys = keys[first]
+        kinds, last = keys & ORDER, keys == end  # the end of a text is no history; its count is a row by itself
+        mine = (sums > 0) & ~last
         table = [(int(o) // 2, *row) for o in np.unique(kinds[mine]) for row in zip(*grouped(sums[mine & (kinds == o)]), strict=True)]
-        table += [(0, 0, int(mine.size > 0), int(x)) for x in sums[sorted_[first] == (END & ~np.uint64(7) | np.uint64(2))]]
+        table += [(0, 0, 1, int(x)) for x in sums[last]]
         r = t.column("r")[0].as_py()
         out.append(np.array(table, "<i8").tobytes())
         return pa.table({"r": pa.array([r] * len(out), pa.int32()), "g": pa.concat_arrays([*t.column("g").chunks, pa.array([-1], pa.int32())]), "counts": pa.array(out, pa.binary())})
 
-    return asked.groupBy("r").applyInArrow(run, "r int, g int, counts binary")
+    return asked.groupBy("r").applyInArrow(run, REPLY)
 
 
 def grouped(counts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -134,19 +164,25 @@ def grouped(counts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return b.tolist(), n.tolist(), np.bincount(at, counts, len(b)).astype(np.int64).tolist()
 
 
-def counts_of_counts(reply: DataFrame) -> dict[int, dict[int, tuple[int, int]]]:
-    """order -> bucket -> (how many n-grams, sum of their counts): some two thousand rows an order. Order 0: the end's count."""
+def parameters(reply: DataFrame) -> DataFrame:
+    """One row: counts, four packed numbers: N, V, mu of words and of pairs. Some two thousand rows an order are met in its task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.frombuffer(b"".join(b.column("counts").to_pylist()), "<i8").reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], ["order", "bucket", "n", "total"])
 
-    out: dict[int, dict[int, tuple[int, int]]] = {0: {}, 1: {}, 2: {}, 3: {}}
-    rows = reply.where("g = -1").select("counts").mapInArrow(run, "order long, bucket long, n long, total long")
-    for r in rows.groupBy("order", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
-        out[r["order"]][r["bucket"]] = (r["n"], r["total"])
-    return out
+    def solve(t: pa.Table) -> pa.Table:
+        of: dict[int, dict[int, tuple[int, int]]] = {0: {}, 1: {}, 2: {}, 3: {}}
+        for r in t.to_pylist():
+            of[r["order"]][r["bucket"]] = (r["n"], r["total"])
+        ends = sum(x[1] for x in of[0].values())
+        total = ends + sum(x[1] for x in of[1].values())
+        kinds = (ends > 0) + sum(x[0] for x in of[1].values())
+        return pa.table({"counts": [np.array([total, kinds, prior(of[1], of[2]), prior(of[2], of[3])], "<f8").tobytes()]})
+
+    sums = reply.where("g = -1").select("counts").mapInArrow(rows, "order long, bucket long, n long, total long").groupBy("order", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.groupBy().applyInArrow(solve, "counts binary")
 
 
 def prior(histories: dict[int, tuple[int, int]], ngrams_: dict[int, tuple[int, int]]) -> float:
@@ -210,43 +246,46 @@ class Automaton:
         return np.bincount(np.array(texts)[order], score, len(self.at) - 1)
 
 
-def score_documents(docs: DataFrame, group_chars: int = 20_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, group_chars: int = 12_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = train_rows(docs)
     chars = texts.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    groups = ranges = max(1, -(-chars // group_chars))
+    groups = max(1, -(-chars // group_chars))
+    ranges = min(groups, 1 << 17)
     dealt = texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("g")
 
     def keys_of(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        at, _, keys = ngrams(t.column("text").to_pylist())
+        at, keys = ngrams(t.column("text").to_pylist(), ranges)
         return at, keys, np.repeat(t.column("held_out").to_numpy().astype(bool), np.diff(at))
 
     def ask(t: pa.Table) -> pa.Table:
         _, keys, held = keys_of(t)
         u, c = distinct(keys, held)
-        rows = [(r, u[a:b].astype("<u8").tobytes(), squeezed(c[a:b])) for r, a, b in ranges_of(u, ranges)]
+        rows = [(r, narrowed(u[a:b]), squeezed(c[a:b])) for r, a, b in ranges_of(u)]
         r, k, n = zip(*rows, strict=True)
         return pa.table({"r": pa.array(r, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(r), pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(n, pa.binary())})
 
-    reply = cut(answers(dealt.applyInArrow(ask, "r int, g int, keys binary, counts binary")))
-    table = counts_of_counts(reply)
-    ends = sum(x[1] for x in table[0].values())
-    total = ends + sum(x[1] for x in table[1].values())
-    floor = total + 0.5 * (sum(x[0] for x in table[1].values()) + (ends > 0) + 1)
-    mu = prior(table[1], table[2]), prior(table[2], table[3])
+    reply = answers(dealt.applyInArrow(ask, "r int, g int, keys binary, counts binary"))
+    # each group also gets the few numbers that hold for all, as the answer of a range -1
+    everywhere = docs.sparkSession.range(groups).select(F.lit(-1).alias("r"), F.col("id").cast("int").alias("g"))
+    reply = reply.where("g >= 0").union(everywhere.crossJoin(F.broadcast(parameters(reply))))
 
     def read(t: pa.Table, sums: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({c.split()[0]: pa.array([], x) for c, x in zip(OUT.split(", "), (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
+        rows = dict(zip(sums.column("r").to_pylist(), sums.column("counts").to_pylist(), strict=True))
+        total, kinds, *mu = np.frombuffer(rows[-1], "<f8").tolist()
         at, keys, held = keys_of(t)
         u, _ = distinct(keys, held)
-        rows = dict(zip(sums.column("r").to_pylist(), sums.column("counts").to_pylist(), strict=True))
-        known = np.concatenate([unsqueezed(rows[r], b - a) for r, a, b in ranges_of(u, ranges)])
+        known = np.concatenate([unsqueezed(rows[r], b - a) for r, a, b in ranges_of(u)])
         counts = [np.where(k != 0, known[np.minimum(np.searchsorted(u, k), len(u) - 1)], 0) for k in keys]
-        model = Automaton(at, counts, (counts[0] + 0.5) / floor, mu)
+        del keys, u, known
+        model = Automaton(at, counts, (counts[0] + 0.5) / (total + 0.5 * (kinds + 1)), mu)
         n, first = np.diff(at), at[:-1]
-        out = {"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": n, "n_known": np.add.reduceat(model.known, first, dtype=np.int64), "train_tokens": np.full(len(n), total), "base_score": np.add.reduceat(model.base, first), "score": model.read()}
+        out = {"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": n, "n_known": np.add.reduceat(model.known, first, dtype=np.int64), "train_tokens": np.full(len(n), int(total)), "base_score": np.add.reduceat(model.base, first), "score": model.read()}
         return pa.table(out)
 
-    return dealt.cogroup(reply.where("g >= 0").groupBy("g")).applyInArrow(read, OUT)
+    return dealt.cogroup(reply.groupBy("g")).applyInArrow(read, OUT)
 
 
 def perplexities(scored: DataFrame) -> Counter:
