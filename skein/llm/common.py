@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: a word, as a Java pattern and as the ASCII white space that bytes.split() splits at.
@@ -21,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, text as UTF-8 bytes (null: empty) and the named columns, and nothing else of the input."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"), *extra)
+def text_bytes() -> Column:
+    return F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+
+
+def text_hash() -> Column:
+    """Tells documents of one doc_id, or of none, apart."""
+    return F.xxhash64(text_bytes())
+
+
+def text_of(docs: DataFrame, *extra: str | Column) -> DataFrame:
+    """doc_id, text as UTF-8 bytes (null: empty) and the given columns, and nothing else of the input."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *extra)
 
 
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -115,10 +124,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, or one in the warehouse where it is unset (as in tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one in the warehouse where it is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)

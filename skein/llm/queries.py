@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, and the SQL for the one that SQL can express."""
+"""The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir))
+    return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_simhash_near_dedup, op4_nearest_neighbours, op5_quality_classifier, op6_line_dedup, op7_toxicity, op8_source_mixing, op9_best_fit_packing, op10_substring_dedup)}
-ORACLE_SQL = {"op8_source_mixing": mixing.OP8_SQL}
+ORACLE_SQL = {"op2_quality_rules": quality_rules.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL, "op10_substring_dedup": substrings.OP10_SQL}

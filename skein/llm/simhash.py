@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, component_labels, cut, groups_of, mix, signed, text_of
+from .common import by_batch, component_labels, cut, groups_of, mix, signed, text_hash, text_of
 
 ONE = np.uint64(1)
 
@@ -50,13 +50,13 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a long."""
+    """doc_id, th (a hash of the text) and the fingerprint as a long."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([majority(shingle_hashes(t, width)) for t in b.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(signed(fp))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(signed(fp))], ["doc_id", "th", "fp"])
 
-    return by_batch(text_of(docs), run, "doc_id long, fp long")
+    return cut(by_batch(text_of(docs, text_hash().alias("th")), run, "doc_id long, th long, fp long"))
 
 
 def block_masks(k: int, blocks: int, within: list[int] | None = None) -> list[np.uint64]:
@@ -155,25 +155,43 @@ def close_edges(nodes: DataFrame, k: int, blocks: int) -> DataFrame:
     return rows.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(nodes: int, k: int) -> int:
+    """More blocks for more fingerprints: keys then have more bits and fewer fingerprints each, for more keys."""
+    return k + 2 + (nodes > 1 << 27) + (nodes > 1 << 33)
+
+
+def labelled(marked: DataFrame, k: int = 4, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fp, first) and (fp, tree): the distinct fingerprints with their smallest doc_id, and the component of each."""
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    blocks = blocks or blocks_for(nodes.count(), k)
+    roots = component_labels(close_edges(nodes.select("fp"), k, blocks))
+    return nodes, nodes.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("tree"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, k: int = 4, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
 
     Defined cases: texts that are null or without words have fingerprint zero and are linked like any
-    other; equal texts, and repeated rows, have equal fingerprints and so one component; an empty table gives
-    no rows; columns other than doc_id and text are ignored.
+    other; equal texts, and repeated rows, have equal fingerprints and so one component; a null doc_id is larger than any other, so a
+    component's id is null only if it has no other; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
-    marked = cut(fingerprints(docs, width))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = component_labels(close_edges(nodes.select("fp"), k, blocks))
-    # the smallest doc_id of each component, for the few fingerprints that have a link
-    tied = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("tree", F.coalesce("root", "fp"))
+    marked = fingerprints(docs, width)
+    nodes, of = labelled(marked, k, blocks)
+    # the smallest doc_id of each component
+    tied = nodes.join(of, "fp")
     small = tied.groupBy("tree").agg(F.min("first").alias("component_id"))
     of = tied.select("fp", "tree").join(small, "tree").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that a document of smaller doc_id stands for; of repeated rows one stays."""
-    found = near_duplicates(docs)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The documents without those that a document of smaller doc_id stands for; of the rows of that doc_id one stays, the one of smallest text hash.
+
+    A null doc_id is larger than any other: such documents stay only where their group has no other, and then one of them.
+    """
+    marked = fingerprints(docs)
+    nodes, of = labelled(marked)
+    first = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "th")
+    stays = marked.join(of, "fp").groupBy("tree").agg(F.min(first).alias("keep")).select(F.col("keep.doc_id").alias("__doc"), F.col("keep.th").alias("__th"))
+    own = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (text_hash() == F.col("__th")), "left_semi")
+    return own.dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -11,7 +11,8 @@ Shuffles carry hashes, a row for a document's minimiser, never windows' texts; t
 document, and that exchange serves both levels. Groups are read as sorted streams, so that a passage found in
 a third of all documents needs no more memory than one found twice.
 
-Defined cases: null texts have no words, and their empty text's digest; a repeated row is not a document of
+Defined cases: null texts have no words, and their empty text's digest; a null doc_id is neither smaller nor larger than
+another, so such a document keeps its words and takes none; a repeated row is not a document of
 smaller doc_id, so repeated rows keep their words; an empty table gives no rows; other columns are ignored.
 """
 
@@ -135,7 +136,7 @@ def removed_windows(texts: DataFrame, width: int) -> DataFrame:
             ws += out
         return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(ms)) if ms else [], pa.int64()), pa.array(ds, pa.int64()), pa.array(ws, pa.binary())], ["m", "doc_id", "windows"])
 
-    candidates = shared(by_batch(texts, level_one, "m long, doc_id long")).groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
+    candidates = shared(by_batch(texts.where("doc_id is not null"), level_one, "m long, doc_id long")).groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
     full = by_batch(texts.join(candidates.withColumnRenamed("doc_id", "c"), F.col("doc_id") == F.col("c"), "left").select("doc_id", "text", "ms"), level_two, "m long, doc_id long, windows binary")
     return later_copies(full)
 
@@ -207,3 +208,15 @@ def longer_repeats(docs: DataFrame, width: int = 13, rounds: int = 20) -> DataFr
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, words long")
     return found.groupBy("doc_id", "start").agg(F.max("words").alias("words"))
+
+
+#: SQL for the query: every window as its words.
+OP10_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT row, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT *, unnest(generate_series(1, len(ws) - 12)) AS i FROM t)),
+ least_ AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+ gone AS (SELECT DISTINCT row, i + k AS p FROM (SELECT row, i, unnest(generate_series(0, 12)) AS k FROM win JOIN least_ USING (s) WHERE first_doc < doc_id)),
+ word AS (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t),
+ kept AS (SELECT row, string_agg(w, ' ' ORDER BY word.p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (row, p) GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (row)
+"""
