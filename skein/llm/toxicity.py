@@ -1,20 +1,24 @@
 """Toxicity by lexicon: Levenshtein automata intersected with a lexicon trie, and the contexts of what they find.
 
-The lexicon is learned: words, and stems that words begin with, that toxic training documents hold far more often than
-others. It is kept as a trie. Reading a word letter by letter moves a set of (trie node, edits so far) pairs, which is the
+The lexicon is learned: words, and stems that words begin with, whose odds are significantly higher in toxic training
+documents. It is kept as a trie. Reading a word letter by letter moves a set of (trie node, edits so far) pairs, which is the
 product of the trie with the Levenshtein automaton of every entry at once; the sets met are numbered and their moves kept,
-so that most words are dropped after a few table look-ups. Whole words may be one edit off, stems may not.
-A find is scored by the words around it: quotation marks and words of report speak against abuse,
-words of address and exclamation for it. A logistic model weighs the finds of a text.
+so that most words are dropped after a few table look-ups. Strong entries of five letters or more, words and stems, may be
+one edit off, unless such near finds turn out to be commoner in clean training documents.
+A find counts as much as its entry's odds say, shared between abuse and quotation by the words around it: quotation marks
+and words of report speak for quotation, words of address and exclamation for abuse. A logistic model weighs abuse by
+exact finds, abuse by misspelled ones, quotation, density and variety; misspelled abuse never counts against toxicity and quotation never more
+than half as much as abuse, and where the labels say nothing its weights stay at their priors.
 
 Fitted on at most ``SAMPLE`` labelled documents of the training split, those of smallest hash of doc_id.
 
 Defined cases: a null text is empty; without labels or with one class the score is that class's share (0.5 for none);
-repeated labels of a document count once, the largest; an empty table gives no rows; other columns are ignored.
+repeated labels of a document count once, the largest; words of over 64 letters are no finds; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,35 +38,42 @@ ADDRESS = frozenset(w.encode() for w in "you your you're u du dich dein ihr euch
 QUOTES = ('"'.encode(), "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode())
 WINDOW = 4
 MIN_STEM = 4
+#: Shorter entries have too many neighbours.
+NEAR_FROM = 5
 
 
 def bare(word: bytes) -> bytes:
     return word.lower().strip(EDGE)
 
 
+#: What a word can be to the lexicon, best first.
+WHOLE, STEM, NEAR_WHOLE, NEAR_STEM = 1, 2, 3, 4
+Find = tuple[int, int]  # what, and the entry's number; (0, -1): nothing
+
+
 class Automaton:
-    """Lexicon entries met by a word: 0 none, 1 whole word, 2 stem, 3 whole word one edit off."""
+    """Finds entries of a lexicon in words: whole or as a stem, and one edit off where the entry's flag in ``near`` allows it."""
 
-    def __init__(self, whole: list[str], stems: list[str], fuzzy_from: int = 5):
+    def __init__(self, whole: list[str], stems: list[str], near: list[bool] | None = None):
+        entries = [*whole, *stems]
+        self.near = [len(e) >= NEAR_FROM for e in entries] if near is None else near
         self.children: list[dict[str, int]] = [{}]
-        self.whole, self.stem, self.fuzzy = [False], [False], [False]
-        for entries, marks in ((whole, self.whole), (stems, self.stem)):
-            for e in entries:
-                at = 0
-                for ch in e:
-                    if ch not in self.children[at]:
-                        self.children[at][ch] = len(self.children)
-                        self.children.append({})
-                        for x in (self.whole, self.stem, self.fuzzy):
-                            x.append(False)
-                    at = self.children[at][ch]
-                marks[at] = True
-                if marks is self.whole and len(e) >= fuzzy_from:
-                    self.fuzzy[at] = True
+        self.whole, self.stem = [-1], [-1]
+        for number, e in enumerate(entries):
+            at = 0
+            for ch in e:
+                if ch not in self.children[at]:
+                    self.children[at][ch] = len(self.children)
+                    self.children.append({})
+                    self.whole.append(-1)
+                    self.stem.append(-1)
+                at = self.children[at][ch]
+            (self.whole if number < len(whole) else self.stem)[at] = number
+        # a state: (trie node, edits), and below zero the stems that have been read with an edit
         self.states: list[frozenset[tuple[int, int]]] = []
         self.number: dict[frozenset[tuple[int, int]], int] = {}
         self.moves: list[dict[str, int]] = []
-        self.ends: list[int] = []
+        self.ends: list[Find] = []
         self.start = self.state({(0, 0)})
 
     def state(self, pairs: set[tuple[int, int]]) -> int:
@@ -70,23 +81,32 @@ class Automaton:
         for node, e in pairs:
             if e == 0:  # a letter of the entry is missing
                 full |= {(c, 1) for c in self.children[node].values()}
+        for node, e in list(full):
+            if node >= 0 and e and self.stem[node] >= 0 and self.near[self.stem[node]]:
+                full.add((-1 - self.stem[node], 1))
         key = frozenset(p for p in full if p[1] == 0 or (p[0], 0) not in full)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            self.ends.append(1 if any(e == 0 and self.whole[n] for n, e in key) else 3 if any(self.fuzzy[n] for n, _ in key) else 0)
+            finds = [(WHOLE, self.whole[n]) for n, e in key if n >= 0 and e == 0 and self.whole[n] >= 0]
+            finds += [(NEAR_WHOLE, self.whole[n]) for n, e in key if n >= 0 and e and self.whole[n] >= 0 and self.near[self.whole[n]]]
+            finds += [(NEAR_STEM, -1 - n) for n, _ in key if n < 0]
+            self.ends.append(min(finds, default=(0, -1)))
         return self.number[key]
 
     def move(self, state: int, ch: str) -> int:
-        """The next state; -1: none; -2: a stem has been read."""
+        """The next state; -1: none; below: a stem has been read, number -2 - it."""
         out = set()
         for node, e in self.states[state]:
+            if node < 0:
+                out.add((node, e))
+                continue
             nxt = self.children[node].get(ch)
             if nxt is not None:
-                if e == 0 and self.stem[nxt]:
-                    self.moves[state][ch] = -2
-                    return -2
+                if e == 0 and self.stem[nxt] >= 0:
+                    self.moves[state][ch] = to = -2 - self.stem[nxt]
+                    return to
                 out.add((nxt, e))
             if e == 0:
                 out.add((node, 1))
@@ -96,48 +116,56 @@ class Automaton:
             self.moves[state][ch] = to
         return to
 
-    def find(self, word: str) -> int:
+    def find(self, word: str) -> Find:
         at = self.start
         for ch in word:
             to = self.moves[at].get(ch)
             at = self.move(at, ch) if to is None else to
             if at < 0:
-                return 2 if at == -2 else 0
+                return (STEM, -2 - at) if at < -1 else (0, -1)
         return self.ends[at]
 
 
 @dataclass
 class Lexicon:
+    """Entries: whole words, then stems; how much each counts, and whether it may be one edit off."""
+
     whole: list[str]
     stems: list[str]
+    strength: list[float]
+    near: list[bool]
 
 
 class Finder(dict):
     """Raw word to what the automaton finds in it; forgotten when there are too many."""
 
     def __init__(self, lexicon: Lexicon, most: int = 800_000):
-        self.automaton, self.most = Automaton(lexicon.whole, lexicon.stems), most
+        self.automaton, self.most = Automaton(lexicon.whole, lexicon.stems, lexicon.near), most
+        self.strength = lexicon.strength
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> Find:
         if len(self) >= self.most:
             self.clear()
         s = bare(word).decode("utf-8", "replace")
-        self[word] = k = self.automaton.find(s) if len(s) <= 64 else 0
+        self[word] = k = self.automaton.find(s) if len(s) <= 64 else (0, -1)
         return k
 
 
-_FINDERS: dict[tuple[tuple[str, ...], tuple[str, ...]], Finder] = {}
+_FINDERS: dict[tuple, Finder] = {}
 
 
 def finder(lexicon: Lexicon) -> Finder:
-    key = (tuple(lexicon.whole), tuple(lexicon.stems))
+    key = (tuple(lexicon.whole), tuple(lexicon.stems), tuple(lexicon.strength), tuple(lexicon.near))
     if key not in _FINDERS:
         _FINDERS.clear()
         _FINDERS[key] = Finder(lexicon)
     return _FINDERS[key]
 
 
-COLUMNS = ["whole", "stem", "fuzzy", "quoted", "aimed", "density", "distinct"]
+COLUMNS = ["abuse", "misspelled", "quoted", "density", "distinct"]
+#: Weights where labels say nothing, and their bounds. Quotation is further bound to half of what abuse weighs.
+PRIOR = np.array([1.0, 0.7, 0.1, 0.0, 0.0])
+LEAST = np.array([0.1, 0.05, -5.0, -np.inf, -np.inf])
 
 
 def context(ws: list[bytes], i: int) -> tuple[float, float]:
@@ -154,13 +182,19 @@ def context(ws: list[bytes], i: int) -> tuple[float, float]:
 
 def measures(text: bytes, found: Finder) -> tuple[float, ...]:
     ws = text.split()
-    at = [(i, k) for i, k in enumerate(map(found.__getitem__, ws)) if k]
+    at = [(i, k) for i, k in enumerate(map(found.__getitem__, ws)) if k[0]]
     if not at:
         return (0.0,) * len(COLUMNS)
-    counts = Counter(k for _, k in at)
-    ctx = [context(ws, i) for i, _ in at]
-    quoted = sum(q > a for q, a in ctx)
-    return (min(counts[1], 6.0), min(counts[2], 6.0), min(counts[3], 6.0), float(quoted) / len(at), float(sum(a > q for q, a in ctx)) / len(at), min(1.0, 100 * len(at) / len(ws)), min(6.0, len({bare(ws[i]) for i, k in at if k != 3})))
+    abuse = misspelled = told = 0.0
+    for i, (what, entry) in at:
+        quoted, aimed = context(ws, i)
+        weight, share = found.strength[entry], 1 / (1 + math.exp(quoted - aimed - 1))
+        told += weight * (1 - share)
+        if what in (NEAR_WHOLE, NEAR_STEM):
+            misspelled += weight * share
+        else:
+            abuse += weight * share
+    return (math.log1p(abuse), math.log1p(misspelled), math.log1p(told), min(1.0, 100 * len(at) / len(ws)), math.log1p(len({k[1] for _, k in at})))
 
 
 def terms_of(text: bytes) -> set[str]:
@@ -188,15 +222,23 @@ def document_counts(rows: DataFrame, wanted: frozenset[str] | None = None) -> Da
     return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(rows: DataFrame, lift: float = 15.0, least_share: float = 0.012) -> Lexicon:
-    """Terms in at least ``least_share`` of the toxic texts, and ``lift`` times as common there as in the others."""
+def odds(n: np.ndarray, of: int, m: np.ndarray, rest: int, z: float = 2.58) -> np.ndarray:
+    """The lower end of the confidence interval of the logarithm of the odds ratio: n of ``of`` against m of ``rest``."""
+    ratio = np.log((n + 0.5) / (of - n + 0.5)) - np.log((m + 0.5) / (rest - m + 0.5))
+    return ratio - z * np.sqrt(1 / (n + 0.5) + 1 / (of - n + 0.5) + 1 / (m + 0.5) + 1 / (rest - m + 0.5))
+
+
+def learn_lexicon(rows: DataFrame, least_share: float = 0.012, lift: float = 0.8, strong: float = 2.0) -> Lexicon:
+    """Terms in at least ``least_share`` of the toxic texts whose log odds ratio is ``lift`` at least with 99 per cent confidence."""
     n1, n0 = rows.where("y = 1").count(), rows.where("y = 0").count()
     if not n1 or not n0:
-        return Lexicon([], [])
+        return Lexicon([], [], [], [])
     least = max(4, least_share * n1)
     toxic = {r.term: r.n for r in document_counts(rows.where("y = 1")).where(F.col("n") >= least).collect()}  # at most a text's terms / least_share
     other = {r.term: r.n for r in document_counts(rows.where("y = 0"), frozenset(toxic)).collect()}
-    good = {t for t, n in toxic.items() if (n / n1) >= lift * (other.get(t, 0) + 0.5) / n0}
+    names = list(toxic)
+    low = dict(zip(names, odds(np.array([toxic[t] for t in names], float), n1, np.array([other.get(t, 0) for t in names], float), n0).tolist(), strict=True))
+    good = {t for t, x in low.items() if x >= lift}
     # a stem stands for words only if it is found in more texts than any word under it, else the word alone is meant
     stems = set()
     for t in sorted((t for t in good if t.endswith("*")), key=len):
@@ -207,7 +249,25 @@ def learn_lexicon(rows: DataFrame, lift: float = 15.0, least_share: float = 0.01
         if toxic[t] >= 1.5 * max(under, 1):
             stems.add(s)
     whole = {t for t in good if not t.endswith("*") and not any(t.startswith(s) for s in stems)}
-    return Lexicon(sorted(whole), sorted(stems))
+    entries = [*sorted(whole), *(f"{x}*" for x in sorted(stems))]
+    strength = [min(4.0, low[t]) for t in entries]
+    near = [len(t.rstrip("*")) >= NEAR_FROM and x >= strong for t, x in zip(entries, strength, strict=True)]
+    return without_false_friends(rows, Lexicon(sorted(whole), sorted(stems), strength, near), n1, n0)
+
+
+def without_false_friends(rows: DataFrame, lexicon: Lexicon, n1: int, n0: int) -> Lexicon:
+    """No entry may be an edit off whose near finds are no commoner in toxic than in clean texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, c = finder(lexicon), Counter()
+        for b in batches:
+            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                c.update({(k[1], y) for k in map(f.__getitem__, set(t.split())) if k[0] in (NEAR_WHOLE, NEAR_STEM)})
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.int32()), pa.array([y for _, y in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["entry", "y", "n"])
+
+    seen = {(r.entry, r.y): r.n for r in rows.select("text", "y").mapInArrow(run, "entry int, y int, n long").groupBy("entry", "y").agg(F.sum("n").alias("n")).collect()}  # two rows an entry at most
+    near = [x and not (seen.get((i, 0), 0) and seen.get((i, 1), 0) / n1 <= 2 * seen[i, 0] / n0) for i, x in enumerate(lexicon.near)]
+    return Lexicon(lexicon.whole, lexicon.stems, lexicon.strength, near)
 
 
 @dataclass
@@ -220,21 +280,32 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.base + x @ self.weights, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Newton steps for a ridge-penalised logistic model."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """A logistic model whose weights have normal priors and bounds: Newton steps, one weight at a time."""
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.5
         return np.zeros(x.shape[1]), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    z = np.c_[x, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
+    w, base = PRIOR.copy(), 0.0
+    margin = x @ w + base
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-7:
+        moved = 0.0
+        for j in range(-1, len(w)):
+            p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+            column = np.ones(len(y)) if j < 0 else x[:, j]
+            pull, stiff = (0.0, 1e-6) if j < 0 else (ridge * (w[j] - PRIOR[j]), ridge)
+            step = float(np.clip(((y - p) @ column - pull) / ((p * (1 - p)) @ column**2 + stiff), -1, 1))
+            if j >= 0:
+                most = w[0] / 2 if j == 2 else np.inf
+                step = float(np.clip(w[j] + step, LEAST[j], max(LEAST[j], most))) - w[j]
+                w[j] += step
+            else:
+                base += step
+            margin += step * column
+            moved = max(moved, abs(step))
+        if moved < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    w[2] = min(w[2], w[0] / 2)
+    return w, base
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
