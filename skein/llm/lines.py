@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, component_labels, cut, groups_of, mix, powers, signed, slot, slots_of, text_of
+from .common import WHITE, component_labels, cut, groups_of, mix, powers, signed, slot, slots_of, text_hash, text_of
 from .simhash import runs_of
 
 PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -224,11 +224,11 @@ def dealt_lines(texts: DataFrame, ranks: np.ndarray, ranges: int, similarity: fl
         rows = [np.concatenate(x) for x in zip(*[x[0] for x in held], strict=True)]
         h, n = rows[0], np.concatenate([x[1] for x in held])
         order = np.lexsort((*rows[:0:-1], h))
-        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        new, same = firsts_of([x[order] for x in rows])
         mine = np.zeros(len(h), bool)
         mine[order[new]] = True  # the first occurrence here of each line
         out = [(0, r, packed(*[x[order[new]][a:b] for x in rows], layout=OCCURRENCE), b"", b"") for r, a, b in ranges_of(h[order[new]], ranges)]
-        rest = order[~new]
+        rest = order[~same]
         if len(rest):
             out.append((2, int(h[rest[0]] % np.uint64(ranges)), packed(*[x[rest] for x in rows], layout=OCCURRENCE), b"", b""))
         sizes = [len(x[1]) for x in held]
@@ -256,12 +256,21 @@ def ranges_of(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
         yield int(r[a]), a, b
 
 
+def firsts_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted occurrences: where a hash begins, and which rows are the same place as the first of their hash (twins of a repeated row)."""
+    if not len(rows[0]):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    new = np.r_[True, rows[0][1:] != rows[0][:-1]]
+    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return new, np.logical_and.reduce([x == x[at] for x in rows])
+
+
 def occurrences(raw: list[bytes], first: bool) -> pa.Table:
     """The lines of a range; with ``first``, which of each hash's occurrences is the first."""
     h, nul, doc, th, line = unpacked(raw, OCCURRENCE)
     order = np.lexsort((line, th, doc, nul, h))
     h, nul, doc, th, line = (x[order] for x in (h, nul, doc, th, line))
-    new = np.r_[True, h[1:] != h[:-1]] & first if len(h) else np.zeros(0, bool)
+    new = firsts_of([h, nul, doc, th, line])[1] & first
     return pa.table({"h": signed(h), "other": pa.nulls(len(h), pa.int64()), "doc_id": pa.array(doc, mask=nul.astype(bool)), "th": th, "line": line, "first": new})
 
 
@@ -312,7 +321,8 @@ def candidates(rows: list[bytes], nodes: list[bytes], sketches: list[bytes], sim
     new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (place[1:] != place[:-1])] if len(key) else np.zeros(0, bool)
     key, node, place = key[new], node[new], place[new]
     size, most = n[node], edits_[node]
-    block = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 40 if len(key) else np.zeros(0, np.int64)
+    number = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    starts, block = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), number << 40
     reach = np.searchsorted(block + size - most, block + size, "right") - 1 - np.arange(len(key))  # rows of a block are in order of size
     trees, x, step = Trees(len(n)), np.flatnonzero(reach > 0), 0
     while len(x):  # each row and the one ``step`` places on
@@ -326,6 +336,10 @@ def candidates(rows: list[bytes], nodes: list[bytes], sketches: list[bytes], sim
         ok = ~apart(levels, k, p, q, n[p] + n[q] - 2 * shared)
         if trees.link(p[ok], q[ok]):
             trees.settle()
+        if not step & (step - 1) and len(x):  # a block that is one tree by now is done
+            of = trees.root[node]
+            whole_ = np.minimum.reduceat(of, starts) == np.maximum.reduceat(of, starts)
+            x = x[~whole_[number[x]]]
     own = np.arange(len(n))
     leaf = own[trees.root != own]
     m = len(leaf)
@@ -373,7 +387,7 @@ def links(words: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     order = np.argsort(n, kind="stable")
     n, ws, lists = n[order], [words[i] for i in order.tolist()], {}
     most = most_edits(n, similarity)
-    trees, out = Trees(len(n)), []
+    out = []
     if len(n) > 8:
         levels, k = folded(sketched(np.concatenate(ws).astype(np.uint64), n), n), sketch_words(n)
 
@@ -382,15 +396,19 @@ def links(words: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
             lists[i] = ws[i].tolist()
         return lists[i]
 
+    label = np.arange(len(n))
     for x in range(1, len(n)):
         y = np.arange(int(np.searchsorted(n[:x], n[x] - most[x])), x)
         if len(n) > 8:
             far = apart(levels, k, np.full(len(y), x), y, n[x] + n[y] - 2 * (n[x] - most[x]))
             y = y[~far]
             y = y[np.argsort(np.bitwise_count(levels[0][y, 0] ^ levels[0][x, 0]), kind="stable")]
-        for j in y.tolist():
-            if trees.find(x) != trees.find(j) and similar(at(x), at(j), similarity):
-                out += [(int(order[a]), int(order[b])) for a, b in trees.link(np.array([x]), np.array([j]))]
+        while len(y):
+            j, y = int(y[0]), y[1:]
+            if similar(at(x), at(j), similarity):
+                out.append((int(order[x]), int(order[j])))
+                label[: x + 1][label[: x + 1] == label[x]] = label[j]
+                y = y[label[y] != label[x]]  # what is connected already needs no look
     return out
 
 
@@ -460,7 +478,7 @@ def together(batches: Iterator[pa.RecordBatch], most: int = 10_000) -> Iterator[
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, range_bytes: int = 32_000_000, most: int = 20_000) -> DataFrame:
     """(doc_id, th, line): the occurrences that an earlier one of their group stands for; th: xxhash64 of the text."""
-    texts = text_of(docs, F.xxhash64("text").alias("th"))
+    texts = text_of(docs, text_hash().alias("th"))
     ranks = word_ranks(docs)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(4, -(-size // range_bytes))
@@ -485,7 +503,7 @@ def rewritten(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> D
     gone = repeated_lines(docs, similarity, min_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("__gone"))
     gone = cut(gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__gone"))
     slots = F.broadcast(slots_of(gone, "__th").withColumnRenamed("slot", "__slot"))
-    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))))
+    marked = docs.withColumn("__own", text_hash())
     here = slot("__own") == F.col("__slot")
     # only the texts that may lose a line are shuffled
     touched = marked.join(slots, here, "left_semi").join(gone, (F.col("__own") == F.col("__th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__th")

@@ -277,8 +277,30 @@ def test_automaton_is_within_one_edit():
             w[k : k + r.randint(0, 1)] = r.choice(["", "a", "o", "x"])
         w = "".join(w)
         near = 1 if w in whole else 3 if any(len(e) >= 5 and distance(w, e) <= 1 for e in whole) else 0
-        assert a.find(w) == near, w
-    assert a.find("lowering") == 2 and a.find("lowing") == 0
+        assert a.find(w)[0] == near, w
+    assert a.find("lowering") == (2, 5) and a.find("lowing")[0] == 0
+    b = toxicity.Automaton(["vile"], ["worthl", "scum"])
+    for w, what in (("worthless", 2), ("wortless", 4), ("worxhlessly", 4), ("worthxless", 4), ("wrothless", 0), ("scxm", 0), ("vilx", 0), ("worth", 0 if distance("worth", "worthl") > 1 else 4)):
+        assert b.find(w)[0] == what, w
+
+
+def test_quotation_is_told_from_abuse_and_misspelled_abuse_counts(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abdegilmnorstu") for _ in range(r.randint(3, 8))) for _ in range(400)]
+
+    def text(*extra):
+        return " ".join([*r.choices(vocab, k=30), *extra, *r.choices(vocab, k=30)])
+
+    texts = [text() for _ in range(150)] + [text("you", "are", r.choice(["worthless", "pathetic", "disgusting"]) + "!") for _ in range(150)]
+    labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(300)], "doc_id long, toxic int")
+    more = [text("you", "are", "wortless!"), text("he", "said", "\"worthless\"", "wrote", "a", "word"), text("you", "are", "worthless!"), text()]
+    docs = frame(spark, [*texts, *more])
+    model = toxicity.train(docs, labels)
+    w = dict(zip(toxicity.COLUMNS, model.weights.tolist()))
+    assert w["abuse"] > 0 and w["misspelled"] > 0 and w["quoted"] < w["abuse"]
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    wrong, told, abuse, clean = (got[300 + i] for i in range(4))
+    assert abuse > 0.5 > clean and abuse > told > clean and abuse >= wrong > clean
 
 
 def test_lines(spark):
@@ -381,6 +403,65 @@ def test_substrings(spark, texts):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(ws), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def nasty(spark):
+    """Null ids, repeated rows and ids, ties, a long text, and columns whose names the operators use themselves."""
+    line = "a line of some length that two documents have in common with one another"
+    long = "\n".join(f"line {i} of a very long text with number {i * i} in it" for i in range(3_000))
+    rows = [(1, line + "\nown words here", "en"), (1, line + "\nown words here", "en"), (1, "another text of the same id\n" + line, None), (None, line, "en"), (None, "no id at all", None), (None, None, None), (2, long, "de"), (3, long + "\nmore", "de"), (4, None, None), (5, "", "")]
+    names = "slot line h th root n_lines n_removed kept gone fp node key g r c n count w s l"
+    rows = [(i, t, x, f"s{x}", *[7] * len(names.split())) for i, t, x in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in names.split())), rows
+
+
+def test_nasty_rows(spark):
+    docs, rows = nasty(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    n = len(rows)
+    assert language_model.score_documents(docs).count() == n
+    assert quality_rules.judge(docs).count() == n
+    assert {c for r in simhash.near_duplicates(docs).where("doc_id = 1").collect() for c in [r.component_id]} == {1}
+    assert classifier.classify(docs, labels).count() == n and toxicity.classify(docs, labels).count() == n
+    assert mixing.mix_sources(docs).count() == n
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert got[None, 14] == 0 and got[3, 36_001] == 36_000
+    kept = sorted((str(r.doc_id), r.text or "", r.n_lines, r.n_removed) for r in lines.without_repeated_lines(docs).collect() if r.doc_id not in (2, 3))
+    common, other = rows[0][1].split("\n")[0], "another text of the same id"
+    assert len(kept) == 8 and ("None", "", 0, 0) in kept and ("None", "no id at all", 1, 0) in kept
+    twins = [(t, k, m) for i, t, k, m in kept if i == "1"]
+    assert sorted(t for t, _, _ in twins) in (sorted([rows[0][1]] * 2 + [other]), sorted(["own words here"] * 2 + [rows[2][1]]))  # one of the two texts keeps it
+    assert set(lines.rewritten(docs).columns) == {*docs.columns, "__lines"}
+    assert simhash.one_of_each(docs).columns == docs.columns and quality_rules.kept_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_large_components_are_verified_word_by_word(spark):
+    r = random.Random(3)
+    base = r.choices([f"w{i}" for i in range(300)], k=40)
+    made = []
+    for _ in range(60):
+        ws = list(base)
+        for _ in range(r.randint(0, 3)):
+            ws[r.randrange(40)] = f"w{r.randrange(300)}"
+        made.append(" ".join(ws))
+    docs = frame(spark, made)
+    want = {tuple(x) for x in lines.repeated_lines(docs).select("doc_id", "line").collect()}
+    assert {tuple(x) for x in lines.repeated_lines(docs, most=5).select("doc_id", "line").collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op10_substring_dedup"])
+def test_queries_match_sql(spark, texts, tmp_path, name):
+    import duckdb
+
+    from skein.llm import queries
+
+    frame(spark, [*texts, *texts[-3:]]).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()[want.columns.tolist()]
+    assert sorted(map(str, got.values.tolist())) == sorted(map(str, want.values.tolist()))
+
+
 def test_longer_repeats(spark):
     a = [f"w{i}" for i in range(60)]
     docs = frame(spark, [" ".join(a), "x " + " ".join(a[:55]), "y z"])
