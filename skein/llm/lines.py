@@ -24,6 +24,7 @@ table gives no rows; other columns are kept, and columns named n_lines or n_remo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,10 +317,8 @@ def candidates(rows: list[bytes], nodes: list[bytes], sketches: list[bytes], sim
     n, levels, node = n[kept].astype(np.int64), [x[kept] for x in levels], same[node]
     k, edits_ = sketch_words(n), most_edits(n, similarity)
     place = whole(place_low, place_high)
-    order = np.lexsort((place, node, n[node], key))
+    order = np.argsort(key.astype(np.uint64) << HALF | n[node].astype(np.uint64))
     key, node, place = key[order], node[order], place[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (place[1:] != place[:-1])] if len(key) else np.zeros(0, bool)
-    key, node, place = key[new], node[new], place[new]
     size, most = n[node], edits_[node]
     number = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     starts, block = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), number << 40
@@ -385,27 +384,37 @@ def links(words: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the lines whose edit similarity is at least ``similarity``."""
     n = np.array([len(x) for x in words], np.int64)
     order = np.argsort(n, kind="stable")
-    n, ws, lists = n[order], [words[i] for i in order.tolist()], {}
+    n, ws, lists, bags = n[order], [words[i] for i in order.tolist()], {}, {}
     most = most_edits(n, similarity)
     out = []
+    wide = 16  # words of a sketch: it need not travel, so it may be fine
     if len(n) > 8:
-        levels, k = folded(sketched(np.concatenate(ws).astype(np.uint64), n), n), sketch_words(n)
+        w = np.concatenate(ws).astype(np.uint64)
+        sketch = np.zeros((len(n), wide), np.uint64)
+        np.bitwise_xor.at(sketch, (np.repeat(np.arange(len(n)), n), (w >> np.uint64(6) & np.uint64(wide - 1)).astype(np.int64)), np.uint64(1) << (w & np.uint64(63)))
 
     def at(i: int) -> list[int]:
         if i not in lists:
             lists[i] = ws[i].tolist()
         return lists[i]
 
+    def bag(i: int) -> Counter:
+        if i not in bags:
+            bags[i] = Counter(at(i))
+        return bags[i]
+
     label = np.arange(len(n))
     for x in range(1, len(n)):
-        y = np.arange(int(np.searchsorted(n[:x], n[x] - most[x])), x)
+        a = int(np.searchsorted(n[:x], n[x] - most[x]))
+        y = np.arange(a, x)
         if len(n) > 8:
-            far = apart(levels, k, np.full(len(y), x), y, n[x] + n[y] - 2 * (n[x] - most[x]))
-            y = y[~far]
-            y = y[np.argsort(np.bitwise_count(levels[0][y, 0] ^ levels[0][x, 0]), kind="stable")]
+            off = np.bitwise_count(sketch[a:x] ^ sketch[x]).sum(1, dtype=np.int64)
+            near = np.flatnonzero(off <= n[a:x] + n[x] - 2 * (n[x] - most[x]))
+            y = a + near[np.argsort(off[near], kind="stable")]
         while len(y):
             j, y = int(y[0]), y[1:]
-            if similar(at(x), at(j), similarity):
+            # words that both have: an alignment keeps no more of them
+            if int(n[x]) - sum((bag(x) & bag(j)).values()) <= most[x] and similar(at(x), at(j), similarity):
                 out.append((int(order[x]), int(order[j])))
                 label[: x + 1][label[: x + 1] == label[x]] = label[j]
                 y = y[label[y] != label[x]]  # what is connected already needs no look
