@@ -39,7 +39,9 @@ def export_conversations(spark, d):
 
 def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Parts as nodes with their suppliers' order lines as evidence (the first three)."""
-    e = read(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_partkey").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("order "), "l_orderkey").alias("title"), F.concat(F.lit("Sources/o"), "l_orderkey", F.lit(".md")).alias("path"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("quote")))), 1, 3).alias("evidence"))
+    line = F.struct(F.concat(F.lit("order "), "l_orderkey").alias("title"), F.concat(F.lit("Sources/o"), "l_orderkey", F.lit(".md")).alias("path"), (1 - F.col("l_discount")).alias("confidence"), F.col("l_returnflag").alias("quote"))
+    first = W.top_per_group(read(spark, d, "lineitem").select("l_partkey", line.alias("e")), ["l_partkey"], [F.col("e")], 3)
+    e = first.groupBy("l_partkey").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
     p = read(spark, d, "part").join(e, F.col("p_partkey") == F.col("l_partkey"), "left")
     none = F.array().cast("array<struct<title:string,path:string,confidence:double,quote:string>>")
     return p.select(
@@ -49,12 +51,12 @@ def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-EVIDENCE_SQL = """(SELECT l_partkey, list({'o': l_orderkey, 'c': 1 - l_discount, 'q': l_returnflag} ORDER BY 'order ' || l_orderkey, 1 - l_discount, l_returnflag)[:3] AS ev FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey)"""
+EVIDENCE_SQL = """(SELECT l_partkey, list({'o': l_orderkey, 'c': 1 - l_discount, 'q': l_returnflag} ORDER BY 'order ' || l_orderkey, 1 - l_discount, l_returnflag)[:3] AS ev FROM lineitem GROUP BY l_partkey)"""
 NUM = "regexp_replace((floor({0} * 100 + 0.5) / 100)::DOUBLE::VARCHAR, '\\.0$', '')"
 
 
 @query(f"""WITH n AS (SELECT p_partkey, p_name, p_brand, p_type, {NUM.format("(p_size / 100::DOUBLE)")} AS conf, coalesce(ev, []) AS ev FROM part LEFT JOIN {EVIDENCE_SQL} ON l_partkey = p_partkey),
- t AS (SELECT *, list_transform(ev, lambda e: 'Sources/o' || e.o || '.md') AS paths, list_transform(ev, lambda e: '- order ' || e.o || ' (Sources/o' || e.o || '.md) (' || {NUM.format("e.c")} || '): "' || e.q || '"') AS lines FROM n)
+ t AS (SELECT *, list_filter(list_transform(ev, lambda e: 'Sources/o' || e.o || '.md'), lambda p, i: list_position(list_transform(ev, lambda e: 'Sources/o' || e.o || '.md'), p) = i) AS paths, list_transform(ev, lambda e: '- order ' || e.o || ' (Sources/o' || e.o || '.md) (' || {NUM.format("e.c")} || '): "' || e.q || '"') AS lines FROM n)
  SELECT p_partkey, md5('---' || chr(10) || 'skein_type: "topic"' || chr(10) || 'skein_id: "topic_' || p_partkey || '"' || chr(10) || 'skein_source: "skein"' || chr(10) || 'skein_managed: true' || chr(10) || 'skein_confidence: ' || conf || chr(10) || 'skein_evidence_count: ' || len(ev) || chr(10)
  || 'skein_aliases:' || chr(10) || '  - "' || p_brand || '"' || chr(10) || '  - "' || p_type || '"' || chr(10) || 'skein_source_ids: []' || chr(10) || CASE WHEN len(paths) = 0 THEN 'skein_source_paths: []' ELSE 'skein_source_paths:' || chr(10) || array_to_string(list_transform(paths, lambda p: '  - "' || p || '"'), chr(10)) END || chr(10)
  || 'skein_stability: "stable"' || chr(10) || 'skein_applies_to: []' || chr(10) || '---' || chr(10) || '# Topic: ' || p_name || chr(10) || chr(10) || '## Summary' || chr(10) || p_type || ' of' || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || '## Self-Model Metadata' || chr(10) || '- **Stability**: stable' || chr(10) || chr(10)
@@ -68,7 +70,7 @@ def node_note(spark, d):
 def note_seeds(spark, d):
     """Notes are rendered and read back."""
     written = part_nodes(spark, d).select(F.concat(F.lit("Topics/"), "p_partkey", F.lit(".md")).alias("path"), R.node_note().alias("content"))
-    s = notes.node_seeds(written)
+    s = notes.node_seeds(C.cut(written))
     return s.select("id", "label", "slug", F.array_join("aliases", ";").alias("aliases"), "confidence", "summary", "stability", F.size("evidence").alias("n_evidence"), F.array_join(F.transform("evidence", lambda e: F.concat(e["title"], F.lit(":"), e["quote"])), ";").alias("evidence"))
 
 
@@ -86,7 +88,7 @@ def inbox_seeds(spark, d):
     head = R.front_matter([("type", F.lit("review_queue"), "text"), ("managed", F.lit(True), "number")])
     entries = item.select("p_brand", "p_partkey", R.review_entry().alias("entry")).groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "entry"))), lambda x: x["entry"]), "\n\n").alias("body"))
     inbox = entries.select(F.concat("p_brand", F.lit(".md")).alias("path"), F.concat(head, F.lit("\n# Review Queue\n\n"), "body").alias("content"))
-    return notes.review_seeds(inbox).select("id", "label", "status", "summary", "confidence", F.array_join("source_ids", ";").alias("source_ids"))
+    return notes.review_seeds(C.cut(inbox)).select("id", "label", "status", "summary", "confidence", F.array_join("source_ids", ";").alias("source_ids"))
 
 
 CLEAN_SQL = "text"
@@ -141,12 +143,12 @@ def run_states(spark, d):
     return S.interrupted(S.run_states(e), at).select("run", "phase", "status", "duration_ms", F.col("error").isNotNull().alias("cut_off"))
 
 
-@query("""WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n, max(1 - l_discount) AS c FROM lineitem WHERE l_linenumber = 7 GROUP BY l_partkey),
+@query("""WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n, max(1 - l_discount) AS c FROM lineitem GROUP BY l_partkey),
  k AS (SELECT p_partkey AS node, p_size, n, c::DOUBLE AS c, CASE p_partkey % 5 WHEN 0 THEN 'preference' WHEN 1 THEN 'entity' WHEN 2 THEN 'topic' WHEN 3 THEN 'task' ELSE 'pattern' END AS kind FROM part JOIN g ON l_partkey = p_partkey)
  SELECT node, kind, CASE WHEN kind = 'preference' THEN p_size > 20 AND ((n = 1 AND p_size > 30 AND c >= 0.94) OR (n >= 2 AND c >= 0.78)) WHEN kind = 'pattern' THEN p_size > 20 AND n >= 2 AND c >= 0.78
  ELSE n >= 2 OR (kind = 'entity' AND p_size > 10 AND c >= 0.94) OR (kind = 'topic' AND p_size > 10 AND c >= 0.94 + 0.03) END AS promoted FROM k""")
 def cluster_promotion(spark, d):
-    g = read(spark, d, "lineitem").where("l_linenumber = 7").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n"), F.max(1 - F.col("l_discount")).cast("double").alias("c"))
+    g = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n"), F.max(1 - F.col("l_discount")).cast("double").alias("c"))
     j = read(spark, d, "part").select("p_partkey", "p_size").join(g, F.col("p_partkey") == F.col("l_partkey"))
     kind = F.element_at(F.array(*map(F.lit, ["preference", "entity", "topic", "task", "pattern"])), (F.col("p_partkey") % 5 + 1).cast("int"))
     j = j.withColumn("kind", kind)

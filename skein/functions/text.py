@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A word boundary that knows ASCII words alone, whatever the letters around.
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-ACCENTS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
 
 # Words that carry no meaning in a label, and generic words of project labels.
 STOP_WORDS = ["and", "the", "for", "with", "from", "into", "that", "this", "over", "using", "based", "system", "project", "logic", "feature", "app"]
@@ -15,7 +17,7 @@ PROJECT_STOP_WORDS = ["project", "system", "pipeline", "feature", "app", "overha
 # Verbs that begin a narrow action.
 ACTIONS = "add|adjust|ask|build|check|choose|compute|create|define|design|derive|determine|evaluate|explain|fetch|generate|implement|incorporate|map|move|prioritize|provide|refine|remove|replace|request|save|store|tailor|update|upload|use"
 
-#: Review categories, first match wins; the profile's own words can be put in front.
+# Review categories, first match wins. Two categories that hold one person's own words are left out; a profile puts its own in front.
 CATEGORY_RULES = [
     ("communication_style", "concise|terse|brief|tone|wording|communication|answer|response|bullet|bulleted"),
     ("writing_resume_pitch", "resume|linkedin|pitch|deck|slide|slides|investor|fundraising|email|message|caption|copy"),
@@ -24,15 +26,17 @@ CATEGORY_RULES = [
     ("product_strategy", "product|strategy|positioning|wedge|mvp|founder|customer|market|pricing|growth|distribution"),
     ("lookup_behavior", "search|lookup|shopping|product|comparison|overview|recommendation|review|query|walmart|amazon|nike|harry'?s"),
 ]
-#: Source classes: all patterns of the first list must be found, none of the second; first match wins.
+# Source classes. All patterns of the first list must be found, none of the second; first match wins. Three names of one person's
+# products are left out of the second lists, and the name of the application around the notes out of the tools: callers add theirs.
 SOURCE_RULES = [
     ("shopping_product_lookup", ["product|products|shopping|shop|buy|walmart|amazon|target|nike|lulu|lululemon|harry'?s|razor|razors|shaving|costume", "price|prices|option|options|shopping|shop|buy|walmart|amazon|target|review|overview|recommendation|compare|comparison"], []),
     ("academic_problem", ["assignment|homework|class|course|quiz|exam|worksheet"], ["product|project|startup|plugin|app"]),
     ("academic_problem", ["problem|question|calculation|calculate|solve", "math|physics|chemistry|school|assignment|homework|answer|solution|top five"], ["assignment|homework|class|course|quiz|exam|worksheet", "product|project|startup|plugin|app"]),
     ("durable_profile", ["resume|linkedin|profile|bio|portfolio|personal website|about me|experience|education"], []),
-    ("tool_workflow", ["cursor|codex|claude code|github|git|xcode|figma|obsidian|plugin|mcp|vercel|firebase|firestore|node\\.?js|typescript|swift|react", "build|debug|fix|implement|integration|workflow|setup|configure|code|repo|repository|tool"], []),
+    ("tool_workflow", ["cursor|codex|claude code|github|git|xcode|figma|plugin|mcp|vercel|firebase|firestore|node\\.?js|typescript|swift|react", "build|debug|fix|implement|integration|workflow|setup|configure|code|repo|repository|tool"], []),
     ("writing_workflow", ["rewrite|copy|caption|script|deck|slide|pitch|email|message|paragraph|wording|tone|resume|linkedin", "write|rewrite|draft|revise|edit|polish|shorten|summarize|communicate|copy"], []),
 ]
+# How titles of look-ups read.
 LOOKUP_TITLE = "comparison|critique|chat|exchange|explanation|greetings|guide|how[- ]to|overview|question|recommendation|recommendations|tip|tips|tutorial|walkthrough"
 LOOKUP_START = "how|what|why|when|where|which|can|is|are|does|do|should|will|would|could|add|configure|create|debug|delete|disable|enable|export|find|fix|generate|group|import|install|move|remove|reorganize|run|search|setup|use"
 
@@ -50,18 +54,51 @@ def round_half_up(x: Column, digits: int = 2) -> Column:
 
 
 def hash_id(x: Column) -> Column:
-    """32-bit multiply-by-33-and-xor hash in base 36."""
+    """32-bit multiply-by-33-and-xor hash of the UTF-16 units, in base 36."""
+
+    def step(h: Column, unit: Column) -> Column:
+        return (h * 33).bitwiseAND(F.lit(4294967295).cast("long")).bitwiseXOR(unit)
+
+    def char(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        above = code - 65536
+        return F.when(code < 65536, step(h, code)).otherwise(step(step(h, F.shiftright(above, 10) + 55296), above.bitwiseAND(F.lit(1023).cast("long")) + 56320))
+
     codes = F.filter(F.split(x, ""), lambda c: c != "")
-    h = F.aggregate(codes, F.lit(5381).cast("long"), lambda a, c: (a * 33).bitwiseAND(F.lit(4294967295).cast("long")).bitwiseXOR(F.ascii(c).cast("long")))
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+    return F.lower(F.conv(F.aggregate(codes, F.lit(5381).cast("long"), char).cast("string"), 10, 36))
+
+
+@cache
+def plain_letters() -> tuple[str, str, str, str]:
+    """What compatibility decomposition without combining marks makes of the characters that end in ASCII letters and digits:
+    two strings for ``translate`` (marks and apostrophes at the end of the first, without a counterpart), the characters that become several, and a text c=...; of them."""
+    one, many = {chr(c): chr(c + 32) for c in range(65, 91)}, {}
+    for c in range(128, 0x30000):
+        if 0xD800 <= c < 0xE000 or 0x300 <= c < 0x370:
+            continue
+        out = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not 0x300 <= ord(x) < 0x370).lower()
+        if out != chr(c) and any(x.isascii() and x.isalnum() for x in out):
+            if len(out) == 1 and c < 0x10000:
+                one[chr(c)] = out
+            else:
+                many[chr(c)] = "".join(x if x.isascii() and x.isalnum() else "-" for x in out if x not in "'’")
+    gone = "".join(map(chr, range(0x300, 0x370))) + "'’"
+    return "".join(one) + gone, "".join(one.values()), "".join(many), "".join(f"{c}={v};" for c, v in many.items())
 
 
 def slug(x: Column) -> Column:
-    """Latin letters without accents, lower case, runs of anything else as one hyphen; "untitled" if nothing is left."""
-    plain = F.lower(F.translate(x, *ACCENTS))
-    joined = F.regexp_replace(F.regexp_replace(plain, "['’]", ""), "[^a-z0-9]+", "-")
-    out = F.regexp_replace(joined, "^-+|-+$", "")
-    return F.when(out == "", "untitled").otherwise(out)
+    """Letters and digits as compatibility decomposition leaves them, without marks, lower case; runs of anything else as one hyphen; "untitled" if nothing is left."""
+    of, to, many, table = plain_letters()
+
+    def spelled(v: Column) -> Column:
+        return F.array_join(F.transform(F.split(v, ""), lambda c: F.when(F.contains(F.lit(many), c) & (c != ""), F.split_part(F.split_part(F.lit(table), F.concat(c, F.lit("=")), F.lit(2)), F.lit(";"), F.lit(1))).otherwise(c)), "")
+
+    def joined(v: Column) -> Column:
+        whole = F.when(v.rlike(f"[{many}]"), spelled(v)).otherwise(v)
+        return F.btrim(F.regexp_replace(F.translate(whole, of, to), "[^a-z0-9]+", "-"), F.lit("-"))
+
+    # as lambdas, so that neither x nor the chain is computed twice
+    return F.transform(F.transform(F.array(x), joined), lambda v: F.when(v == "", "untitled").otherwise(v))[0]
 
 
 def file_name(x: Column, fallback: str = "Untitled") -> Column:
@@ -141,3 +178,122 @@ def cosine(a: Column, b: Column) -> Column:
 
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+
+
+# Endings of file names, and words that follow a file's name in a label.
+EXTENSIONS = "swift ts tsx js jsx py md json yaml yml toml rs go java kt h m mm cpp cc c css scss sass less html htm vue rb sh bash sql proto graphql gql lua php pl scala".split()
+FILE_WORDS = r"source\s+file|source|implementation|code|impl|file|class|module|function|fn|view|controller"
+# Labels that are evidence of a project rather than its name, words that name a lasting project, and further ones of clusters.
+EVIDENCE_WORDS = "analysis|assignment|breakdown|deck|deliverable|funding|outline|pitch|planning|query|reference|research|resume|slide|slides|stack|ux|writeup"
+PROJECT_WORDS = "agent|app|graph|platform|plugin|product|service|system|tool|vault|workflow|workstream"
+CLUSTER_WORDS = ["agent", "automation", "backend", "database", "frontend", "graph", "platform", "plugin", "product", "vault", "workflow"]
+# Domains that are no projects, by tokens of which one of each list must be found. A profile puts its own domains in front.
+OTHER_DOMAINS = [
+    ("phone-plan", [["family", "iphone", "phone", "carrier", "verizon", "mobile", "tmobile"]]),
+    ("ai-job-research", [["job", "displacement"], ["role", "tech", "estimate", "career"]]),
+    ("school-assignment", [["assignment", "homework", "class", "course"]]),
+    ("school-assignment", [["top"], ["five"]]),
+]
+
+
+def clean_label(label: Column, title: Column) -> Column:
+    """A label without its chunk's number; the title where nothing is left."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(label, r"(?i)\s+\(chunk\s+\d+\)$", ""), rf"(?i){B}chunk\s+\d+{E}", ""), r"\s+", " ")
+    return F.coalesce(F.nullif(trim_all(out), F.lit("")), trim_all(F.regexp_replace(title, r"(?i)\s+\(chunk\s+\d+\)$", "")))
+
+
+def filename_slug(label: Column) -> Column:
+    """The slug of the first file name in a label; empty without one."""
+    plain = trim_all(F.regexp_replace(trim_all(label), rf"(?i)\s+(?:{FILE_WORDS})$", ""))
+    names = F.filter(F.split(plain, r"\s+"), lambda t: F.regexp_extract(F.lower(t), r"^[a-z0-9_]+\.([a-z0-9]{1,6})$", 1).isin(EXTENSIONS))
+    stem = F.regexp_extract(F.get(names, F.lit(0)), r"^([A-Za-z0-9_]+)\.", 1)
+    return F.when(trim_all(label).startswith("_") | (F.size(names) == 0), "").otherwise(slug(stem))
+
+
+def graph_type(kind: Column, label: Column) -> Column:
+    """The type that an item is filed under: styles are patterns, and what reads as a file is an artifact."""
+    return F.when(kind == "style_pattern", "pattern").when(kind.isin("entity", "artifact") & (filename_slug(label) != ""), "artifact").otherwise(kind)
+
+
+def domain_key(text: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    """The first domain of which every list has a token in the text; null for none."""
+    tokens = significant_tokens(text)
+    out = None
+    for name, lists in domains or OTHER_DOMAINS:
+        cond = F.lit(True)
+        for words in lists:
+            cond &= F.arrays_overlap(tokens, F.array(*map(F.lit, words)))
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return out
+
+
+def project_kind(label: Column, summary: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    """(kind, domain) of a project's label: durable_project, domain_evidence or non_project."""
+    barred = [n for n, _ in OTHER_DOMAINS]
+    evidence = has_word(label, EVIDENCE_WORDS)
+    clean = trim_all(label)
+    lasting = (clean != "") & (F.length(clean) <= 90) & ~narrow_action(clean) & ~evidence & (F.size(significant_tokens(clean)) >= 2) & has_word(F.concat_ws(" ", clean, summary), PROJECT_WORDS)
+    own = F.when(lasting, F.concat(F.lit("custom:"), F.coalesce(F.nullif(project_slug(label), F.lit("")), slug(label))))
+    domain = F.coalesce(domain_key(label, domains), domain_key(summary, domains), own)
+    kind = F.when(domain.isNull() | domain.isin(barred), "non_project").when(evidence, "domain_evidence").when(domain.startswith("custom:"), F.when(lasting, "durable_project").otherwise("domain_evidence"))
+    return F.struct(kind.otherwise(F.when(narrow_action(label), "domain_evidence").otherwise("durable_project")).alias("kind"), domain.alias("domain"))
+
+
+def match_keys(kind: Column, label: Column, product: Column | None = None) -> Column:
+    """The keys under which a label of a type is found, the surest first. product: the product that a label names, by the profile's own rules (empty: none)."""
+    plain, tokens = slug(label), F.array_join(significant_tokens(label), "-")
+    other = kind != "project"
+
+    def key(name: str, value: Column, cond: Column) -> Column:
+        return F.when(cond & (value != ""), F.concat(kind, F.lit(f":{name}"), value))
+
+    domain = F.coalesce(project_kind(label, F.lit(""))["domain"], F.lit(""))
+    lasting = ~domain.isin([n for n, _ in OTHER_DOMAINS])
+    keys = [key("", plain, F.lit(True)), key("normalized:", tokens, tokens != plain)]
+    keys += [key("app-product:", product, other)] if product is not None else []
+    keys += [key("filename:", filename_slug(label), other), key("project-domain:", domain, ~other & lasting), key("project-normalized:", project_slug(label), ~other)]
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def guarded(kind: Column, left: Column, right: Column, similarity: Column, threshold: float = 0.92) -> Column:
+    """Whether a similar label may be merged: projects of one lasting domain; else the very similar, or those that share a file's name or a token."""
+    a, b = project_kind(left, F.lit("")), project_kind(right, F.lit(""))
+    project = F.coalesce((a["domain"] == b["domain"]) & ~a["domain"].isin([n for n, _ in OTHER_DOMAINS]), F.lit(False))
+    shared = ((filename_slug(left) != "") & (filename_slug(left) == filename_slug(right))) | F.arrays_overlap(significant_tokens(left), significant_tokens(right))
+    return F.when(kind == "project", project).otherwise((similarity >= threshold + 0.05) | shared)
+
+
+def named_stable(label: Column) -> Column:
+    tokens = F.size(significant_tokens(label))
+    marked = label.rlike(r"(?i)\.[a-z0-9]{1,8}$") | label.rlike(f"{B}[A-Z]{{2,}}{E}") | label.rlike("[a-z][A-Z]")
+    proper = label.rlike("[0-9]") | trim_all(label).rlike("^[A-Z]")
+    return (tokens > 0) & (F.length(label) <= 90) & (marked | (~narrow_action(label) & (proper | (tokens >= 3))))
+
+
+def anchor_label(kind: Column, label: Column) -> Column:
+    """Whether a label can stand for its source."""
+    return named_stable(label) & ~narrow_action(label) & (name_strength(label) >= 1) & ((kind == "entity") | ~has_word(label, "note|topic|discussion|context|question"))
+
+
+def durable_topic(label: Column) -> Column:
+    return (F.size(significant_tokens(label)) >= 3) & (F.length(label) <= 80) & ~narrow_action(label)
+
+
+def strongest(a: Column, b: Column, order: list[str]) -> Column:
+    """The value that comes first in ``order``; unknown and null values come last."""
+    rank = F.array(*map(F.lit, order))
+
+    def place(x: Column) -> Column:
+        return F.coalesce(F.nullif(F.array_position(rank, x), F.lit(0)), F.lit(99))
+
+    return F.when(b.isNotNull() & (a.isNull() | (place(b) < place(a))), b).otherwise(a)
+
+
+STABILITY = ["stable", "recurring", "situational", "temporary"]
+INFERENCE = ["explicit", "supported_inference"]
+
+
+def joined_text(left: Column, right: Column, most: int) -> Column:
+    """Both texts, the second unless the first holds it."""
+    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
+    return F.when((right == "") | F.contains(left, right), left).when(left == "", truncated(right, most)).otherwise(truncated(F.concat(left, F.lit(" "), right), most))

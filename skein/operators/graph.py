@@ -82,7 +82,7 @@ def token_pairs(items: DataFrame, least: float = 0.25, shared: int = 2) -> DataF
 
 def degrees(source_links: DataFrame, node_links: DataFrame) -> DataFrame:
     """node, degree: one for each source link, one at both ends of each node link."""
-    ends = source_links.select("node").union(node_links.select("node")).union(node_links.select(F.col("other").alias("node")))
+    ends = source_links.select("node").union(node_links.select(F.explode(F.array("node", "other")).alias("node")))  # node_links is made once
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
@@ -107,11 +107,14 @@ def merged_items(items: DataFrame) -> DataFrame:
 
     items: source, type, ord, label, confidence, quote.
     """
-    first = F.min(F.struct("ord", "label"))["label"].alias("label")
-    quotes = F.array_sort(F.collect_list(F.struct("ord", "quote")))
-    g = items.groupBy("source", "type", F.lower("label").alias("key")).agg(first, F.max("confidence").alias("confidence"), F.count("*").alias("n_items"), quotes.alias("q"))
-    five = F.slice(F.array_distinct(F.transform("q", lambda x: x["quote"])), 1, 5)
-    return g.select("source", "type", "label", "confidence", "n_items", F.array_join(five, " | ").alias("quotes"))
+    keys = ["source", "type", "key"]
+    # one row a quote, so that five of them meet in a group, whatever its size
+    one = items.groupBy("source", "type", F.lower("label").alias("key"), "quote").agg(F.min(F.struct("ord", "label")).alias("first"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    ranked = one.withColumn("rank", F.row_number().over(w.orderBy("first.ord", "quote")))
+    five = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "quote"))))
+    g = ranked.groupBy(*keys).agg(F.min("first")["label"].alias("label"), F.max("confidence").alias("confidence"), F.sum("n").alias("n_items"), five.alias("q"))
+    return g.select("source", "type", "label", "confidence", "n_items", F.array_join(F.transform("q", lambda x: x["quote"]), " | ").alias("quotes"))
 
 
 def chunked(turns: DataFrame, most: int, overhead: int = 80) -> DataFrame:

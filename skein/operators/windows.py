@@ -16,7 +16,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int |
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First-wins dedupe: an aggregation with map-side combine, not a sort of every group."""
+    """First-wins dedupe. ``row_number() <= 1`` is cut down in each task before the shuffle, so a group sends one row a task."""
     rest = [c for c in df.columns if c not in keys]
     return top_per_group(df, keys, order, 1).select(*keys, *rest)
 

@@ -281,8 +281,11 @@ def type_counts(spark, d):
 def key_match(spark, d):
     part = read(spark, d, "part")
     by_type = F.concat(F.lit("t:"), T.slug(F.col("p_type")))
+    kinds = part.select("p_type").distinct().select(F.col("p_type").alias("kind"), by_type.alias("type_key"))
+    part = part.join(kinds, F.col("p_type") == F.col("kind"))
+    by_type = F.col("type_key")
     node_keys = F.array_compact(F.array(F.concat(F.lit("b:"), "p_brand", F.lit(":"), "p_size"), F.when(F.col("p_size") > 45, by_type)))
-    probe = read(spark, d, "lineitem").join(part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    probe = read(spark, d, "lineitem").join(part.select("p_partkey", "p_brand", "type_key"), F.col("l_partkey") == F.col("p_partkey"))
     probe = probe.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int")).alias("id"), F.array(F.concat(F.lit("b:"), "p_brand", F.lit(":"), F.col("l_quantity").cast("int")), by_type).alias("keys"))
     return G.first_key_match(probe, F.col("keys"), part.select("p_partkey", node_keys.alias("keys")), F.col("keys"), "id", "p_partkey")
 
@@ -332,15 +335,15 @@ def cache_probe(spark, d):
     return j.groupBy("source").agg(F.count_if(F.col("quality").isNotNull()).alias("hits"), F.count_if(F.col("quality").isNull()).alias("misses"))
 
 
-@query("""WITH x AS (SELECT d.doc_id AS path, coalesce(quality, 1) = 1 AS managed, coalesce(toxic, 0) = 1 AS protected, CASE WHEN d.doc_id % 7 = 0 THEN 'review_item' ELSE 'note' END AS kind FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 2 = 0),
- n AS (SELECT doc_id AS path, doc_id % 5 = 0 AS create_only FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH x AS (SELECT d.doc_id AS path, coalesce(quality, 1) = 1 AS managed, coalesce(toxic, 0) = 1 AS protected, CASE WHEN lang = 'de' THEN 'review_item' ELSE 'note' END AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+ n AS (SELECT doc_id AS path, lang = 'fr' AS create_only FROM documents WHERE n_chars >= 500)
  SELECT coalesce(n.path, x.path) AS path, CASE WHEN n.path IS NULL AND managed AND (NOT protected OR kind = 'review_item') THEN 'delete' WHEN n.path IS NULL THEN 'keep' WHEN x.path IS NULL THEN 'create'
  WHEN create_only THEN 'skip_create_only' WHEN protected THEN 'skip_protected' WHEN NOT managed THEN 'skip_unmanaged' ELSE 'update' END AS action FROM x FULL OUTER JOIN n ON x.path = n.path""")
 def file_merge(spark, d):
-    docs, lab = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").withColumnRenamed("doc_id", "l")
-    kind = F.when(F.col("doc_id") % 7 == 0, "review_item").otherwise("note")
-    x = docs.where("doc_id % 2 = 0").join(lab, F.col("doc_id") == F.col("l"), "left").select(F.col("doc_id").alias("path"), (F.coalesce("quality", F.lit(1)) == 1).alias("managed"), (F.coalesce("toxic", F.lit(0)) == 1).alias("protected"), kind.alias("kind"))
-    n = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("path"), (F.col("doc_id") % 5 == 0).alias("create_only"))
+    docs, lab = read(spark, d, "documents").select("doc_id", "lang", "n_chars"), read(spark, d, "labels").withColumnRenamed("doc_id", "l")
+    kind = F.when(F.col("lang") == "de", "review_item").otherwise("note")
+    x = docs.join(lab, F.col("doc_id") == F.col("l")).select(F.col("doc_id").alias("path"), (F.coalesce("quality", F.lit(1)) == 1).alias("managed"), (F.coalesce("toxic", F.lit(0)) == 1).alias("protected"), kind.alias("kind"))
+    n = docs.where("n_chars >= 500").select(F.col("doc_id").alias("path"), (F.col("lang") == "fr").alias("create_only"))
     return G.merge_actions(x, n)
 
 
@@ -372,3 +375,4 @@ def flagship_graph(spark, d):
 
 
 from . import exchange_queries as exchange_queries  # noqa: E402  adds its queries to the tables above
+from . import graph_queries as graph_queries  # noqa: E402

@@ -21,6 +21,27 @@ def test_slug(spark):
     assert value(spark, T.slug(F.col("x")), x="!!!") == "untitled"
 
 
+def test_slug_decomposes(spark):
+    assert value(spark, T.slug(F.col("x")), x="Łódź Őszi Šárka ﬁn") == "odz-oszi-sarka-fin"
+    assert value(spark, T.slug(F.col("x")), x="½ ㎏ K’s 𝐀b") == "1-2-kg-ks-ab"
+
+
+def test_hash_takes_utf16_units(spark):
+    h = 5381
+    for unit in (97, 0xD83D, 0xDE00, 98):
+        h = (h * 33 & 0xFFFFFFFF) ^ unit
+    assert int(value(spark, T.hash_id(F.col("x")), x="a😀b"), 36) == h
+
+
+def test_labels(spark):
+    assert value(spark, T.filename_slug(F.col("x")), x="Notes on main_view.swift source file") == "main-view"
+    assert value(spark, T.clean_label(F.col("x"), F.lit("Title")), x="chunk 3") == "Title"
+    assert tuple(value(spark, T.project_kind(F.col("x"), F.lit("")), x="Graph Atlas Platform")) == ("durable_project", "custom:graph-atlas-platform")
+    assert tuple(value(spark, T.project_kind(F.col("x"), F.lit("")), x="Family iPhone plan")) == ("non_project", "phone-plan")
+    assert value(spark, T.strongest(F.lit("recurring"), F.col("x"), T.STABILITY), x="stable") == "stable"
+    assert value(spark, T.joined_text(F.col("x"), F.lit("b"), 900), x="a b") == "a b"
+
+
 def test_tokens_are_singular_and_distinct(spark):
     assert value(spark, T.significant_tokens(F.col("x")), x="Scoring the scores of Policies, and 42 boxes") == ["score", "policy", "42", "boxe"]
 
