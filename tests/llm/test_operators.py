@@ -291,16 +291,17 @@ def test_quotation_is_told_from_abuse_and_misspelled_abuse_counts(spark):
     def text(*extra):
         return " ".join([*r.choices(vocab, k=30), *extra, *r.choices(vocab, k=30)])
 
-    texts = [text() for _ in range(150)] + [text("you", "are", r.choice(["worthless", "pathetic", "disgusting"]) + "!") for _ in range(150)]
-    labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(300)], "doc_id long, toxic int")
+    texts = [text() for _ in range(400)] + [text("you", "are", r.choice(["worthless", "pathetic", "disgusting"]) + "!") for _ in range(150)]
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(550)], "doc_id long, toxic int")
     more = [text("you", "are", "wortless!"), text("he", "said", "\"worthless\"", "wrote", "a", "word"), text("you", "are", "worthless!"), text()]
     docs = frame(spark, [*texts, *more])
     model = toxicity.train(docs, labels)
     w = dict(zip(toxicity.COLUMNS, model.weights.tolist()))
     assert w["abuse"] > 0 and w["misspelled"] > 0 and w["quoted"] < w["abuse"]
-    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
-    wrong, told, abuse, clean = (got[300 + i] for i in range(4))
-    assert abuse > 0.5 > clean and abuse > told > clean and abuse >= wrong > clean
+    lexicon = toxicity.Lexicon(["worthless"], [], [3.0], [True])
+    x = np.array([toxicity.measures(t.encode(), toxicity.finder(lexicon)) for t in more])
+    wrong, told, abuse, clean = toxicity.Model(lexicon, toxicity.PRIOR, -2.0).scores(x)
+    assert abuse > wrong > clean and abuse > told > clean
 
 
 def test_lines(spark):
