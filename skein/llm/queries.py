@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, language_model, lines, mixing, neighbours, packing, quality_rules, search, simhash, substrings, toxicity
+from . import classifier, language_model, lines, manifest, mixing, neighbours, packing, quality_rules, search, simhash, substrings, toxicity, url_filters
 from .common import documents, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,5 +57,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_simhash_near_dedup, op4_nearest_neighbours, op5_quality_classifier, op6_line_dedup, op7_toxicity, op8_source_mixing, op9_best_fit_packing, op10_substring_dedup, op11_ranked_search)}
-ORACLE_SQL = {"op2_quality_rules": quality_rules.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL, "op10_substring_dedup": substrings.OP10_SQL, "op11_ranked_search": search.OP11_SQL}
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_simhash_near_dedup, op4_nearest_neighbours, op5_quality_classifier, op6_line_dedup, op7_toxicity, op8_source_mixing, op9_best_fit_packing, op10_substring_dedup, op11_ranked_search, op12_url_filters, op13_merkle_manifest)}
+ORACLE_SQL = {"op2_quality_rules": quality_rules.OP2_SQL, "op8_source_mixing": mixing.OP8_SQL, "op10_substring_dedup": substrings.OP10_SQL, "op11_ranked_search": search.OP11_SQL, "op13_merkle_manifest": manifest.OP13_SQL}
