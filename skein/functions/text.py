@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 # A word boundary that knows ASCII words alone, whatever the letters around.
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-# Words that carry no meaning in a label, and generic words of project labels.
+# Types that describe a person; words that carry no meaning in a label, and generic words of project labels.
+SELF_MODEL = ["pattern", "principle", "agent_instruction", "preference", "decision"]
 STOP_WORDS = ["and", "the", "for", "with", "from", "into", "that", "this", "over", "using", "based", "system", "project", "logic", "feature", "app"]
 PROJECT_STOP_WORDS = ["project", "system", "pipeline", "feature", "app", "overhaul", "improvement", "integration", "implementation", "workflow"]
 # Verbs that begin a narrow action.
@@ -86,6 +88,14 @@ def plain_letters() -> tuple[str, str, str, str]:
     return "".join(one) + gone, "".join(one.values()), "".join(many), "".join(f"{c}={v};" for c, v in many.items())
 
 
+def coarse_ranges(chars: str, gap: int = 64) -> str:
+    """A pattern's class of ranges that holds all the characters, and what lies in gaps of up to ``gap`` between them."""
+    codes = sorted(map(ord, chars))
+    starts = [c for k, c in enumerate(codes) if k == 0 or c - codes[k - 1] > gap]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] - c > gap]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def slug(x: Column) -> Column:
     """Letters and digits as compatibility decomposition leaves them, without marks, lower case; runs of anything else as one hyphen; "untitled" if nothing is left."""
     of, to, many, table = plain_letters()
@@ -94,7 +104,7 @@ def slug(x: Column) -> Column:
         return F.array_join(F.transform(F.split(v, ""), lambda c: F.when(F.contains(F.lit(many), c) & (c != ""), F.split_part(F.split_part(F.lit(table), F.concat(c, F.lit("=")), F.lit(2)), F.lit(";"), F.lit(1))).otherwise(c)), "")
 
     def joined(v: Column) -> Column:
-        whole = F.when(v.rlike(f"[{many}]"), spelled(v)).otherwise(v)
+        whole = F.when(v.rlike(coarse_ranges(many)), spelled(v)).otherwise(v)  # a superset; few texts hold any of it
         return F.btrim(F.regexp_replace(F.translate(whole, of, to), "[^a-z0-9]+", "-"), F.lit("-"))
 
     # as lambdas, so that neither x nor the chain is computed twice
@@ -187,6 +197,14 @@ FILE_WORDS = r"source\s+file|source|implementation|code|impl|file|class|module|f
 EVIDENCE_WORDS = "analysis|assignment|breakdown|deck|deliverable|funding|outline|pitch|planning|query|reference|research|resume|slide|slides|stack|ux|writeup"
 PROJECT_WORDS = "agent|app|graph|platform|plugin|product|service|system|tool|vault|workflow|workstream"
 CLUSTER_WORDS = ["agent", "automation", "backend", "database", "frontend", "graph", "platform", "plugin", "product", "vault", "workflow"]
+# Words that say nothing about a review item.
+REVIEW_STOP_WORDS = ["agent", "answer", "candidate", "context", "instruction", "memory", "output", "pattern", "preference", "principle", "review", "user", "uses", "use", "wants"]
+# Families of traits, each with two lists of words of which one each must be found in label or summary; first match wins.
+FAMILY_RULES = [
+    ("Concise, high-density communication", "concise|terse|brief|brevity|short|dense|high-density", "copy|output|wording|answer|answers|response|responses|writing|communication|reply|replies|investor|slide|deck"),
+    ("Structured bullet-based output", "bullet|bullets|bulleted|list|lists|structured", "output|format|response|summary|summaries|writing|copy|implementation|guidance"),
+    ("Technically detailed implementation guidance", "technical|implementation|code|coded|spec|specs|engineering|developer|cursor|codex", "detail|detailed|specific|grounded|implementation|plan|guidance|prompt|prompts"),
+]
 # Domains that are no projects, by tokens of which one of each list must be found. A profile puts its own domains in front.
 OTHER_DOMAINS = [
     ("phone-plan", [["family", "iphone", "phone", "carrier", "verizon", "mobile", "tmobile"]]),
@@ -255,6 +273,27 @@ def match_keys(kind: Column, label: Column, product: Column | None = None) -> Co
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def family_label(kind: Column, label: Column, summary: Column) -> Column:
+    """The family's label for traits of a person that belong to one, else the label."""
+    text = F.concat_ws(" ", label, summary)
+    out = None
+    for name, one, other in FAMILY_RULES:
+        cond = has_word(text, one) & has_word(text, other)
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return F.when(kind.isin(SELF_MODEL), out.otherwise(label)).otherwise(label)
+
+
+def keys_of(kind: Column, labels: Column, product: Callable[[Column], Column] | None = None) -> Column:
+    """The keys of a label and its aliases (an array), a label's own keys together, in order. product: from a label, as in ``match_keys``."""
+    return F.array_distinct(F.flatten(F.transform(labels, lambda x: match_keys(kind, x, product(x) if product else None))))
+
+
+def review_tokens(label: Column) -> Column:
+    """The first eight significant tokens that say something about a review item."""
+    stop = F.array(*map(F.lit, REVIEW_STOP_WORDS))
+    return F.slice(F.filter(significant_tokens(label), lambda t: ~F.array_contains(stop, t)), 1, 8)
+
+
 def guarded(kind: Column, left: Column, right: Column, similarity: Column, threshold: float = 0.92) -> Column:
     """Whether a similar label may be merged: projects of one lasting domain; else the very similar, or those that share a file's name or a token."""
     a, b = project_kind(left, F.lit("")), project_kind(right, F.lit(""))
@@ -294,6 +333,11 @@ INFERENCE = ["explicit", "supported_inference"]
 
 
 def joined_text(left: Column, right: Column, most: int) -> Column:
-    """Both texts, the second unless the first holds it."""
+    """Both texts, cut at ``most``; the left alone if it holds the right, the right as it is if there is no left."""
     left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-    return F.when((right == "") | F.contains(left, right), left).when(left == "", truncated(right, most)).otherwise(truncated(F.concat(left, F.lit(" "), right), most))
+    return F.when((right == "") | F.contains(left, right), left).when(left == "", right).otherwise(F.substring(F.concat(left, F.lit(" "), right), 1, most))
+
+
+def merged_summary(left: Column, right: Column, most: int = 900) -> Column:
+    """The longer of two texts of which one holds the other, else both, cut at ``most``."""
+    return F.when((left != "") & (right != "") & F.contains(right, left), right).otherwise(joined_text(left, right, most))

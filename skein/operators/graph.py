@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,51 +14,16 @@ def first_key_match(probe: DataFrame, probe_keys: Column, nodes: DataFrame, node
     return hits.groupBy(probe_id).agg(F.min(F.struct("key_ord", "key", "node")).alias("hit")).select(probe_id, "hit.key_ord", "hit.key", "hit.node")
 
 
-def grid_neighbours(vectors: DataFrame, k: int, least: float, block: int = 2048) -> DataFrame:
-    """Exact cosine top k per (node, other's type) at ``least`` or above: id, other_type, other, similarity (6 digits), rank.
+def cooccurrence(links: DataFrame, source: str, node: str, kind: str, order: list[str], cap: int) -> DataFrame:
+    """Distinct nodes of one source, pairwise, capped per (node, other's type). links: distinct (source, node, kind, ...order).
 
-    Rows are dealt to n/block blocks and each pair of blocks is one task, a product of two bounded matrices; pairs below
-    the threshold never leave it, nor more than k a node and type. Unit vectors are made once.
+    The order does not depend on the partner, so only the first ``cap`` + 1 of a source and type can be among the first ``cap`` of anyone
+    (one of them may be the node itself); the rest are not paired.
     """
-    count = vectors.count()
-    parts = max(1, -(-count // block))
-    unit = vectors.select("id", "type", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"))
-    left = unit.select("id", "type", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda q: F.col("p") * parts + q)).alias("cell"))
-    right = unit.select("id", "type", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda q: q * parts + F.col("p"))).alias("cell2"))
-
-    def units(t: pa.Table) -> np.ndarray:
-        x = t.column("v").combine_chunks()
-        m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, float]] = []
-        if a.num_rows and b.num_rows:
-            x, y = units(a), units(b)
-            ai, bi, bt = a.column("id").to_numpy(), b.column("id").to_numpy(), b.column("type").to_numpy()
-            for i in range(0, len(ai), 512):
-                s = np.floor((x[i : i + 512] @ y.T) * 1e6 + 0.5) / 1e6
-                s[ai[i : i + 512, None] == bi[None, :]] = -2
-                r, c = np.nonzero(s >= least)
-                order = np.lexsort((bi[c], -s[r, c], bt[c], r))
-                r, c = r[order], c[order]
-                group = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (bt[c][1:] != bt[c][:-1])]) if len(r) else np.zeros(0, int)
-                rank = np.arange(len(r)) - np.repeat(group, np.diff(np.r_[group, len(r)])) if len(r) else r
-                keep = rank < k
-                out += zip(ai[i + r[keep]].tolist(), bt[c[keep]].tolist(), bi[c[keep]].tolist(), s[r[keep], c[keep]].tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.table({"id": pa.array(cols[0], pa.int64()), "other_type": pa.array(cols[1], pa.int32()), "other": pa.array(cols[2], pa.int64()), "similarity": pa.array(cols[3], pa.float64())})
-
-    near = left.groupBy("cell").cogroup(right.groupBy("cell2")).applyInArrow(run, "id long, other_type int, other long, similarity double")
-    w = Window.partitionBy("id", "other_type").orderBy(F.desc("similarity"), "other")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def cooccurrence(links: DataFrame, source: str, node: str, kind: str, order: list[str], cap: int) -> DataFrame:
-    """Distinct nodes of one source, pairwise, capped per (node, other's type). links: distinct (source, node, kind, ...order)."""
     a = links.select(F.col(source).alias("s"), F.col(node).alias("node"))
-    b = links.select(F.col(source).alias("s2"), F.col(node).alias("other"), F.col(kind).alias("other_type"), *order)
+    first = Window.partitionBy(source, kind).orderBy(*[F.desc(c) for c in order], node)
+    b = links.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= cap + 1)
+    b = b.select(F.col(source).alias("s2"), F.col(node).alias("other"), F.col(kind).alias("other_type"), *order)
     pairs = a.join(b, (F.col("s") == F.col("s2")) & (F.col("node") != F.col("other"))).select("node", "other", "other_type", *order).distinct()
     w = Window.partitionBy("node", "other_type").orderBy(*[F.desc(c) for c in order], "other")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import graph as G
 from .operators import windows as W
+from .operators.similarity import similar_top
 from .plans.flagship import conversation_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,14 +298,13 @@ SIMILAR_SQL = """(SELECT a.vec_id AS id, b.vec_id AS other, b.label AS other_typ
 @query(f"SELECT id, other_type, other, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, other_type ORDER BY similarity DESC, other) AS rank FROM {SIMILAR_SQL} WHERE similarity >= 0.2) WHERE rank <= 2")
 def similarity_topk(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
-    return G.grid_neighbours(v, 2, 0.2)
+    return similar_top(v, 2, 0.2)
 
 
 @query(f"SELECT id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM {SIMILAR_SQL} WHERE type = other_type AND similarity >= 0.25) WHERE r = 1")
 def semantic_match(spark, d):
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
-    best = G.grid_neighbours(v, 1, 0.25).join(v.select(F.col("id").alias("i"), "type"), F.col("id") == F.col("i")).where("type = other_type")
-    return best.select("id", "other", "similarity")
+    return similar_top(v, 1, 0.25, same_type=True).select("id", "other", "similarity")
 
 
 @query(f"""WITH t AS (SELECT p.p_partkey AS id, p_brand AS type, tokens FROM {tokens_sql('part', 'p_partkey', 'p_name')} k JOIN part p USING (p_partkey)),
