@@ -47,6 +47,11 @@ def has_word(text: Column, words: str) -> Column:
     return text.rlike(f"(?i){B}(?:{words}){E}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it, and a small expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
@@ -135,14 +140,24 @@ def singular(t: Column) -> Column:
     return known.when(t.endswith("ies") & (F.length(t) > 4), F.concat(F.expr("''"), F.regexp_replace(t, "ies$", "y"))).when(t.endswith("s") & (F.length(t) > 4) & ~t.endswith("ss"), F.regexp_replace(t, "s$", "")).otherwise(t)
 
 
-def significant_tokens(label: Column) -> Column:
+def tokens_of(plain: Column) -> Column:
+    """The significant tokens of a slug."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(F.transform(F.split(slug(label), "-"), singular), lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]+$")) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(F.transform(F.split(plain, "-"), singular), lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]+$")) & ~F.array_contains(stop, t)))
 
 
-def project_slug(label: Column) -> Column:
+def significant_tokens(label: Column) -> Column:
+    return tokens_of(slug(label))
+
+
+def project_part(tokens: Column) -> Column:
+    """The slug of the tokens that name a project."""
     stop = F.array(*map(F.lit, PROJECT_STOP_WORDS))
-    return F.array_join(F.slice(F.filter(significant_tokens(label), lambda t: ~F.array_contains(stop, t)), 1, 5), "-")
+    return F.array_join(F.slice(F.filter(tokens, lambda t: ~F.array_contains(stop, t)), 1, 5), "-")
+
+
+def project_slug(label: Column) -> Column:
+    return project_part(significant_tokens(label))
 
 
 def name_strength(x: Column) -> Column:
@@ -233,9 +248,8 @@ def graph_type(kind: Column, label: Column) -> Column:
     return F.when(kind == "style_pattern", "pattern").when(kind.isin("entity", "artifact") & (filename_slug(label) != ""), "artifact").otherwise(kind)
 
 
-def domain_key(text: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
-    """The first domain of which every list has a token in the text; null for none."""
-    tokens = significant_tokens(text)
+def domain_of(tokens: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    """The first domain of which every list has one of the tokens; null for none."""
     out = None
     for name, lists in domains or OTHER_DOMAINS:
         cond = F.lit(True)
@@ -245,32 +259,68 @@ def domain_key(text: Column, domains: list[tuple[str, list[list[str]]]] | None =
     return out
 
 
-def project_kind(label: Column, summary: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
-    """(kind, domain) of a project's label: durable_project, domain_evidence or non_project."""
+def domain_key(text: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    return let(significant_tokens(text), lambda t: domain_of(t, domains))
+
+
+def read_label(label: Column) -> Column:
+    """plain and tokens: a label's slug and its significant tokens, computed once."""
+    return let(slug(label), lambda p: F.struct(p.alias("plain"), tokens_of(p).alias("tokens")))
+
+
+def kind_of_project(label: Column, summary: Column, said: Column, told: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    """(kind, domain) of a project's label, given ``read_label`` of the label and the tokens of the summary."""
     barred = [n for n, _ in OTHER_DOMAINS]
-    evidence = has_word(label, EVIDENCE_WORDS)
     clean = trim_all(label)
-    lasting = (clean != "") & (F.length(clean) <= 90) & ~narrow_action(clean) & ~evidence & (F.size(significant_tokens(clean)) >= 2) & has_word(F.concat_ws(" ", clean, summary), PROJECT_WORDS)
-    own = F.when(lasting, F.concat(F.lit("custom:"), F.coalesce(F.nullif(project_slug(label), F.lit("")), slug(label))))
-    domain = F.coalesce(domain_key(label, domains), domain_key(summary, domains), own)
-    kind = F.when(domain.isNull() | domain.isin(barred), "non_project").when(evidence, "domain_evidence").when(domain.startswith("custom:"), F.when(lasting, "durable_project").otherwise("domain_evidence"))
-    return F.struct(kind.otherwise(F.when(narrow_action(label), "domain_evidence").otherwise("durable_project")).alias("kind"), domain.alias("domain"))
+
+    def kind(t: Column) -> Column:
+        evidence, lasting, domain = t["evidence"], t["lasting"], t["domain"]
+        k = F.when(domain.isNull() | domain.isin(barred), "non_project").when(evidence, "domain_evidence").when(domain.startswith("custom:"), F.when(lasting, "durable_project").otherwise("domain_evidence"))
+        return F.struct(k.otherwise(F.when(narrow_action(label), "domain_evidence").otherwise("durable_project")).alias("kind"), domain.alias("domain"))
+
+    def domain(t: Column) -> Column:
+        own = F.when(t["lasting"], F.concat(F.lit("custom:"), F.coalesce(F.nullif(project_part(said["tokens"]), F.lit("")), said["plain"])))
+        return F.struct(t["evidence"].alias("evidence"), t["lasting"].alias("lasting"), F.coalesce(domain_of(said["tokens"], domains), domain_of(told, domains), own).alias("domain"))
+
+    evidence = has_word(label, EVIDENCE_WORDS)
+    lasting = (clean != "") & (F.length(clean) <= 90) & ~narrow_action(clean) & ~evidence & (F.size(said["tokens"]) >= 2) & has_word(F.concat_ws(" ", clean, summary), PROJECT_WORDS)
+    return let(let(F.struct(evidence.alias("evidence"), lasting.alias("lasting")), domain), kind)
+
+
+def project_kind(label: Column, summary: Column, domains: list[tuple[str, list[list[str]]]] | None = None) -> Column:
+    """(kind, domain) of a project's label: durable_project, domain_evidence or non_project."""
+    return let(F.struct(read_label(label).alias("said"), significant_tokens(summary).alias("told")), lambda t: kind_of_project(label, summary, t["said"], t["told"], domains))
 
 
 def match_keys(kind: Column, label: Column, product: Column | None = None) -> Column:
     """The keys under which a label of a type is found, the surest first. product: the product that a label names, by the profile's own rules (empty: none)."""
-    plain, tokens = slug(label), F.array_join(significant_tokens(label), "-")
     other = kind != "project"
 
     def key(name: str, value: Column, cond: Column) -> Column:
         return F.when(cond & (value != ""), F.concat(kind, F.lit(f":{name}"), value))
 
-    domain = F.coalesce(project_kind(label, F.lit(""))["domain"], F.lit(""))
-    lasting = ~domain.isin([n for n, _ in OTHER_DOMAINS])
-    keys = [key("", plain, F.lit(True)), key("normalized:", tokens, tokens != plain)]
-    keys += [key("app-product:", product, other)] if product is not None else []
-    keys += [key("filename:", filename_slug(label), other), key("project-domain:", domain, ~other & lasting), key("project-normalized:", project_slug(label), ~other)]
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    def keys(t: Column) -> Column:
+        plain, tokens = t["said"]["plain"], F.array_join(t["said"]["tokens"], "-")
+        out = [key("", plain, F.lit(True)), key("normalized:", tokens, tokens != plain)]
+        out += [key("app-product:", product, other)] if product is not None else []
+        out += [key("filename:", t["file"], other), key("project-domain:", t["domain"], ~other), key("project-normalized:", project_part(t["said"]["tokens"]), ~other)]
+        return F.array_distinct(F.array_compact(F.array(*out)))
+
+    none = F.array().cast("array<string>")
+    # what only projects or only other types need is computed for those
+    domain = F.when(~other, let(read_label(label), lambda r: lasting_domain_of(kind_of_project(label, F.lit(""), r, none)["domain"])))
+    file = F.when(other, filename_slug(label))
+    return let(F.struct(read_label(label).alias("said"), F.coalesce(file, F.lit("")).alias("file"), F.coalesce(domain, F.lit("")).alias("domain")), keys)
+
+
+def lasting_domain_of(domain: Column) -> Column:
+    """The domain, unless it is one of those that are no projects."""
+    return F.when(~domain.isin([n for n, _ in OTHER_DOMAINS]), domain)
+
+
+def lasting_domain(label: Column, summary: Column) -> Column:
+    """The domain of a project that lasts; null for none."""
+    return lasting_domain_of(project_kind(label, summary)["domain"])
 
 
 def family_label(kind: Column, label: Column, summary: Column) -> Column:
@@ -294,12 +344,12 @@ def review_tokens(label: Column) -> Column:
     return F.slice(F.filter(significant_tokens(label), lambda t: ~F.array_contains(stop, t)), 1, 8)
 
 
-def guarded(kind: Column, left: Column, right: Column, similarity: Column, threshold: float = 0.92) -> Column:
+def guarded(kind: Column, left: Column, right: Column, similarity: Column, threshold: float = 0.92, left_summary: Column | None = None, right_summary: Column | None = None) -> Column:
     """Whether a similar label may be merged: projects of one lasting domain; else the very similar, or those that share a file's name or a token."""
-    a, b = project_kind(left, F.lit("")), project_kind(right, F.lit(""))
-    project = F.coalesce((a["domain"] == b["domain"]) & ~a["domain"].isin([n for n, _ in OTHER_DOMAINS]), F.lit(False))
-    shared = ((filename_slug(left) != "") & (filename_slug(left) == filename_slug(right))) | F.arrays_overlap(significant_tokens(left), significant_tokens(right))
-    return F.when(kind == "project", project).otherwise((similarity >= threshold + 0.05) | shared)
+    none = F.lit("")
+    project = F.coalesce(lasting_domain(left, none if left_summary is None else left_summary) == lasting_domain(right, none if right_summary is None else right_summary), F.lit(False))
+    file = let(filename_slug(left), lambda f: (f != "") & (f == filename_slug(right)))
+    return F.when(kind == "project", project).otherwise((similarity >= threshold + 0.05) | F.arrays_overlap(significant_tokens(left), significant_tokens(right)) | file)
 
 
 def named_stable(label: Column) -> Column:

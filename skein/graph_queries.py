@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import build as B
-from .plans.graph_build import build_graph
-from .registry import query, read, slug_sql, tokens_sql
+from .operators.matching import cascade
+from .operators.seeds import placed, survivors
+from .plans.graph_build import Graph, build_graph
+from .registry import ORACLE_SQL, query, read, slug_sql, tokens_sql
 
 STABLE_SQL = "CASE p_size % 5 WHEN 0 THEN 'temporary' WHEN 1 THEN 'situational' WHEN 2 THEN 'recurring' WHEN 3 THEN 'stable' END"
 
@@ -20,30 +22,48 @@ def stability(size: F.Column) -> F.Column:
 def filed_parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts filed under their brand, in the order of keys."""
     p = read(spark, d, "part")
-    return p.select(F.col("p_brand").alias("node"), F.col("p_brand").alias("node_label"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("source"), F.col("p_name").alias("label"), F.col("p_type").alias("summary"), (F.col("p_size") / 100).alias("confidence"), F.col("p_name").alias("quote"), stability(F.col("p_size")).alias("stability"), F.when(F.col("p_size") > 25, "explicit").otherwise("supported_inference").alias("inference_level"), F.col("p_size").cast("string").alias("last_seen"))
+    sure = F.col("p_size") / 100
+    evidence = F.array(F.struct(F.col("p_type").alias("source"), F.col("p_name").alias("quote"), F.lit(0.4).alias("confidence")))
+    return p.select(F.col("p_brand").alias("node"), F.col("p_partkey").alias("ord"), F.array("p_type").alias("sources"), F.array("p_name").alias("names"), F.col("p_type").alias("summary"), sure.alias("confidence"), evidence.alias("evidence"), stability(F.col("p_size")).alias("stability"), F.when(F.col("p_size") > 25, "explicit").otherwise("supported_inference").alias("inference_level"), F.array(F.substring_index("p_type", " ", 1)).alias("applies_to"), F.when(F.col("p_size") > 30, F.col("p_name")).alias("agent_instruction"), F.col("p_size").cast("string").alias("last_seen"))
 
 
 @query(f"""WITH c AS (SELECT p_brand AS node, p_partkey AS ord, p_type AS source, p_name AS label, p_size / 100::DOUBLE AS conf, {STABLE_SQL} AS st, p_size FROM part),
- g AS (SELECT node, max(conf) AS confidence, count(DISTINCT source) AS n_sources, max(CASE st WHEN 'stable' THEN 4 WHEN 'recurring' THEN 3 WHEN 'situational' THEN 2 WHEN 'temporary' THEN 1 END) AS s, max(p_size) > 25 AS ex, arg_max(p_size::VARCHAR, ord) AS last_seen FROM c GROUP BY node),
- a AS (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY o, label) AS r FROM (SELECT node, label, min(ord) AS o FROM c WHERE {slug_sql('label')} <> {slug_sql('node')} GROUP BY ALL)),
- q AS (SELECT node, source, label, row_number() OVER (PARTITION BY node ORDER BY m DESC, o, source, label) AS r FROM (SELECT node, source, label, max(conf) AS m, min(ord) AS o FROM c GROUP BY ALL)),
+ g AS (SELECT node, max(conf) AS confidence, count(DISTINCT source) AS n_sources, max(CASE st WHEN 'stable' THEN 4 WHEN 'recurring' THEN 3 WHEN 'situational' THEN 2 WHEN 'temporary' THEN 1 END) AS s, max(p_size) > 25 AS ex, arg_max(p_size::VARCHAR, ord) AS last_seen, arg_min(label, ord) FILTER (p_size > 30) AS agent_instruction FROM c GROUP BY node),
+ a AS (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY o) AS r FROM (SELECT node, label, min(ord) AS o FROM c WHERE {slug_sql('label')} <> {slug_sql('node')} GROUP BY ALL)),
+ f AS (SELECT node, source, label, arg_min(least(conf, 0.4), ord) AS conf, min(ord) AS ord FROM c GROUP BY ALL),
+ q AS (SELECT node, source, label, row_number() OVER (PARTITION BY node ORDER BY conf DESC, ord) AS r FROM f),
+ w AS (SELECT node, x, row_number() OVER (PARTITION BY node ORDER BY min(ord)) AS r FROM (SELECT node, ord, string_split(source, ' ')[1] AS x FROM c) GROUP BY node, x),
  t AS (SELECT node, list(source ORDER BY o, source) AS ss FROM (SELECT node, source, min(ord) AS o FROM c GROUP BY ALL) GROUP BY node)
- SELECT g.node, confidence, n_sources, CASE s WHEN 4 THEN 'stable' WHEN 3 THEN 'recurring' WHEN 2 THEN 'situational' WHEN 1 THEN 'temporary' END AS stability, CASE WHEN ex THEN 'explicit' ELSE 'supported_inference' END AS inference_level, last_seen,
- (SELECT string_agg(label, ';' ORDER BY r) FROM a WHERE a.node = g.node AND r <= 12) AS aliases, (SELECT string_agg(source || ':' || label, ';' ORDER BY r) FROM q WHERE q.node = g.node AND r <= 30) AS evidence,
- list_reduce(list_prepend('', ss), lambda x, y: CASE WHEN contains(x, y) THEN x WHEN x = '' THEN y WHEN length(x || ' ' || y) <= 900 THEN x || ' ' || y ELSE regexp_replace(left(x || ' ' || y, 885), '\\s+$', '') || chr(10) || chr(10) || '[truncated]' END) AS summary FROM g JOIN t USING (node)""")
+ SELECT g.node, confidence, n_sources, CASE s WHEN 4 THEN 'stable' WHEN 3 THEN 'recurring' WHEN 2 THEN 'situational' WHEN 1 THEN 'temporary' END AS stability, CASE WHEN ex THEN 'explicit' ELSE 'supported_inference' END AS inference_level, last_seen, agent_instruction,
+ (SELECT string_agg(label, ';' ORDER BY r) FROM a WHERE a.node = g.node AND r <= 12) AS aliases, (SELECT string_agg(source || ':' || label, ';' ORDER BY r) FROM q WHERE q.node = g.node AND r <= 30) AS evidence, (SELECT string_agg(x, ';' ORDER BY r) FROM w WHERE w.node = g.node AND r <= 8) AS applies_to,
+ list_reduce(list_prepend('', ss), lambda x, y: CASE WHEN x = '' OR contains(y, x) THEN y WHEN contains(x, y) THEN x ELSE left(x || ' ' || y, 900) END) AS summary FROM g JOIN t USING (node)""")
 def node_accumulate(spark, d):
-    n = B.accumulated(filed_parts(spark, d))
-    return n.select("node", "confidence", "n_sources", "stability", "inference_level", "last_seen", F.array_join("aliases", ";").alias("aliases"), F.array_join(F.transform("evidence", lambda e: F.concat(e["source"], F.lit(":"), e["quote"])), ";").alias("evidence"), "summary")
+    rows = filed_parts(spark, d)
+    n = B.accumulated(rows, rows.select("node", F.col("node").alias("label")).distinct())
+    return n.select("node", "confidence", "n_sources", "stability", "inference_level", "last_seen", "agent_instruction", F.array_join("aliases", ";").alias("aliases"), F.array_join(F.transform("evidence", lambda e: F.concat(e["source"], F.lit(":"), e["quote"])), ";").alias("evidence"), F.array_join("applies_to", ";").alias("applies_to"), "summary")
 
 
-@query("""WITH c AS (SELECT p_type AS cluster, p_partkey AS ord, p_brand AS source, p_name AS label, p_size / 100::DOUBLE AS conf, p_name || '!' AS quote FROM part),
- b AS (SELECT cluster, label AS best FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, CASE WHEN length(label) > 80 THEN 3 ELSE 0 END, ord) AS r FROM c) WHERE r = 1),
- a AS (SELECT cluster, string_agg(label, ';' ORDER BY r) AS aliases FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY min(ord), label) AS r FROM c JOIN b USING (cluster) WHERE label <> best GROUP BY cluster, label) WHERE r <= 8 GROUP BY cluster),
- q AS (SELECT cluster, string_agg(quote, ';' ORDER BY r) AS quotes FROM (SELECT cluster, quote, row_number() OVER (PARTITION BY cluster ORDER BY max(conf) DESC, min(ord), quote) AS r FROM c GROUP BY cluster, quote) WHERE r <= 12 GROUP BY cluster)
- SELECT cluster, best AS label, coalesce(aliases, '') AS aliases, quotes, confidence, n_sources, n_variants, n_items FROM (SELECT cluster, max(conf) AS confidence, count(DISTINCT source) AS n_sources, count(DISTINCT label) AS n_variants, count(*) AS n_items FROM c GROUP BY cluster) JOIN b USING (cluster) LEFT JOIN a USING (cluster) JOIN q USING (cluster)""")
+def part_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Traits named after parts, clustered by the parts' type."""
+    p = read(spark, d, "part")
+    evidence = F.array(F.struct(F.col("p_brand").alias("source"), F.concat("p_name", F.lit("!")).alias("quote"), F.lit(0.3).alias("confidence")))
+    return p.select(F.col("p_type").alias("cluster"), F.col("p_partkey").alias("ord"), F.lit("preference").alias("type"), F.col("p_brand").alias("source"), F.lit("a title").alias("title"), F.col("p_name").alias("label"), F.lit("said").alias("summary"), (F.col("p_size") / 100).alias("confidence"), evidence.alias("evidence"), stability(F.col("p_size")).alias("stability"), F.when(F.col("p_size") > 25, "explicit").otherwise("supported_inference").alias("inference_level"), F.array("p_brand").alias("applies_to"), F.lit(None).cast("string").alias("agent_instruction"), F.col("p_size").cast("string").alias("last_seen"))
+
+
+PRIORITY_SQL = "CASE WHEN {status} = 'rejected' THEN 'low' WHEN {sources} >= 2 OR coalesce({inference} = 'explicit' AND {stability} IN ('stable', 'recurring') AND {confidence} >= 0.9, false) THEN 'high' WHEN coalesce({stability} IN ('situational', 'temporary'), false) OR {confidence} < 0.8 THEN 'low' ELSE 'medium' END"
+
+
+@query(f"""WITH c AS (SELECT p_type AS cluster, p_partkey AS ord, p_brand AS source, p_name AS label, p_size / 100::DOUBLE AS conf, p_name || '!' AS quote, p_size, {STABLE_SQL} AS st FROM part),
+ b AS (SELECT cluster, label AS best, conf, st, p_size, {slug_sql('label')} AS slug FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, CASE WHEN length(label) > 80 THEN 3 ELSE 0 END, ord) AS r FROM c) WHERE r = 1),
+ a AS (SELECT cluster, string_agg(label, ';' ORDER BY r) AS aliases FROM (SELECT cluster, label, row_number() OVER (PARTITION BY cluster ORDER BY min(ord), label) AS r FROM c JOIN b USING (cluster) WHERE {slug_sql('label')} <> slug GROUP BY cluster, label) WHERE r <= 8 GROUP BY cluster),
+ e AS (SELECT cluster, source, quote, arg_min(least(conf, 0.3), ord) AS conf, min(ord) AS ord FROM c GROUP BY ALL),
+ q AS (SELECT cluster, string_agg(quote, ';' ORDER BY r) FILTER (r <= 12) AS quotes, count(*) AS grouped_evidence FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, ord) AS r FROM e) GROUP BY cluster),
+ n AS (SELECT cluster, count(DISTINCT source) AS n_sources, count(*) AS variant_count FROM c GROUP BY cluster)
+ SELECT cluster, 'review_preference_' || slug AS id, best AS label, coalesce(aliases, '') AS aliases, quotes, conf AS confidence, n_sources, variant_count, grouped_evidence, {PRIORITY_SQL.format(status="'pending'", sources="n_sources", inference="CASE WHEN p_size > 25 THEN 'explicit' END", stability="st", confidence="conf")} AS priority
+ FROM n JOIN b USING (cluster) LEFT JOIN a USING (cluster) JOIN q USING (cluster)""")
 def review_item(spark, d):
-    c = read(spark, d, "part").select(F.col("p_type").alias("cluster"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("source"), F.col("p_name").alias("label"), (F.col("p_size") / 100).alias("confidence"), F.concat("p_name", F.lit("!")).alias("quote"))
-    return B.review_items(c).withColumn("aliases", F.array_join("aliases", ";")).withColumn("quotes", F.array_join("quotes", ";"))
+    r = B.review_items(part_clusters(spark, d))
+    return r.select("cluster", "id", "label", F.array_join("aliases", ";").alias("aliases"), F.array_join(F.transform("evidence", lambda e: e["quote"]), ";").alias("quotes"), "confidence", "n_sources", "variant_count", "grouped_evidence", "priority")
 
 
 LABEL_SQL = "CASE p_size % 5 WHEN 0 THEN p_name || ' (chunk 3)' WHEN 1 THEN 'Chunk 12' WHEN 2 THEN 'See ' || replace(p_name, ' ', '_') || '.ts source file' WHEN 3 THEN '_x ' || p_name ELSE p_name || '  a.docx' END"
@@ -119,9 +139,9 @@ def class_counts(spark, d):
     return B.zero_filled(o, "class", classes)
 
 
-@query("SELECT l_orderkey AS source, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY l_linenumber, l_returnflag) AS summary, floor(avg((1 - l_discount)::DOUBLE) * 1000000 + 0.5) / 1000000 AS confidence, count(*) AS n_chunks FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS source, coalesce(string_agg(CASE WHEN l_quantity < 10 THEN NULL ELSE l_returnflag || l_linenumber END, ' ' ORDER BY l_linenumber, l_returnflag), '') AS summary, floor(avg((1 - l_discount)::DOUBLE) * 1000000 + 0.5) / 1000000 AS confidence, count(*) AS n_chunks FROM lineitem GROUP BY l_orderkey")
 def chunk_merge(spark, d):
-    c = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("chunk"), F.concat("l_returnflag", "l_linenumber").alias("summary"), (1 - F.col("l_discount")).cast("double").alias("confidence"))
+    c = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("chunk"), F.when(F.col("l_quantity") < 10, "").otherwise(F.concat("l_returnflag", "l_linenumber")).alias("summary"), (1 - F.col("l_discount")).cast("double").alias("confidence"))
     return B.merged_chunks(c).withColumn("confidence", F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000)
 
 
@@ -131,31 +151,48 @@ def pass_merge(spark, d):
     return B.merged_passes(p.select(F.col("p_partkey").alias("source"), F.col("p_name").alias("summary"), (F.col("p_size") / 100).alias("confidence")), p.select(F.col("p_partkey").alias("source"), F.right("p_type", F.lit(4)).alias("summary"), F.lit(0.25).alias("confidence")))
 
 
-@query("""SELECT p_partkey AS node, weight FROM (SELECT *, CASE p_size % 4 WHEN 0 THEN 50 WHEN 1 THEN 40 WHEN 2 THEN 20 ELSE 0 END AS weight FROM part) ORDER BY weight DESC, p_size DESC, p_retailprice DESC, p_brand DESC, node LIMIT 80""")
+@query("""SELECT p_partkey AS node, weight FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN 40 WHEN 1 THEN 40 WHEN 2 THEN 20 WHEN 3 THEN 20 ELSE 0 END AS weight FROM part) ORDER BY weight DESC, p_size DESC, p_retailprice DESC, p_brand DESC, node LIMIT 80""")
 def synthesis_payload(spark, d):
-    k = F.col("p_size") % 4
-    n = read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(k == 0, "preference").when(k == 1, "pattern").when(k == 2, "project").otherwise("topic").alias("type"), F.col("p_size").alias("n_evidence"), F.col("p_retailprice").alias("confidence"), F.col("p_brand").alias("last_seen"))
+    k = F.col("p_size") % 5
+    n = read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(k == 0, "preference").when(k == 1, "pattern").when(k == 2, "project").when(k == 3, "task").otherwise("topic").alias("type"), F.col("p_size").alias("n_evidence"), F.col("p_retailprice").alias("confidence"), F.col("p_brand").alias("last_seen"))
     return B.synthesis_payload(n).select("node", "weight")
 
 
-@query("""WITH i AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS st, CASE WHEN p_size % 5 = 0 THEN 'lookup_behavior' ELSE 'other' END AS cat, 0.7 + p_size % 3 * 0.1::DOUBLE AS c, p_size % 7 AS ev, p_size % 4 AS src, p_size > 20 AS dur, p_size % 2 = 0 AS ex FROM part),
- p AS (SELECT *, CASE WHEN cat = 'lookup_behavior' THEN 'low' WHEN dur AND src >= 2 AND c >= 0.85 THEN 'high' ELSE 'medium' END AS pr FROM i)
- SELECT p_partkey, pr AS priority, CASE WHEN st = 'approved' THEN true WHEN st = 'rejected' OR cat = 'lookup_behavior' THEN false ELSE pr = 'high' AND dur AND c >= 0.85 AND ev >= 4 AND src >= CASE WHEN ex THEN 2 ELSE 3 END END AS promoted FROM p""")
+@query(f"""WITH i AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS st, CASE WHEN p_size % 5 = 0 THEN 'lookup_behavior' ELSE 'other' END AS cat, 0.7 + p_size % 3 * 0.1::DOUBLE AS c, p_size % 7 AS ev, p_size % 4 AS src, {STABLE_SQL} AS stab,
+ CASE p_partkey % 3 WHEN 0 THEN 'explicit' WHEN 1 THEN 'supported_inference' END AS inf, CASE p_partkey % 5 WHEN 0 THEN 'topic' WHEN 1 THEN 'agent_instruction' ELSE 'pattern' END AS kind FROM part),
+ p AS (SELECT *, {PRIORITY_SQL.format(status="st", sources="src", inference="inf", stability="stab", confidence="c")} AS pr FROM i)
+ SELECT p_partkey, pr AS priority, CASE WHEN kind = 'topic' OR st = 'rejected' THEN false WHEN st = 'approved' THEN true WHEN cat = 'lookup_behavior' THEN false
+ ELSE pr = 'high' AND coalesce(stab IN ('stable', 'recurring'), false) AND c >= 0.85 AND ev >= 4 AND CASE inf WHEN 'explicit' THEN src >= 2 WHEN 'supported_inference' THEN src >= 3 ELSE false END AND (kind <> 'agent_instruction' OR src >= 2) END AS promoted FROM p""")
 def review_promotion(spark, d):
-    s = F.col("p_size")
+    s, k = F.col("p_size"), F.col("p_partkey")
     status, category = F.when(s % 4 == 0, "approved").when(s % 4 == 1, "rejected").otherwise("pending"), F.when(s % 5 == 0, "lookup_behavior").otherwise("other")
-    sure, evidence, sources, durable, explicit = F.lit(0.7) + s % 3 * F.lit(0.1), s % 7, s % 4, s > 20, s % 2 == 0
-    priority = B.review_priority(category, sure, sources, durable)
-    return read(spark, d, "part").select("p_partkey", priority.alias("priority"), B.promoted_after_review(status, category, F.lit("pattern"), priority, sure, evidence, sources, durable, explicit).alias("promoted"))
+    kind, inference = F.when(k % 5 == 0, "topic").when(k % 5 == 1, "agent_instruction").otherwise("pattern"), F.when(k % 3 == 0, "explicit").when(k % 3 == 1, "supported_inference")
+    sure, evidence, sources = F.lit(0.7) + s % 3 * F.lit(0.1), s % 7, s % 4
+    priority = B.review_priority(status, inference, stability(s), sure, sources)
+    return read(spark, d, "part").select("p_partkey", priority.alias("priority"), B.promoted_after_review(status, category, kind, priority, sure, evidence, sources, stability(s), inference).alias("promoted"))
 
 
-@query(f"""SELECT p_partkey, row_number() OVER (ORDER BY CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END, p_partkey)::INT AS review_place,
- row_number() OVER (ORDER BY CASE WHEN p_size % 2 = 0 THEN 100 + 10 * coalesce(CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END, 0) + CASE WHEN p_size > 25 THEN 2 ELSE 1 END + p_size ELSE 0 END DESC, p_brand DESC NULLS LAST, p_size DESC, p_retailprice DESC, p_partkey)::INT AS section_place FROM part""")
-def render_order(spark, d):
-    """A place in each of two orders for a table of any size would need one task; notes of one inbox are few, and this is a whole small table."""
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 2 = 0 THEN 100 ELSE 0 END + 10 * coalesce(CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END, 1) + CASE WHEN p_size > 25 THEN 2 ELSE 1 END + p_size DESC, p_brand DESC NULLS LAST, p_size DESC, p_retailprice DESC, p_partkey) - 1 AS place FROM part""")
+def section_places(spark, d):
+    """The place of each node in its section: one sort by range, then counts a partition, so no task holds the table."""
     s = F.col("p_size")
-    n = read(spark, d, "part").select("p_partkey", F.when(s % 3 == 0, "pending").when(s % 3 == 1, "rejected").otherwise("approved").alias("status"), F.when(s % 4 == 0, "high").when(s % 4 == 1, "low").when(s % 4 == 2, "medium").alias("priority"), F.format_string("%012d", "p_partkey").alias("label"), F.when(s % 2 == 0, "pattern").otherwise("topic").alias("type"), stability(s).alias("stability"), F.when(s > 25, "explicit").otherwise("supported_inference").alias("inference_level"), F.col("p_brand").alias("last_seen"), s.alias("n_evidence"), F.col("p_retailprice").alias("confidence"))
-    return n.select("p_partkey", F.row_number().over(Window.orderBy(*B.review_order())).alias("review_place"), F.row_number().over(Window.orderBy(*B.section_order(), F.col("p_partkey"))).alias("section_place"))
+    n = read(spark, d, "part").select("p_partkey", F.when(s % 2 == 0, "pattern").otherwise("topic").alias("type"), stability(s).alias("stability"), F.when(s > 25, "explicit").otherwise("supported_inference").alias("inference_level"), F.col("p_brand").alias("last_seen"), s.alias("n_evidence"), F.col("p_retailprice").alias("confidence"))
+    return placed(n, [*B.section_order(), F.col("p_partkey")]).select("p_partkey", "place")
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END, lower(l), l, p_partkey) - 1 AS place FROM (SELECT *, chr((CASE WHEN p_size % 7 > 2 THEN 97 ELSE 65 END + p_size % 7)::INT) || lpad(p_partkey::VARCHAR, 12, '0') AS l FROM part)""")
+def review_places(spark, d):
+    """The place of each item in the inbox, labels by the rules of the alphabet: small and capital letters next to each other."""
+    s = F.col("p_size")
+    label = F.concat(F.char(F.when(s % 7 > 2, 97).otherwise(65) + s % 7), F.format_string("%012d", "p_partkey"))
+    n = read(spark, d, "part").select("p_partkey", F.when(s % 3 == 0, "pending").when(s % 3 == 1, "rejected").otherwise("approved").alias("status"), F.when(s % 4 == 0, "high").when(s % 4 == 1, "low").when(s % 4 == 2, "medium").alias("priority"), label.alias("label"))
+    return placed(n, [*B.review_order(), F.col("p_partkey")]).select("p_partkey", "place")
+
+
+@query(f"SELECT p_partkey, (r.place + 1)::INT AS review_place, (s.place + 1)::INT AS section_place FROM ({ORACLE_SQL['review_places']}) r JOIN ({ORACLE_SQL['section_places']}) s USING (p_partkey)")
+def render_order(spark, d):
+    r, s = review_places(spark, d), section_places(spark, d)
+    return r.withColumnRenamed("place", "r").join(s.withColumnRenamed("place", "s"), "p_partkey").select("p_partkey", (F.col("r") + 1).cast("int").alias("review_place"), (F.col("s") + 1).cast("int").alias("section_place"))
 
 
 def order_items(spark: SparkSession, d: str) -> DataFrame:
@@ -166,12 +203,63 @@ def order_items(spark: SparkSession, d: str) -> DataFrame:
     return l.join(p, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
 
 
+BUILT: dict[tuple[str, str], Graph] = {}
+
+
+def built(spark: SparkSession, d: str) -> Graph:
+    """The whole build, made once a session and folder: its parts are written tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in BUILT:
+        BUILT.clear()
+        BUILT[key] = build_graph(order_items(spark, d))
+    return BUILT[key]
+
+
 @query()
 def graph_nodes(spark, d):
-    """The whole build; its steps are checked with SQL one by one."""
-    return build_graph(order_items(spark, d)).nodes.select("node", "type", "label", "confidence", "rescaled", "n_sources", "n_evidence")
+    """The whole build; its steps are checked with SQL or a plain pass one by one."""
+    return built(spark, d).nodes.select("node", "type", "label", "confidence", "rescaled", "n_sources", "n_evidence", "summary", "stability", "inference_level")
 
 
 @query()
 def graph_edges(spark, d):
-    return build_graph(order_items(spark, d)).edges
+    return built(spark, d).edges
+
+
+@query()
+def graph_reviews(spark, d):
+    return built(spark, d).reviews.select("id", "type", "label", "confidence", "n_sources", "variant_count", "grouped_evidence", "status", "priority", "category")
+
+
+@query()
+def graph_counts(spark, d):
+    return built(spark, d).counts
+
+
+@query()
+def seed_survivors(spark, d):
+    """Parts as nodes of earlier runs: those with the same tokens are merged into the one with the most evidence."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.lit("topic").alias("type"), F.col("p_name").alias("label"), F.array(F.initcap("p_name")).alias("aliases"), F.col("p_type").alias("summary"), F.col("p_size").alias("n_evidence"), (F.col("p_partkey") % 7).alias("n_sources"), F.col("p_retailprice").alias("confidence"), F.lit(None).cast("array<double>").alias("v"))
+    return survivors(p, [*B.seed_order(), F.col("seed")])
+
+
+@query()
+def candidate_match(spark, d):
+    """Vectors as candidates and nodes: each is matched with the nodes by key and likeness, the rest among themselves."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("kind"), "label").alias("type"), F.col("embedding").cast("array<double>").alias("v"))
+    p = e.join(read(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("id") == F.col("p_partkey"), "left").select("id", "type", F.coalesce("p_name", F.concat(F.lit("vector "), "id")).alias("label"), F.coalesce("p_type", F.lit("")).alias("summary"), (F.coalesce("p_size", F.lit(1)) / 50).alias("confidence"), F.lit(1).alias("n_evidence"), F.lit(True).alias("with_alias"), F.lit(True).alias("may_cluster"), "v")
+    nodes = p.groupBy("type").agg(F.min(F.struct("id", "label", "summary", "v")).alias("f")).select(F.concat("type", F.lit("_"), "f.id").alias("node"), F.col("f.id").alias("ord"), "type", "f.label", "f.summary", F.array().cast("array<string>").alias("aliases"), "f.v")
+    return cascade(nodes, p, 0.5)
+
+
+@query(f"""WITH t AS (SELECT p_brand AS source, CASE WHEN p_size % 4 = 0 THEN 'style_pattern' WHEN p_size % 4 = 1 THEN 'pattern' ELSE 'preference' END AS kind, p_size % 3 AS second, p_partkey AS ord, p_type AS label, p_name AS summary, p_size / 100::DOUBLE AS conf, {STABLE_SQL} AS st, p_mfgr FROM (SELECT *, p_brand AS p_mfgr FROM part)),
+ b AS (SELECT *, CASE WHEN second = 0 THEN 1 WHEN kind = 'style_pattern' THEN 2 ELSE 0 END AS pass, CASE WHEN kind = 'style_pattern' AND second > 0 THEN 'pattern' ELSE kind END AS type FROM t),
+ g AS (SELECT source, type, lower(label) AS key, arg_min(label, pass * 100000000 + ord) AS label, max(conf) AS confidence, max(CASE st WHEN 'stable' THEN 4 WHEN 'recurring' THEN 3 WHEN 'situational' THEN 2 WHEN 'temporary' THEN 1 END) AS s, left(string_agg(summary, ' ' ORDER BY pass, ord), 800) AS summary FROM b GROUP BY ALL),
+ q AS (SELECT source, type, key, string_agg(summary, '|' ORDER BY r) AS quotes FROM (SELECT *, row_number() OVER (PARTITION BY source, type, key ORDER BY o) AS r FROM (SELECT source, type, lower(label) AS key, summary, min(pass * 100000000 + ord) AS o FROM b GROUP BY ALL)) WHERE r <= 5 GROUP BY ALL)
+ SELECT source, type, label, confidence, summary, quotes, CASE s WHEN 4 THEN 'stable' WHEN 3 THEN 'recurring' WHEN 2 THEN 'situational' WHEN 1 THEN 'temporary' END AS stability FROM g JOIN q USING (source, type, key)""")
+def merged_extraction(spark, d):
+    """Parts as the items of two passes over sources named after brands."""
+    s = F.col("p_size")
+    p = read(spark, d, "part").select(F.col("p_brand").alias("source"), F.when(s % 4 == 0, "style_pattern").when(s % 4 == 1, "pattern").otherwise("preference").alias("type"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("label"), F.col("p_name").alias("summary"), (s / 100).alias("confidence"), F.array(F.struct(F.col("p_name").alias("quote"), F.lit(0.5).alias("confidence"))).alias("evidence"), stability(s).alias("stability"), F.lit(None).cast("string").alias("inference_level"), F.array("p_brand").alias("applies_to"), F.lit(None).cast("string").alias("agent_instruction"), (s % 3).alias("second"))
+    m = B.merged_pass_items(p.where("second > 0").drop("second"), p.where("second = 0").drop("second"))
+    return m.select("source", "type", "label", "confidence", "summary", F.array_join(F.transform("evidence", lambda e: e["quote"]), "|").alias("quotes"), "stability")

@@ -9,12 +9,12 @@ from ..functions import text as T
 from .windows import top_per_group
 
 # Types that describe a person and their review threshold; source classes that are not filed by themselves.
-SELF_MODEL = ["pattern", "principle", "agent_instruction", "preference", "decision"]
+SELF_MODEL = T.SELF_MODEL
 REVIEW_LEAST = 0.65
 LOOK_UPS = ["transactional_lookup", "shopping_product_lookup", "academic_problem"]
 STATUSES, PRIORITIES = ["pending", "rejected", "approved"], ["high", "medium", "low"]
 # Weights of types in the synthesis payload.
-TYPE_WEIGHTS = {"agent_instruction": 50, "preference": 50, "principle": 40, "pattern": 40, "decision": 30, "project": 20}
+TYPE_WEIGHTS = {"agent_instruction": 50, "pattern": 40, "principle": 40, "preference": 40, "decision": 30, "project": 20, "task": 20}
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], most: int, name: str = "rank") -> DataFrame:
@@ -53,65 +53,132 @@ def without_keys(items: DataFrame, keys: Column, barred: DataFrame, item_id: str
 
 
 def merged_chunks(chunks: DataFrame) -> DataFrame:
-    """One extraction a source: summaries joined in order, mean confidence. chunks: source, chunk, summary, confidence."""
-    g = chunks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("chunk", "summary"))).alias("s"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_chunks"))
+    """One extraction a source: summaries that say something joined in order, mean confidence. chunks: source, chunk, summary, confidence.
+
+    The summary of a source is one text, however many chunks its conversation had, so they meet in its row."""
+    told = F.array_sort(F.collect_list(F.when(F.col("summary") != "", F.struct("chunk", "summary"))))
+    g = chunks.groupBy("source").agg(told.alias("s"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_chunks"))
     return g.select("source", F.array_join(F.transform("s", lambda x: x["summary"]), " ").alias("summary"), "confidence", "n_chunks")
 
 
 def merged_passes(base: DataFrame, second: DataFrame) -> DataFrame:
     """Both passes over a source: the second's summary is added unless the first holds it, the higher confidence stays. Both: source, summary, confidence."""
     b = second.select("source", F.col("summary").alias("s2"), F.col("confidence").alias("c2"))
-    return base.join(b, "source", "left").select("source", T.joined_text(F.col("summary"), F.col("s2"), 1000).alias("summary"), F.greatest("confidence", "c2").alias("confidence"))
+    return base.join(b, "source", "left").select("source", T.joined_text(F.col("summary"), F.col("s2"), 1000).alias("summary"), F.greatest("confidence", F.coalesce("c2", F.lit(0.0))).alias("confidence"))
 
 
-def accumulated(candidates: DataFrame, most_evidence: int = 30, most_aliases: int = 12) -> DataFrame:
-    """Nodes from what was filed under them.
+def merged_pass_items(base: DataFrame, second: DataFrame) -> DataFrame:
+    """The items of both passes, as ``merged_extracted`` merges them: the first pass's styles become patterns, after those of both; styles of the
+    second stay styles, and other types than a person's traits are the first's alone. Both: columns of ``merged_extracted``."""
+    style = F.col("type") == "style_pattern"
+    one = base.withColumn("pass", F.when(style, 2).otherwise(0)).withColumn("type", F.when(style, "pattern").otherwise(F.col("type")))
+    two = second.where(F.col("type").isin(*SELF_MODEL, "style_pattern")).withColumn("pass", F.lit(1))
+    return merged_extracted(one.unionByName(two).withColumn("ord", F.struct("pass", "ord")))
 
-    candidates: node, node_label, ord, source, label, summary, confidence, quote, stability, inference_level, last_seen. The highest confidence,
-    distinct sources, other labels in order, evidence by confidence (each quote of a source once), the strongest stability and inference,
-    summaries joined in order up to 900 characters (of the first thousand different ones), last_seen of the last writer.
-    """
 
-    def place(order: list[str], c: str) -> Column:
-        return F.min(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(c)), F.lit(0)), F.lit(99)))
+def strongest_of(order: list[str], c: str) -> Column:
+    """Of a group the value that comes first in ``order``; null if it has none of them."""
+    place = F.min(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(c)), F.lit(0)))
+    return F.try_element_at(F.array(*map(F.lit, order)), place.cast("int")).alias(c)
+
 
-    def value(order: list[str], c: str) -> Column:
-        return F.try_element_at(F.array(*map(F.lit, order)), F.col(c).cast("int")).alias(c)
+def merged_extracted(items: DataFrame) -> DataFrame:
+    """Items of a source and type with the same label (any case) as one: the first's label, the best confidence, five distinct quotes, summaries joined up
+    to 800 characters, the strongest stability and inference, eight distinct scopes, the first instruction.
 
-    g = candidates.groupBy("node").agg(F.max("confidence").alias("confidence"), F.count_distinct("source").alias("n_sources"), place(T.STABILITY, "stability").alias("stability"), place(T.INFERENCE, "inference_level").alias("inference_level"), F.max_by("last_seen", "ord").alias("last_seen"))
-    names = candidates.groupBy("node", "node_label", "label").agg(F.min("ord").alias("o")).where(T.slug(F.col("label")) != T.slug(F.col("node_label")))
-    names = in_order(ranked(names, ["node"], [F.col("o"), F.col("label")], most_aliases), ["node"], "label", "aliases")
-    quotes = candidates.groupBy("node", "source", "quote").agg(F.max("confidence").alias("c"), F.min("ord").alias("o")).withColumn("e", F.struct("source", "quote", F.col("c").alias("confidence")))
-    quotes = in_order(ranked(quotes, ["node"], [F.desc("c"), F.col("o"), F.col("source"), F.col("quote")], most_evidence), ["node"], "e", "evidence")
-    told = candidates.where("summary <> ''").groupBy("node", "summary").agg(F.min("ord").alias("o"))
+    items: source, type, ord, label, summary, confidence, evidence (quote, confidence), stability, inference_level, applies_to, agent_instruction.
+    Quotes, summaries and scopes are ranked before they are gathered, so a row holds no more than it keeps.
+    """
+    keys = ["source", "type", "key"]
+    i = items.withColumn("key", F.lower("label"))
+    g = i.groupBy(*keys).agg(F.min_by("label", "ord").alias("label"), F.max("confidence").alias("confidence"), strongest_of(T.STABILITY, "stability"), strongest_of(T.INFERENCE, "inference_level"), F.min_by("agent_instruction", F.when(F.col("agent_instruction") != "", F.col("ord"))).alias("agent_instruction"), F.min("ord").alias("first"))
+
+    def gathered(rows: DataFrame, by: list[Column], most: int, value: str, alias: str) -> DataFrame:
+        return in_order(ranked(rows, keys, by, most), keys, value, alias)
+
+    e = i.select(*keys, "ord", F.posexplode("evidence").alias("pos", "e")).groupBy(*keys, F.col("e.quote").alias("quote")).agg(F.min(F.struct("ord", "pos", "e")).alias("m")).select(*keys, "m.*")
+    e = gathered(e, [F.col("ord"), F.col("pos")], 5, "e", "evidence")
+    # every summary counts, one that is repeated too; 800 characters are reached by 800 of them
+    t = gathered(i.withColumn("summary", F.coalesce("summary", F.lit(""))), [F.col("ord")], 800, "summary", "s").select(*keys, F.substring(F.array_join("s", " "), 1, 800).alias("summary"))
+    a = i.select(*keys, "ord", F.posexplode("applies_to").alias("pos", "x")).groupBy(*keys, F.lower("x").alias("low")).agg(F.min(F.struct("ord", "pos", "x")).alias("m")).select(*keys, "m.*")
+    a = gathered(a, [F.col("ord"), F.col("pos")], 8, "x", "applies_to")
+    out = g.join(e, keys, "left").join(t, keys).join(a, keys, "left")
+    return out.select("source", "type", F.col("first").alias("ord"), "label", "summary", "confidence", F.coalesce("evidence", F.expr("CAST(array() AS array<struct<quote:string,confidence:double>>)")).alias("evidence"), "stability", "inference_level", F.coalesce("applies_to", F.array().cast("array<string>")).alias("applies_to"), "agent_instruction")
+
+
+def accumulated(rows: DataFrame, heads: DataFrame, most_evidence: int = 30, most_aliases: int = 12) -> DataFrame:
+    """Nodes from all that was filed under them, in the order of ``ord`` (below zero: what the node was before).
+
+    rows: node, ord, sources, names, summary, confidence, evidence (source, quote, confidence), stability, inference_level, applies_to,
+    agent_instruction, last_seen; heads: node, label. The highest confidence, distinct sources, names with another slug than the label's,
+    evidence by confidence (a quote of a source as it came first, no surer than its item), the strongest stability and inference, eight scopes,
+    the first instruction, last_seen of the last row that has one, and summaries folded in order up to 900 characters (of the first thousand
+    different ones: more cannot meet in a row).
+    """
+    g = rows.groupBy("node").agg(F.max("confidence").alias("confidence"), strongest_of(T.STABILITY, "stability"), strongest_of(T.INFERENCE, "inference_level"), F.max_by("last_seen", F.when(F.col("last_seen").isNotNull(), F.col("ord"))).alias("last_seen"), F.min_by("agent_instruction", F.when(F.col("agent_instruction") != "", F.col("ord"))).alias("agent_instruction"))
+    s = rows.select("node", F.explode("sources").alias("s")).groupBy("node").agg(F.count_distinct("s").alias("n_sources"))
+    names = rows.select("node", "ord", F.posexplode("names").alias("pos", "name")).withColumn("name", F.trim("name")).groupBy("node", "name").agg(F.min(F.struct("ord", "pos")).alias("o"))
+    names = names.join(heads.select("node", T.slug(F.col("label")).alias("slug")), "node").where((F.col("name") != "") & (T.slug(F.col("name")) != F.col("slug")))
+    names = in_order(ranked(names, ["node"], [F.col("o")], most_aliases), ["node"], "name", "aliases")
+    e = F.col("e")
+    quotes = rows.select("node", "ord", "confidence", F.posexplode("evidence").alias("pos", "e")).withColumn("e", F.struct(e["source"].alias("source"), e["quote"].alias("quote"), F.least(e["confidence"], F.col("confidence")).alias("confidence")))
+    quotes = quotes.groupBy("node", e["source"].alias("source"), e["quote"].alias("quote")).agg(F.min(F.struct("ord", "pos", "e")).alias("m")).select("node", "m.*")
+    quotes = in_order(ranked(quotes, ["node"], [F.desc("e.confidence"), F.col("ord"), F.col("pos")], most_evidence), ["node"], "e", "evidence")
+    told = rows.where("summary <> ''").groupBy("node", "summary").agg(F.min("ord").alias("o"))
     told = in_order(ranked(told, ["node"], [F.col("o"), F.col("summary")], 1000), ["node"], "summary", "s")
-    told = told.select("node", F.aggregate("s", F.lit(""), lambda a, x: T.joined_text(a, x, 900)).alias("summary"))
-    out = g.join(names, "node", "left").join(quotes, "node", "left").join(told, "node", "left")
+    told = told.select("node", F.aggregate("s", F.lit(""), lambda a, x: T.merged_summary(a, x)).alias("summary"))
+    scope = rows.select("node", "ord", F.posexplode("applies_to").alias("pos", "x")).where("x <> ''").groupBy("node", "x").agg(F.min(F.struct("ord", "pos")).alias("o"))
+    scope = in_order(ranked(scope, ["node"], [F.col("o")], 8), ["node"], "x", "applies_to")
+    out = g
+    for more in (s, names, quotes, told, scope):
+        out = out.join(more, "node", "left")
     none = F.array().cast("array<string>")
-    return out.select("node", "confidence", "n_sources", F.coalesce("aliases", none).alias("aliases"), "evidence", F.coalesce("summary", F.lit("")).alias("summary"), value(T.STABILITY, "stability"), value(T.INFERENCE, "inference_level"), "last_seen")
+    return out.select("node", "confidence", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("aliases", none).alias("aliases"), F.coalesce("evidence", F.expr("CAST(array() AS array<struct<source:string,quote:string,confidence:double>>)")).alias("evidence"), F.coalesce("summary", F.lit("")).alias("summary"), "stability", "inference_level", F.coalesce("applies_to", none).alias("applies_to"), "agent_instruction", "last_seen")
 
 
 def review_items(clusters: DataFrame) -> DataFrame:
-    """An inbox item a cluster. clusters: cluster, ord, source, label, confidence, quote: the surest label, up to eight others, twelve quotes, counts."""
-    best = ranked(clusters, ["cluster"], [F.desc("confidence"), T.label_noise(F.col("label")), F.col("ord")], 1).select("cluster", F.col("label").alias("best"))
-    g = clusters.groupBy("cluster").agg(F.max("confidence").alias("confidence"), F.count_distinct("source").alias("n_sources"), F.count_distinct("label").alias("n_variants"), F.count("*").alias("n_items"))
-    names = clusters.join(best, "cluster").where("label <> best").groupBy("cluster", "label").agg(F.min("ord").alias("o"))
-    names = in_order(ranked(names, ["cluster"], [F.col("o"), F.col("label")], 8), ["cluster"], "label", "aliases")
-    quotes = clusters.groupBy("cluster", "quote").agg(F.max("confidence").alias("c"), F.min("ord").alias("o"))
-    quotes = in_order(ranked(quotes, ["cluster"], [F.desc("c"), F.col("o"), F.col("quote")], 12), ["cluster"], "quote", "quotes")
+    """An inbox item a cluster: its best member (confidence, evidence, the quieter label, the earlier) under the family's label, the other labels, the surest
+    quotes (each once a source, no surer than its item), counts, priority and category.
+
+    clusters: cluster, ord, type, source, title, label, summary, confidence, evidence (source, quote, confidence), stability, inference_level, applies_to,
+    agent_instruction, last_seen.
+    """
+    noise, n = T.label_noise(F.col("label")), F.size("evidence")
+    best = ranked(clusters, ["cluster"], [F.desc("confidence"), n.desc(), noise, F.col("ord")], 1)
+    best = best.select("cluster", "type", T.family_label(F.col("type"), F.col("label"), F.col("summary")).alias("best"), "summary", "confidence", "stability", "inference_level", "applies_to", "agent_instruction", "last_seen", F.col("label").alias("own")).withColumn("slug", T.slug(F.col("best")))
+    g = clusters.groupBy("cluster").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("variant_count"))
+    names = clusters.join(best.select("cluster", "slug"), "cluster").where(T.slug(F.col("label")) != F.col("slug")).groupBy("cluster", "label").agg(F.min("ord").alias("o"))
+    # an item shows eight of them; a merge of items reads a hundred
+    variants = in_order(ranked(names, ["cluster"], [F.col("o"), F.col("label")], 100), ["cluster"], "label", "variants")
+    e = F.col("e")
+    quotes = clusters.select("cluster", "ord", "confidence", F.posexplode("evidence").alias("pos", "e")).withColumn("e", F.struct(e["source"].alias("source"), e["quote"].alias("quote"), F.least(e["confidence"], F.col("confidence")).alias("confidence")))
+    quotes = quotes.groupBy("cluster", e["source"].alias("source"), e["quote"].alias("quote")).agg(F.min(F.struct("ord", "pos", "e")).alias("m")).select("cluster", "m.*")
+    counts = quotes.groupBy("cluster").agg(F.count("*").alias("grouped_evidence"))
+    quotes = in_order(ranked(quotes, ["cluster"], [F.desc("e.confidence"), F.col("ord"), F.col("pos")], 12), ["cluster"], "e", "evidence")
+    # the category reads the item's own texts and its sources' titles: a title that names a category is enough, so one of each will do
+    titles = clusters.groupBy("cluster").agg(*[F.max(F.coalesce(T.has_word(F.col("title"), w), F.lit(False))).alias(f"t_{k}") for k, (_, w) in enumerate(T.CATEGORY_RULES)])
+    out = g.join(best, "cluster").join(titles, "cluster").join(variants, "cluster", "left").join(quotes, "cluster", "left").join(counts, "cluster", "left")
+    text = F.concat_ws(" ", "best", "summary", "agent_instruction", F.array_join("applies_to", " "))
+    category = None
+    for k, (name, words) in enumerate(T.CATEGORY_RULES):
+        hit = T.has_word(text, words) | F.col(f"t_{k}")
+        category = F.when(hit, name) if category is None else category.when(hit, name)
     none = F.array().cast("array<string>")
-    return g.join(best, "cluster").join(names, "cluster", "left").join(quotes, "cluster", "left").select("cluster", F.col("best").alias("label"), F.coalesce("aliases", none).alias("aliases"), "quotes", "confidence", "n_sources", "n_variants", "n_items")
+    priority = review_priority(F.lit("pending"), F.col("inference_level"), F.col("stability"), F.col("confidence"), F.col("n_sources"))
+    return out.select("cluster", F.concat(F.lit("review_"), "type", F.lit("_"), "slug").alias("id"), "type", F.col("best").alias("label"), F.coalesce("variants", none).alias("variants"), F.slice(F.coalesce("variants", none), 1, 8).alias("aliases"), "summary", "confidence", "evidence", "n_sources", "variant_count", F.coalesce("grouped_evidence", F.lit(0)).alias("grouped_evidence"), "stability", "inference_level", "applies_to", "agent_instruction", "last_seen", F.lit("pending").alias("status"), priority.alias("priority"), category.otherwise("other").alias("category"))
 
 
-def review_priority(category: Column, confidence: Column, sources: Column, durable: Column) -> Column:
-    """low for look-ups, high for lasting items of two sources and 0.85, else medium."""
-    return F.when(category == "lookup_behavior", "low").when(durable & (sources >= 2) & (confidence >= 0.85), "high").otherwise("medium")
+def review_priority(status: Column, inference: Column, stability: Column, confidence: Column, sources: Column) -> Column:
+    """low for what was rejected; high for two sources, or an explicit and lasting trait at 0.9; low for what passes or is below 0.8; else medium."""
+    stated = (inference == "explicit") & stability.isin("stable", "recurring") & (confidence >= 0.9)
+    return F.when(status == "rejected", "low").when((sources >= 2) | F.coalesce(stated, F.lit(False)), "high").when(F.coalesce(stability.isin("situational", "temporary"), F.lit(False)) | (confidence < 0.8), "low").otherwise("medium")
 
 
-def promoted_after_review(status: Column, category: Column, kind: Column, priority: Column, confidence: Column, evidence: Column, sources: Column, durable: Column, explicit: Column) -> Column:
-    """Whether a compacted review item becomes a node: what a person approved, or else what is sure, lasting and repeated; never look-ups or what was rejected."""
-    repeated = (evidence >= 4) & (sources >= F.when(explicit, 2).otherwise(3)) & ((kind != "agent_instruction") | (sources >= 2))
-    return F.when(status == "approved", True).when((status == "rejected") | (category == "lookup_behavior"), False).otherwise((priority == "high") & durable & (confidence >= 0.85) & repeated)
+def promoted_after_review(status: Column, category: Column, kind: Column, priority: Column, confidence: Column, evidence: Column, sources: Column, stability: Column, inference: Column) -> Column:
+    """Whether a compacted review item becomes a node: traits of a person only; what was approved, or else what is sure, lasting and repeated; never look-ups or what was rejected."""
+    repeated = F.when(inference == "explicit", sources >= 2).when(inference == "supported_inference", sources >= 3).otherwise(False)
+    sure = (priority == "high") & F.coalesce(stability.isin("stable", "recurring"), F.lit(False)) & (confidence >= 0.85) & (evidence >= 4) & repeated & ((kind != "agent_instruction") | (sources >= 2))
+    return F.when(~kind.isin(SELF_MODEL) | (status == "rejected"), False).when(status == "approved", True).when(category == "lookup_behavior", False).otherwise(sure)
 
 
 def appended_links(old: DataFrame, new: DataFrame, cap: int = 2) -> DataFrame:
@@ -165,9 +232,10 @@ def seed_order() -> list[Column]:
 
 
 def section_order() -> list[Column]:
-    """Self-model rank, the latest (none last), evidence, confidence."""
-    stable = 5 - place_in(F.col("stability"), T.STABILITY, 5)
-    rank = F.when(F.col("type").isin(SELF_MODEL), 100 + 10 * stable + F.when(F.col("inference_level") == "explicit", 2).when(F.col("inference_level") == "supported_inference", 1).otherwise(0) + F.col("n_evidence")).otherwise(0)
+    """Rank (traits of a person first; stability, inference and evidence count for all types), the latest (none last), evidence, confidence."""
+    stable = F.when(F.col("stability").isNull(), 1).otherwise(5 - place_in(F.col("stability"), T.STABILITY, 4))
+    inferred = F.when(F.col("inference_level") == "explicit", 2).when(F.col("inference_level") != "", 1).otherwise(0)
+    rank = F.when(F.col("type").isin(SELF_MODEL), 100).otherwise(0) + 10 * stable + inferred + F.col("n_evidence")
     return [rank.desc(), F.col("last_seen").desc_nulls_last(), F.desc("n_evidence"), F.desc("confidence")]
 
 
@@ -177,6 +245,11 @@ def synthesis_payload(nodes: DataFrame, most: int = 80) -> DataFrame:
     return nodes.withColumn("weight", weight).orderBy(F.desc("weight"), F.desc("n_evidence"), F.desc("confidence"), F.col("last_seen").desc_nulls_last(), "node").limit(most)
 
 
+def latest_sources(sources: DataFrame, most: int = 30) -> DataFrame:
+    """The sources that a synthesis is given: the latest. sources: source, title, summary, last_seen."""
+    return sources.orderBy(F.col("last_seen").desc_nulls_last(), "source").limit(most)
+
+
 def over_cap(cost: Column, cap: Column) -> Column:
     """Whether a run must not start: strictly above the cap; 0 is no cap."""
     return (cap > 0) & (cost > cap)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import beside, cut
+
 
 def first_key_match(probe: DataFrame, probe_keys: Column, nodes: DataFrame, node_keys: Column, probe_id: str, node_id: str) -> DataFrame:
     """Multi-key equi join in which a probe's first key that hits wins, and of a key's nodes the largest id (the last written)."""
@@ -29,18 +31,30 @@ def cooccurrence(links: DataFrame, source: str, node: str, kind: str, order: lis
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
-def token_pairs(items: DataFrame, least: float = 0.25, shared: int = 2) -> DataFrame:
-    """Pairs (a < b) of one type with ``shared`` tokens or more in common and Jaccard of at least ``least``; items: id, type, tokens.
+def similar_sets(sets: DataFrame, least: float = 0.25, shared: int = 2) -> DataFrame:
+    """Pairs (a < b) of one type with ``shared`` tokens or more in common and Jaccard of at least ``least``; sets: id, type, tokens.
 
-    Joined on pairs of tokens, not on single ones, so that a token that everything holds brings nothing together by itself.
+    Tokens are put from the rarest to the most frequent. Sets that share enough share one of their first n - need + 1 tokens, where need
+    is the least overlap that a set of n tokens can have with a partner; so the most frequent tokens, which would bring all together,
+    are joined on by none. Lengths and places of the shared token bound the overlap before sets are compared.
     """
-    two = F.flatten(F.transform("toks", lambda x: F.transform(F.filter("toks", lambda y: y > x), lambda y: F.concat(x, F.lit(" "), y))))
-    t = items.withColumn("toks", F.array_sort(F.array_distinct("tokens")))
-    keyed = t.select("id", "type", "toks", F.explode(two).alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), "type", F.col("toks").alias("ta"), "key"), keyed.select(F.col("id").alias("b"), F.col("type").alias("t2"), F.col("toks").alias("tb"), F.col("key").alias("k2"))
-    hit = a.join(b, (F.col("key") == F.col("k2")) & (F.col("type") == F.col("t2")) & (F.col("a") < F.col("b"))).select("a", "b", "type", "ta", "tb").dropDuplicates(["a", "b"])
+    t = sets.select("id", "type", F.explode(F.array_distinct("tokens")).alias("token"))
+    often = t.groupBy("type", "token").agg(F.count("*").alias("often"))
+    ranked = t.join(beside(often), ["type", "token"]).groupBy("id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("toks"))
+    n = F.size("toks")
+    ranked = ranked.where(n >= shared).withColumn("n", n)
+    need = F.greatest(F.lit(shared), F.ceil(F.lit(least) * F.col("n"))).cast("int")
+    keyed = cut(ranked).select("id", "type", "toks", "n", F.posexplode(F.slice("toks", F.lit(1), F.col("n") - need + 1)).alias("at", "token"))
+    a = keyed.toDF("a", "type", "ta", "na", "ia", "token")
+    b = keyed.toDF("b", "type_b", "tb", "nb", "ib", "token_b")
+    bound = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = F.greatest(F.lit(float(shared)), F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = (F.col("nb") >= F.lit(least) * F.col("na") - 1e-9) & (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9) & (bound >= enough)
+    hit = a.join(b, (F.col("token") == F.col("token_b")) & (F.col("type") == F.col("type_b")) & (F.col("a") < F.col("b")) & near)
+    # a pair meets at each shared token of both prefixes; it stands at the first
+    first = F.array_position("ta", F.array_intersect(F.slice("ta", F.lit(1), F.col("ia") + 1), F.slice("tb", F.lit(1), F.col("ib") + 1))[0]) == F.col("ia") + 1
     both, all_ = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
-    return hit.where((both >= shared) & (both / all_ >= least)).select("a", "b", "type", both.cast("long").alias("n_shared"), all_.cast("long").alias("n_all"))
+    return hit.where(first & (both >= shared) & (both / all_ >= least)).select("a", "b", "type", both.cast("long").alias("n_shared"), all_.cast("long").alias("n_all"))
 
 
 def degrees(source_links: DataFrame, node_links: DataFrame) -> DataFrame:

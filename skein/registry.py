@@ -312,7 +312,7 @@ def semantic_match(spark, d):
  SELECT a, b, type, n_shared, n_all FROM j WHERE n_shared >= 2 AND n_shared / n_all >= 0.25""")
 def jaccard_pairs(spark, d):
     t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), T.significant_tokens(F.col("p_name")).alias("tokens"))
-    return G.token_pairs(t)
+    return G.similar_sets(t)
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
