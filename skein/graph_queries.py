@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import build as B
+from .operators.common import shared_folder
+from .operators.incremental import NodeState
 from .operators.matching import cascade
 from .operators.seeds import placed, survivors
 from .plans.graph_build import Graph, build_graph
@@ -263,3 +267,19 @@ def merged_extraction(spark, d):
     p = read(spark, d, "part").select(F.col("p_brand").alias("source"), F.when(s % 4 == 0, "style_pattern").when(s % 4 == 1, "pattern").otherwise("preference").alias("type"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("label"), F.col("p_name").alias("summary"), (s / 100).alias("confidence"), F.array(F.struct(F.col("p_name").alias("quote"), F.lit(0.5).alias("confidence"))).alias("evidence"), stability(s).alias("stability"), F.lit(None).cast("string").alias("inference_level"), F.array("p_brand").alias("applies_to"), F.lit(None).cast("string").alias("agent_instruction"), (s % 3).alias("second"))
     m = B.merged_pass_items(p.where("second > 0").drop("second"), p.where("second = 0").drop("second"))
     return m.select("source", "type", "label", "confidence", "summary", F.array_join(F.transform("evidence", lambda e: e["quote"]), "|").alias("quotes"), "stability")
+
+
+def order_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as what orders say of parts."""
+    none, sure = F.array().cast("array<string>"), (1 - F.col("l_discount")).cast("double")
+    source, node, quote = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("part_"), "l_partkey"), F.concat_ws("-", "l_linenumber", "l_suppkey", "l_quantity", "l_shipdate")
+    return read(spark, d, "lineitem").select(source.alias("source"), node.alias("node"), F.lit("").alias("label"), (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("ord"), F.array(source).alias("sources"), none.alias("names"), F.col("l_returnflag").alias("summary"), sure.alias("confidence"), F.array(F.struct(source.alias("source"), quote.alias("quote"), sure.alias("confidence"))).alias("evidence"), F.lit(None).cast("string").alias("stability"), F.lit(None).cast("string").alias("inference_level"), none.alias("applies_to"), F.lit(None).cast("string").alias("agent_instruction"), F.col("l_shipdate").cast("string").alias("last_seen"))
+
+
+@query("""SELECT 'part_' || l_partkey AS node, count(DISTINCT l_orderkey) AS n_sources, max((1 - l_discount)::DOUBLE) AS confidence, least(count(DISTINCT l_orderkey || ':' || l_linenumber || '-' || l_suppkey || '-' || l_quantity || '-' || l_shipdate), 30)::INT AS n_evidence FROM lineitem GROUP BY l_partkey""")
+def incremental_nodes(spark, d):
+    """A first import of the orders of all but the last year, then one of all: the second reads and writes only what the new orders touch."""
+    rows = order_rows(spark, d)
+    state = NodeState(spark, f"{shared_folder(spark).rstrip('/')}/nodes-{uuid4()}", buckets=32)
+    state.rebuild(rows.where("last_seen < '1998'"))
+    return state.rebuild(rows).nodes.select("node", "n_sources", "confidence", F.size("evidence").alias("n_evidence"))
