@@ -376,3 +376,4 @@ def flagship_graph(spark, d):
 
 from . import exchange_queries as exchange_queries  # noqa: E402  adds its queries to the tables above
 from . import graph_queries as graph_queries  # noqa: E402
+from . import sink_queries as sink_queries  # noqa: E402

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -11,7 +12,9 @@ from skein.functions import render as R
 from skein.operators import clustering as C
 from skein.operators import state as S
 from skein.sources import exports, notes
-from skein.streaming.imports import arriving, import_stream
+from skein.streaming.imports import arriving, cached, import_stream
+from skein.streaming.progress import listen
+from skein.streaming.progress import rows as progress_rows
 
 SPOKEN = {"author": {"role": "user"}, "create_time": 2.5, "content": {"parts": ["  hello ", "", {"k": 1}]}}
 
@@ -100,9 +103,27 @@ def test_stream_extracts_each_conversation_once(spark, tmp_path):
     def go():
         stream = arriving(spark, str(tmp_path / "in" / "*"))
         import_stream(stream, lambda df: df.withColumn("value", F.upper("json")), str(tmp_path / "cache"), str(tmp_path / "check")).awaitTermination(120)
-        return sorted(r.value for r in spark.read.parquet(str(tmp_path / "cache")).collect())
+        return sorted(r.value for r in cached(spark, str(tmp_path / "cache")).collect())
 
     land(0, ["x", "y", "x"])
     assert go() == ["X", "Y"]
     land(1, ["y", "z"])
     assert go() == ["X", "Y", "Z"]
+
+
+def test_progress_is_told_for_each_batch(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("a", "e", 10 * k + i, f"t{k}{i}") for i in range(k + 1)], "archive string, entry string, input_ord long, json string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    heard = listen(spark, str(tmp_path / "progress"), total=6)
+    try:
+        import_stream(arriving(spark, str(tmp_path / "in"), 1), lambda df: df.withColumn("value", F.upper("json")), str(tmp_path / "cache"), str(tmp_path / "check")).awaitTermination(120)
+        for _ in range(60):
+            got = progress_rows(heard).collect()
+            if any(r.kind == "ended" for r in got):
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(heard)
+    batches = sorted((r.batch, r.completed) for r in got if r.kind == "batch" and r.duration_ms is not None)
+    assert {r.total for r in got} == {6} and max(c for _, c in batches) == 6 and len({b for b, _ in batches}) >= 3
+    assert {r.kind for r in got} == {"started", "batch", "ended"}
