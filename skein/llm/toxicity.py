@@ -3,12 +3,13 @@
 The lexicon is learned: words, and stems that words begin with, whose odds are significantly higher in toxic training
 documents. It is kept as a trie. Reading a word letter by letter moves a set of (trie node, edits so far) pairs, which is the
 product of the trie with the Levenshtein automaton of every entry at once; the sets met are numbered and their moves kept,
-so that most words are dropped after a few table look-ups. Strong entries of five letters or more, words and stems, may be
-one edit off, unless such near finds turn out to be commoner in clean training documents.
-A find counts as much as its entry's odds say, shared between abuse and quotation by the words around it: quotation marks
+so that most words are dropped after a few table look-ups. Entries of five letters or more, words and stems, may be
+one edit off, unless such near finds are as common in clean training documents as in toxic ones.
+A find, near or exact, counts as much as its entry's odds say, shared between abuse and quotation by the words around it: quotation marks
 and words of report speak for quotation, words of address and exclamation for abuse. A logistic model weighs abuse by
-exact finds, abuse by misspelled ones, quotation, density and variety; misspelled abuse never counts against toxicity and quotation never more
-than half as much as abuse, and where the labels say nothing its weights stay at their priors.
+exact finds, abuse by misspelled ones, quotation, density and variety. Labelled texts hardly ever misspell or quote, so each toxic
+training text with finds is also shown with every find misspelled (still toxic) and with every find reported in quotation marks (not
+toxic), at ``SHOWN`` of a text's weight each; misspelled abuse never counts against toxicity.
 
 Fitted on at most ``SAMPLE`` labelled documents of the training split, those of smallest hash of doc_id.
 
@@ -19,6 +20,7 @@ repeated labels of a document count once, the largest; words of over 64 letters
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -163,9 +165,11 @@ def finder(lexicon: Lexicon) -> Finder:
 
 
 COLUMNS = ["abuse", "misspelled", "quoted", "density", "distinct"]
-#: Weights where labels say nothing, and their bounds. Quotation is further bound to half of what abuse weighs.
-PRIOR = np.array([1.0, 0.7, 0.1, 0.0, 0.0])
-LEAST = np.array([0.1, 0.05, -5.0, -np.inf, -np.inf])
+#: Weights where labels say nothing, and their least values.
+PRIOR = np.array([1.0, 0.7, 0.0, 0.0, 0.0])
+LEAST = np.array([0.1, 0.05, -np.inf, -np.inf, -np.inf])
+#: How much a made text counts beside a labelled one.
+SHOWN = 0.25
 
 
 def context(ws: list[bytes], i: int) -> tuple[float, float]:
@@ -180,21 +184,50 @@ def context(ws: list[bytes], i: int) -> tuple[float, float]:
     return quoted, aimed
 
 
+def misspelled_text(ws: list[bytes], at: list[int]) -> list[bytes]:
+    """The words with each find an edit off: a letter from its second to its fourth, chosen by the word, is left out."""
+    out = list(ws)
+    for i in at:
+        s = ws[i].decode("utf-8", "replace")
+        first = next((k for k, ch in enumerate(s) if ch.encode() not in EDGE), 0)
+        k = first + 1 + zlib.crc32(bare(ws[i])) % 3
+        out[i] = (s[:k] + s[k + 1 :]).encode()
+    return out
+
+
+def reported_text(ws: list[bytes], at: list[int]) -> list[bytes]:
+    """The words with each find as someone's words: in quotation marks, between words of report, without address or exclamation around it."""
+    near, finds = {j for i in at for j in range(i - WINDOW, i + WINDOW + 1)}, set(at)
+    out: list[bytes] = []
+    for j, w in enumerate(ws):
+        if j in finds:
+            out += [b"said", b'"' + bare(w) + b'"', b"wrote"]
+        elif j not in near or bare(w) not in ADDRESS:
+            out.append(w.replace(b"!", b"") or b"." if j in near else w)
+    return out
+
+
 def measures(text: bytes, found: Finder) -> tuple[float, ...]:
-    ws = text.split()
+    return measured(text.split(), found)
+
+
+def measured(ws: list[bytes], found: Finder) -> tuple[float, ...]:
     at = [(i, k) for i, k in enumerate(map(found.__getitem__, ws)) if k[0]]
     if not at:
         return (0.0,) * len(COLUMNS)
-    abuse = misspelled = told = 0.0
+    abuse = misspelled = told = meant = 0.0
+    entries: dict[int, float] = {}
     for i, (what, entry) in at:
         quoted, aimed = context(ws, i)
         weight, share = found.strength[entry], 1 / (1 + math.exp(quoted - aimed - 1))
         told += weight * (1 - share)
+        meant += share
+        entries[entry] = max(share, entries.get(entry, 0.0))
         if what in (NEAR_WHOLE, NEAR_STEM):
             misspelled += weight * share
         else:
             abuse += weight * share
-    return (math.log1p(abuse), math.log1p(misspelled), math.log1p(told), min(1.0, 100 * len(at) / len(ws)), math.log1p(len({k[1] for _, k in at})))
+    return (math.log1p(abuse), math.log1p(misspelled), math.log1p(told), min(1.0, 100 * meant / len(ws)), math.log1p(sum(entries.values())))
 
 
 def terms_of(text: bytes) -> set[str]:
@@ -228,7 +261,7 @@ def odds(n: np.ndarray, of: int, m: np.ndarray, rest: int, z: float = 2.58) -> n
     return ratio - z * np.sqrt(1 / (n + 0.5) + 1 / (of - n + 0.5) + 1 / (m + 0.5) + 1 / (rest - m + 0.5))
 
 
-def learn_lexicon(rows: DataFrame, least_share: float = 0.012, lift: float = 0.8, strong: float = 2.0) -> Lexicon:
+def learn_lexicon(rows: DataFrame, least_share: float = 0.012, lift: float = 0.8) -> Lexicon:
     """Terms in at least ``least_share`` of the toxic texts whose log odds ratio is ``lift`` at least with 99 per cent confidence."""
     n1, n0 = rows.where("y = 1").count(), rows.where("y = 0").count()
     if not n1 or not n0:
@@ -251,7 +284,7 @@ def learn_lexicon(rows: DataFrame, least_share: float = 0.012, lift: float = 0.8
     whole = {t for t in good if not t.endswith("*") and not any(t.startswith(s) for s in stems)}
     entries = [*sorted(whole), *(f"{x}*" for x in sorted(stems))]
     strength = [min(4.0, low[t]) for t in entries]
-    near = [len(t.rstrip("*")) >= NEAR_FROM and x >= strong for t, x in zip(entries, strength, strict=True)]
+    near = [len(t.rstrip("*")) >= NEAR_FROM for t in entries]
     return without_false_friends(rows, Lexicon(sorted(whole), sorted(stems), strength, near), n1, n0)
 
 
@@ -280,8 +313,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.base + x @ self.weights, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """A logistic model whose weights have normal priors and bounds: Newton steps, one weight at a time."""
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """A logistic model of rows that count so much, whose weights have normal priors and least values: Newton steps, one weight at a time."""
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.5
         return np.zeros(x.shape[1]), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
@@ -293,10 +326,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200
             p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
             column = np.ones(len(y)) if j < 0 else x[:, j]
             pull, stiff = (0.0, 1e-6) if j < 0 else (ridge * (w[j] - PRIOR[j]), ridge)
-            step = float(np.clip(((y - p) @ column - pull) / ((p * (1 - p)) @ column**2 + stiff), -1, 1))
+            step = float(np.clip(((y - p) * counts @ column - pull) / ((p * (1 - p)) * counts @ column**2 + stiff), -1, 1))
             if j >= 0:
-                most = w[0] / 2 if j == 2 else np.inf
-                step = float(np.clip(w[j] + step, LEAST[j], max(LEAST[j], most))) - w[j]
+                step = max(w[j] + step, LEAST[j]) - w[j]
                 w[j] += step
             else:
                 base += step
@@ -304,7 +336,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200
             moved = max(moved, abs(step))
         if moved < 1e-6:
             break
-    w[2] = min(w[2], w[0] / 2)
     return w, base
 
 
@@ -314,10 +345,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
         f = finder(lexicon)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([list(measures(t, f)) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], ["doc_id", "x", "y"])
-
-    got = sorted(by_batch(rows, measure, "doc_id long, x array<double>, y int").collect())  # at most ``sample`` rows of a few numbers
-    return Model(lexicon, *logistic(np.array([r.x for r in got]).reshape(len(got), len(COLUMNS)), np.array([r.y for r in got], float)))
+        out = []
+        for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True):
+            ws = t.split()
+            out.append((i, list(measured(ws, f)), y, 1.0))
+            at = [k for k, w in enumerate(ws) if f[w][0]] if y else []
+            if at:
+                made = ((list(measured(misspelled_text(ws, at), f)), 1), (list(measured(reported_text(ws, at), f)), 0))
+                out += [(i, x, label, SHOWN) for x, label in made if any(x)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.float64()), strict=True)], ["doc_id", "x", "y", "counts"])
+
+    got = sorted(by_batch(rows, measure, "doc_id long, x array<double>, y int, counts double").collect())  # at most three times ``sample`` rows of a few numbers
+    return Model(lexicon, *logistic(np.array([r.x for r in got]).reshape(len(got), len(COLUMNS)), np.array([r.y for r in got], float), np.array([r.counts for r in got], float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
