@@ -3,8 +3,10 @@
 Equal vectors are one node. Nodes are dealt to blocks around pivots; inside the blocks of its nearest
 pivots a node meets its first neighbours. Then neighbours of neighbours are joined, round by round: each block asks for
 the nodes that its members' neighbours (either way) have as neighbours, their vectors come by a join, and
-a member keeps the best it meets. A query starts at its own node, expands the best nodes that it has not yet expanded by
-a join with the graph, and ends when its best do not change.
+a member keeps the best it meets, until a round changes few lists (``settled`` of them). Of those that have a node as neighbour
+a round asks at most twice as many as of its own, drawn by hash, so a node that is near to very many holds up nobody.
+A query starts at its own node, expands the best nodes that it has not yet expanded by
+a join with the graph, and ends when all of its best have been.
 
 Vectors travel once a block that asks for them, not once a pair. Blocks above ``block`` rows are cut by hash, so no
 task's memory grows with a crowded pivot. Pivots are a bounded, reproducible sample (at most ``MAX_PIVOTS``) and broadcast;
@@ -12,7 +14,8 @@ every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of unequal
 length have no inner product, and only those of the commonest length (ties: the shortest) take part; with fewer candidates than k
-all are returned; repeated vec_ids are told apart as rows with the same id and vector only once; an empty table gives no rows; other columns are ignored.
+all are returned; rows with the same id and vector count once; a vec_id with several vectors is one query and one candidate that is as
+near as its nearest vector; an empty table gives no rows; other columns are ignored. Components and scores are doubles throughout.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ GRAPH = "node long, near array<long>, sims array<double>"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<float>) of the rows that take part."""
+    """vec_id and v (array<double>) of the rows that take part."""
     v = F.col("embedding")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    ok = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    ok = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     sizes = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return ok.where(F.size("v") == (sizes[0].d if sizes else 0)).dropDuplicates(["vec_id"])
+    return ok.where(F.size("v") == (sizes[0].d if sizes else 0)).dropDuplicates(["vec_id", "v"])
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -79,7 +82,7 @@ def with_blocks(nodes: DataFrame, total: int, block: int, near: int) -> DataFram
                 at = at * parts + (drawn % np.uint64(parts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(list(at), pa.list_(pa.int64()))], ["node", "v", "blocks"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, v array<float>, blocks array<long>")
+    return nodes.select("node", "v").mapInArrow(run, "node long, v array<double>, blocks array<long>")
 
 
 def first_graph(blocked: DataFrame, k: int) -> DataFrame:
@@ -135,22 +138,32 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
 def descend(graph: DataFrame, homes: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
     """One round: the ``width`` nearest neighbours of the ``width`` nearest neighbours, either way, meet; each node keeps the best k of these and its own."""
     edges = graph.select("node", F.explode(F.slice("near", 1, width)).alias("to"))
-    both = edges.union(edges.select("to", "node")).distinct()
+    drawn = Window.partitionBy("to").orderBy(F.xxhash64("node", "to"), "node")
+    back = edges.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= 2 * width).select("to", "node")
+    both = edges.union(back).distinct()
     of = both.join(homes.select("node", "b"), "node").select("b", F.col("to").alias("via")).distinct()
     asked = of.join(edges.withColumnRenamed("node", "via"), "via").select("b", F.col("to").alias("c")).distinct()
     return merged(meet(homes, asked, vectors, k, False).union(graph), k)
 
 
-def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int, hops: int, expand: int) -> DataFrame:
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of nodes whose lists differ."""
+    both = new.select("node", "near").join(old.select("node", F.col("near").alias("was")), "node", "left")
+    n, moved = both.agg(F.count("*"), F.count_if(~F.col("near").eqNullSafe(F.col("was")))).first()
+    return moved / n if n else 0.0
+
+
+def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int, expand: int) -> DataFrame:
     """Greedy search from each query's own node: node, near, sims of the ``beam`` best met, its own node among them.
 
-    Each hop expands the ``expand`` best nodes not yet expanded; it ends when all of a query's beam have been, or after ``hops``.
+    Each hop expands the ``expand`` best nodes not yet expanded; it ends when all of every query's beam have been. Expanded nodes
+    are not expanded again and a beam only gets nearer, so it does end.
     """
     own = F.aggregate(F.zip_with("v", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     start = queries.join(graph, "node").select("node", F.concat(F.array("node"), "near").alias("near"), F.concat(F.array(own), "sims").alias("sims"))
     start = queries.select("node").join(start, "node", "left").select("node", F.coalesce("near", F.array("node")).alias("near"), "sims")
     state = cut(start.withColumn("done", F.array("node")))
-    for _ in range(hops):
+    while True:
         ahead = state.withColumn("now", F.slice(F.array_except("near", "done"), 1, expand))
         frontier = cut(ahead.withColumn("done", F.array_union("done", "now")))
         if frontier.where(F.size("now") > 0).isEmpty():
@@ -162,25 +175,34 @@ def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int,
     return state.select("node", "near", "sims")
 
 
-def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512, near: int = 4, rounds: int = 2, width: int = 10, beam: int = 64, hops: int = 3, expand: int = 12, divisor: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512, near: int = 4, settled: float = 0.05, width: int = 10, beam: int = 64, expand: int = 24, divisor: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``divisor``."""
     rows = cut(usable(vectors))
     none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if rows.isEmpty():
         return none
-    key = F.xxhash64("v")
-    classed = rows.withColumn("node", F.min("vec_id").over(Window.partitionBy(key, "v"))) if rows.select("v").distinct().count() < rows.count() else rows.withColumn("node", F.col("vec_id"))
+    # equal vectors are one node; its number is their smallest id, or drawn where ids have several vectors
+    by_vector = cut(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
+    if by_vector.select("node").distinct().count() < by_vector.count():
+        by_vector = cut(by_vector.withColumn("node", F.monotonically_increasing_id()))
+    if by_vector.where("n > 1").isEmpty() and rows.select("vec_id").distinct().count() == rows.count():
+        classed = rows.withColumn("node", F.col("vec_id"))
+    else:
+        classed = rows.join(by_vector.select("v", "node"), "v")
     classed = cut(classed)
-    nodes = classed.where("node = vec_id").select("node", "v")
+    nodes = by_vector.select("node", "v")
     total = nodes.count()
     blocked = cut(with_blocks(nodes, total, block, near))
     homes = blocked.select("node", "v", F.col("blocks")[0].alias("b"))
     graph = cut(first_graph(blocked, degree))
-    for _ in range(rounds):
-        graph = cut(descend(graph, homes, nodes, degree, width))
+    while True:
+        better = cut(descend(graph, homes, nodes, degree, width))
+        moved, graph = changed(graph, better), better
+        if moved <= settled:
+            break
     asks = classed.where(F.col("vec_id") % divisor == 0).select("node").distinct()
     queries = cut(homes.join(asks, "node", "left_semi"))
-    found = search(graph, queries, nodes, beam, hops, expand)
+    found = search(graph, queries, nodes, beam, expand)
     # nodes back to rows: of equal vectors the k + 1 smallest ids are enough
     ranked = Window.partitionBy("node").orderBy("vec_id")
     members = classed.select("node", "vec_id", F.row_number().over(ranked).alias("m")).where(F.col("m") <= k + 1)
@@ -192,6 +214,6 @@ def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512,
     pairs = both.select("node", "c", F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("score"))
     hits = pairs.join(members.select(F.col("node").alias("c"), "vec_id"), "c").select("node", "vec_id", "score")
     ids = classed.where(F.col("vec_id") % divisor == 0).select(F.col("vec_id").alias("query_id"), "node")
-    out = ids.join(hits, "node").where("query_id <> vec_id")
+    out = ids.join(hits, "node").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
