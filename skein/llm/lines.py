@@ -485,7 +485,7 @@ def together(batches: Iterator[pa.RecordBatch], most: int = 10_000) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, range_bytes: int = 32_000_000, most: int = 20_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, range_bytes: int = 16_000_000, most: int = 20_000) -> DataFrame:
     """(doc_id, th, line): the occurrences that an earlier one of their group stands for; th: xxhash64 of the text."""
     texts = text_of(docs, text_hash().alias("th"))
     ranks = word_ranks(docs)
