@@ -514,8 +514,8 @@ def rewritten(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> D
     slots = F.broadcast(slots_of(gone, "__th").withColumnRenamed("slot", "__slot"))
     marked = docs.withColumn("__own", text_hash())
     here = slot("__own") == F.col("__slot")
-    # only the texts that may lose a line are shuffled
-    touched = marked.join(slots, here, "left_semi").join(gone, (F.col("__own") == F.col("__th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__th")
+    # only the texts that may lose a line are shuffled, and always: no small table takes another way than a large one
+    touched = marked.join(slots, here, "left_semi").join(gone.hint("merge"), (F.col("__own") == F.col("__th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__th")
     others = marked.join(slots, here, "left_anti").withColumn("__gone", F.lit(None).cast("array<int>"))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
