@@ -4,7 +4,7 @@ Leaves are sorted by range, so a partition holds runs of neighbours, and numbere
 is an event: its partial parent takes the digest under its index until as many children are there as the tree's size says,
 then the parent itself arrives one level up. Partitions combine what they hold, as ``combineByKey`` does before its shuffle;
 children of parents still open are the frontier, which is dealt anew by ever wider spans until all roots stand. Every
-finished parent leaves reverse links from its children (above the level of units, 3**UNIT leaves); a unit's way to the root is
+finished parent leaves reverse links from its children (above the level of units); a unit's way to the root is
 joined from those, a level at a time, and inside a unit each leaf's proof is read off the unit's own small tree. Texts
 are read once; what is shuffled has some hundred bytes a document, and no source, however large, meets in one task.
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, cut
 
+#: Children of a node, and the levels of a unit, the subtree whose proofs are made at once: 3**6 leaves.
 ARITY, UNIT = 3, 6
 NODE = "tree binary, size long, level int, i long, digest binary"
 EVENT = NODE + ", kind string, up long, step binary"
@@ -73,7 +74,8 @@ def width(size: int, level: int) -> int:
 class Parents:
     """Partial parents: children by index, until the number that the size of the tree gives is met."""
 
-    def __init__(self) -> None:
+    def __init__(self, unit: int = UNIT) -> None:
+        self.unit = unit
         self.open: dict[tuple, dict[int, bytes]] = {}
         self.done: list[tuple] = []
 
@@ -88,7 +90,7 @@ class Parents:
                 return
             del self.open[key]
             in_order = sorted(children.items())
-            if level >= UNIT:
+            if level >= self.unit:
                 for at, own in in_order:
                     self.done.append((tree, size, level, at, own, "link", up, step(at, [d for j, d in in_order if j != at])))
             digest = hashed([d for _, d in in_order])
@@ -123,12 +125,12 @@ def folded(digest: bytes, path: bytes) -> bytes:
     return digest
 
 
-def combined(nodes: DataFrame) -> DataFrame:
+def combined(nodes: DataFrame, unit: int) -> DataFrame:
     """The events' outcome, partition by partition: links of finished parents, roots, and the frontier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("tree", pa.binary()), ("size", pa.int64()), ("level", pa.int32()), ("i", pa.int64()), ("digest", pa.binary()), ("kind", pa.string()), ("up", pa.int64()), ("step", pa.binary())])
-        parents = Parents()
+        parents = Parents(unit)
 
         def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(rows), 10_000):
@@ -144,29 +146,29 @@ def combined(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree", "size", "level", "i", "digest").mapInArrow(run, EVENT)
 
 
-def grown(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grown(placed: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
     """Roots (tree, root) and links (tree, level, i, up, step) of all trees. placed: tree, size, i, digest of the leaves.
 
-    Round k deals the frontier by spans of 3**(UNIT * (k + 1)) leaves, so a group has at most 3**UNIT whole subtrees and
-    the open ends of the partitions that meet in it; the rounds are the height over UNIT.
+    Round k deals the frontier by spans of 3**(unit * (k + 1)) leaves, so a group has at most 3**unit whole subtrees and
+    the open ends of the partitions that meet in it; the rounds are the height over the unit's.
     """
-    found = cut(combined(placed.withColumn("level", F.lit(0))))
+    found = cut(combined(placed.withColumn("level", F.lit(0)), unit))
     every, k = found, 0
     while found.where("kind = 'node'").limit(1).count():
         k += 1
         first_leaf = F.col("i").cast("decimal(38)") * F.pow(F.lit(float(ARITY)), F.col("level")).cast("decimal(38)")
-        span = F.floor(first_leaf / F.lit(ARITY ** (UNIT * (k + 1))).cast("decimal(38)"))
-        found = cut(combined(found.where("kind = 'node'").repartition("tree", span)))
+        span = F.floor(first_leaf / F.lit(ARITY ** (unit * (k + 1))).cast("decimal(38)"))
+        found = cut(combined(found.where("kind = 'node'").repartition("tree", span), unit))
         every = every.union(found)
     return every.where("kind = 'root'").select("tree", F.col("digest").alias("root")), every.where("kind = 'link'").select("tree", "level", "i", "up", "step")
 
 
-def unit_paths(placed: DataFrame, links: DataFrame) -> DataFrame:
+def unit_paths(placed: DataFrame, links: DataFrame, unit: int) -> DataFrame:
     """tree, unit, path: each unit's way from its own top to its tree's root, by reverse links."""
-    here = placed.groupBy("tree", "size", F.floor(F.col("i") / ARITY**UNIT).alias("unit")).count().drop("count")
+    here = placed.groupBy("tree", "size", F.floor(F.col("i") / ARITY**unit).alias("unit")).count().drop("count")
     tallest = here.agg(F.max("size")).first()[0]
     here = here.withColumn("i", F.col("unit")).withColumn("path", F.lit(b""))
-    level = UNIT
+    level = unit
     while width(tallest, level) > 1:
         of = links.where(F.col("level") == level).select("tree", "i", "up", "step")
         here = here.join(of, ["tree", "i"], "left").select("tree", "size", "unit", F.coalesce("up", "i").alias("i"), F.concat("path", F.coalesce("step", F.lit(b""))).alias("path"))
@@ -174,10 +176,10 @@ def unit_paths(placed: DataFrame, links: DataFrame) -> DataFrame:
     return here.select("tree", "unit", "path")
 
 
-def inside(size: int, start: int, digests: list[bytes]) -> list[bytes]:
+def inside(size: int, start: int, digests: list[bytes], unit: int) -> list[bytes]:
     """The way of each leaf of a unit to the unit's top. start: the place of the unit's first leaf in its tree."""
     levels, level = [digests], 0
-    while level < UNIT and width(size, level) > 1:
+    while level < unit and width(size, level) > 1:
         row = levels[-1]
         levels.append([hashed(row[k : k + ARITY]) for k in range(0, len(row), ARITY)])
         level += 1
@@ -192,14 +194,14 @@ def inside(size: int, start: int, digests: list[bytes]) -> list[bytes]:
     return out
 
 
-def proved(placed: DataFrame, ways: DataFrame, rows_of, schema: str) -> DataFrame:
+def proved(placed: DataFrame, ways: DataFrame, unit: int, rows_of, schema: str) -> DataFrame:
     """Runs ``rows_of(leaf row, path inside its unit, the unit's row)`` for all leaves, unit by unit.
 
     placed: tree, size, i, digest, more; ways: tree, unit, path, more. Both are dealt by unit; a unit's row sorts before its leaves.
     """
     own = [c for c in placed.columns if c != "tree"]
     rest = [c for c in ways.columns if c not in ("tree", "unit")]
-    both = placed.withColumn("unit", F.floor(F.col("i") / ARITY**UNIT)).unionByName(ways.withColumn("i", F.lit(-1).cast("long")), allowMissingColumns=True)
+    both = placed.withColumn("unit", F.floor(F.col("i") / ARITY**unit)).unionByName(ways.withColumn("i", F.lit(-1).cast("long")), allowMissingColumns=True)
     both = both.repartition("tree", "unit").sortWithinPartitions("tree", "unit", "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +209,7 @@ def proved(placed: DataFrame, ways: DataFrame, rows_of, schema: str) -> DataFram
         held: list[dict] = []
 
         def told() -> list[dict]:
-            paths = inside(held[0]["size"], held[0]["i"], [r["digest"] for r in held]) if held else []
+            paths = inside(held[0]["size"], held[0]["i"], [r["digest"] for r in held], unit) if held else []
             return [rows_of(r, p, way) for r, p in zip(held, paths, strict=True)]
 
         for b in batches:
@@ -228,19 +230,19 @@ def proved(placed: DataFrame, ways: DataFrame, rows_of, schema: str) -> DataFram
     return both.mapInArrow(run, schema)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+def manifest(docs: DataFrame, unit: int = UNIT) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document. unit: the levels of a unit."""
     placed = numbered(leaves(docs), ["doc_id", "digest"])
-    roots, links = grown(placed)
+    roots, links = grown(placed, unit)
     # the sources' roots are the leaves of one more tree
     top = numbered(roots.select(F.lit(b"").alias("tree"), F.col("tree").alias("source"), F.col("root").alias("digest")), ["source"])
-    top_roots, top_links = grown(top)
+    top_roots, top_links = grown(top, unit)
     if not top_roots.limit(1).count():
         return docs.sparkSession.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
-    top_ways = unit_paths(top, top_links).join(F.broadcast(top_roots), "tree")  # one root
-    sources = cut(proved(top, top_ways, source_row, "tree binary, subroot binary, root binary, above binary"))
-    ways = unit_paths(placed, links).join(beside(sources), "tree")
-    return proved(placed, ways, document_row, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    top_ways = unit_paths(top, top_links, unit).join(F.broadcast(top_roots), "tree")  # one root
+    sources = cut(proved(top, top_ways, unit, source_row, "tree binary, subroot binary, root binary, above binary"))
+    ways = unit_paths(placed, links, unit).join(beside(sources), "tree")
+    return proved(placed, ways, unit, document_row, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
 def source_row(leaf: dict, path: bytes, way: dict) -> dict:

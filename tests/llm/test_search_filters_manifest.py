@@ -246,8 +246,7 @@ def plain_manifest(rows):
 
 
 @pytest.mark.parametrize(("n", "n_sources", "unit"), [(1, 1, 6), (4, 4, 6), (700, 3, 2), (300, 30, 1)])
-def test_manifest_is_a_plain_tree(spark, monkeypatch, n, n_sources, unit):
-    monkeypatch.setattr(manifest, "UNIT", unit)
+def test_manifest_is_a_plain_tree(spark, n, n_sources, unit):
     r = random.Random(n)
     rows = []
     for k in range(n):
@@ -256,8 +255,7 @@ def test_manifest_is_a_plain_tree(spark, monkeypatch, n, n_sources, unit):
         rows.append((None if k % 50 == 7 else r.choice([k, k, k // 2, -k]), source, None if k % 3 else "de", None if text is None else len(text), text))
     rows += rows[:2]
     made = spark.createDataFrame([(*x, "x", 1, 2, 3, "p") for x in rows], "doc_id long, source string, lang string, n_chars long, text string, tree string, size int, i int, level int, path string").repartition(5)
-    # functions are sent to the workers by value only with their globals, so the unit goes along
-    got = sorted((tuple(x) for x in manifest.manifest(made).collect()), key=str)
+    got = sorted((tuple(x) for x in manifest.manifest(made, unit).collect()), key=str)
     assert got == plain_manifest(rows)
     if n == 700:
         assert {x[-1] for x in got} == {True, False}
