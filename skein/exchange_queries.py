@@ -166,5 +166,5 @@ def cluster_promotion(spark, d):
 def review_groups(spark, d):
     """Parts of a brand with similar names, grouped as a pass in the order of keys would."""
     t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), T.significant_tokens(F.col("p_name")).alias("tokens")).where(F.size("tokens") > 0)
-    pairs = G.token_pairs(t).select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight"))
+    pairs = G.similar_sets(t).select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight"))
     return C.leader_clusters(t.select("id", F.col("id").alias("ord")), pairs)

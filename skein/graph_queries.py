@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import build as B
+from .operators import totals as TT
 from .operators.common import shared_folder
+from .operators.graph import extraction_totals as extraction_totals_of
+from .operators.graph import link_counts, merge_actions
 from .operators.incremental import NodeState
 from .operators.matching import cascade
 from .operators.seeds import placed, survivors
+from .operators.state import write_summary
 from .plans.graph_build import Graph, build_graph
 from .registry import ORACLE_SQL, query, read, slug_sql, tokens_sql
 
@@ -128,11 +132,51 @@ def late_links(spark, d):
     return B.late_links(l.where("l_returnflag = 'A'").select("source", "node").distinct(), l.where("l_returnflag <> 'A'"))
 
 
-@query("""WITH i AS (SELECT o_orderstatus AS category, CASE left(o_orderpriority, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS p FROM orders), g AS (SELECT category, p, count(*) AS n FROM i GROUP BY ALL)
- SELECT category, sum(CASE p WHEN 'high' THEN least(n, 5) WHEN 'medium' THEN least(n, 3) ELSE 0 END)::BIGINT AS rendered, sum(CASE p WHEN 'high' THEN n - least(n, 5) WHEN 'medium' THEN n - least(n, 3) ELSE n END)::BIGINT AS summarised FROM g GROUP BY category""")
+@query("""WITH v AS (SELECT unnest(['communication_style', 'visual_design', 'product_strategy', 'other']) AS category),
+ i AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'visual_design' WHEN 'O' THEN 'communication_style' ELSE 'other' END AS category, CASE left(o_orderpriority, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'medium' ELSE 'low' END AS p, o_custkey % 4 AS k FROM orders),
+ g AS (SELECT category, count(*) AS n, count(*) FILTER (p = 'high') AS high, count(*) FILTER (p = 'medium') AS medium, count(*) FILTER (p = 'low') AS low, sum(greatest(CASE k WHEN 0 THEN 1 ELSE k END - 1, 0)) AS merged_variants, sum(CASE WHEN p = 'low' THEN CASE k WHEN 0 THEN 1 ELSE k END ELSE 0 END) AS low_variants FROM i GROUP BY category)
+ SELECT category, coalesce(n, 0) AS n, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(merged_variants, 0)::BIGINT AS merged_variants, coalesce(low_variants, 0)::BIGINT AS low_variants, coalesce(CASE WHEN n > 0 THEN least(high, 5) + least(medium, 3) END, 0) AS rendered, coalesce(CASE WHEN n > 0 THEN high + medium + low - least(high, 5) - least(medium, 3) END, 0) AS summarised FROM v LEFT JOIN g USING (category)""")
 def review_stats(spark, d):
-    p = F.substring("o_orderpriority", 1, 1)
-    return B.review_stats(read(spark, d, "orders").select(F.col("o_orderstatus").alias("category"), F.when(p == "1", "high").when(p == "2", "medium").otherwise("low").alias("priority")))
+    p, s = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    o = read(spark, d, "orders").select(F.when(s == "F", "visual_design").when(s == "O", "communication_style").alias("category"), F.when(p == "1", "high").when(p == "2", "medium").otherwise("low").alias("priority"), F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("variant_count"))
+    return B.review_stats(o, ["communication_style", "visual_design", "product_strategy", "other"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS input_ord FROM orders), f AS (SELECT * FROM o WHERE input_ord < 1000)
+ SELECT o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, floor(sum(o_totalprice) * 100 + 0.5) / 100 > 20000000 AS over, false AS unlimited FROM f GROUP BY o_orderpriority""")
+def first_import(spark, d):
+    """The first thousand orders by date as conversations, and whether what they cost is above a cap (0: no cap)."""
+    o = placed(read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")]).withColumnRenamed("place", "input_ord")
+    g = B.first_conversations(o, 1000).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), (F.floor(F.sum("o_totalprice") * 100 + 0.5) / 100).alias("cost"))
+    return g.select("o_orderpriority", "n", "keys", B.over_cap(F.col("cost"), F.lit(20_000_000)).alias("over"), B.over_cap(F.col("cost"), F.lit(0)).alias("unlimited"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus IN ('F', 'P') AND o_orderdate > DATE '1995-06-01' AS stale FROM orders""")
+def stale_checkpoints(spark, d):
+    """Orders as attempts after a checkpoint of June 1995: F failed, P running, O succeeded."""
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded")
+    return read(spark, d, "orders").select("o_orderkey", B.stale(F.to_date(F.lit("1995-06-01")), F.col("o_orderdate").cast("date"), status).alias("stale"))
+
+
+@query("SELECT floor(avg((1 - l_discount)::DOUBLE) * 1000000 + 0.5) / 1000000 AS confidence, max(l_shipdate)::VARCHAR AS latest FROM lineitem")
+def extraction_totals(spark, d):
+    l = read(spark, d, "lineitem").select((1 - F.col("l_discount")).cast("double").alias("confidence"), F.lit(None).cast("string").alias("updated"), F.lit("").alias("created"), F.col("l_shipdate").cast("string").alias("extracted"))
+    return extraction_totals_of(l).withColumn("confidence", F.floor(F.col("confidence") * 1000000 + 0.5) / 1000000)
+
+
+@query("SELECT l_orderkey AS source, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey")
+def source_link_counts(spark, d):
+    return link_counts(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), "l_partkey").distinct(), "source")
+
+
+@query("""SELECT action, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'created' WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) <> 1 THEN 'skipped' ELSE 'updated' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY action""")
+def write_counts(spark, d):
+    """What a write of a note for each document would do where labelled documents have one: toxic ones protected, poor ones not ours."""
+    docs, lab = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels")
+    old = docs.join(lab, "doc_id").select(F.col("doc_id").cast("string").alias("path"), (F.coalesce("quality", F.lit(1)) == 1).alias("managed"), (F.coalesce("toxic", F.lit(0)) == 1).alias("protected"), F.lit("note").alias("kind"))
+    plan = merge_actions(old, docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(False).alias("create_only")))
+    s = write_summary(plan)
+    return s.select(F.explode(F.create_map(*[x for c in ("created", "updated", "deleted", "skipped") for x in (F.lit(c), F.col(c))])).alias("action", "n")).where("n > 0")
 
 
 @query("""WITH v AS (SELECT unnest(['durable_project', 'durable_profile', 'tool_workflow', 'writing_workflow', 'transactional_lookup', 'shopping_product_lookup', 'academic_problem', 'other']) AS value),
@@ -283,3 +327,54 @@ def incremental_nodes(spark, d):
     state = NodeState(spark, f"{shared_folder(spark).rstrip('/')}/nodes-{uuid4()}", buckets=32)
     state.rebuild(rows.where("last_seen < '1998'"))
     return state.rebuild(rows).nodes.select("node", "n_sources", "confidence", F.size("evidence").alias("n_evidence"))
+
+
+@query("""WITH e AS (SELECT event_type AS phase, event_id % 5 = 0 AS cached, CASE WHEN event_id % 5 = 0 THEN 0 ELSE floor(value * 100)::BIGINT END AS n, event_id FROM events),
+ c AS (SELECT phase, cached, CASE WHEN event_id % 3 = 0 THEN NULL ELSE n END AS i, n // 2 AS o, CASE WHEN event_id % 7 = 0 THEN n + 9 ELSE 0 END AS total, CASE WHEN event_id % 4 = 0 THEN 0.5 ELSE coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE n END, 0) / 1e6 * 2.5 + (n // 2) / 1e6 * 15 END AS usd FROM e)
+ SELECT phase, count(*) FILTER (NOT cached) AS calls, count(*) FILTER (cached) AS hits, coalesce(sum(i), 0)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out, sum(CASE WHEN total <> 0 THEN total ELSE coalesce(i, 0) + o END)::BIGINT AS tokens, floor(sum(usd) * 1000 + 0.5) / 1000 AS usd FROM c GROUP BY ROLLUP (phase)""")
+def usage_report(spark, d):
+    n = F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.floor(F.col("value") * 100)).cast("long")
+    e = read(spark, d, "events").select(F.col("event_type").alias("phase"), F.lit("gpt-5.4").alias("model"), (F.col("event_id") % 5 == 0).alias("cached"), F.when(F.col("event_id") % 3 != 0, n).alias("tokens_in"), F.floor(n / 2).alias("tokens_out"), F.lit(0).cast("long").alias("tokens_embedded"), F.when(F.col("event_id") % 7 == 0, n + 9).otherwise(0).alias("total"), F.when(F.col("event_id") % 4 == 0, 0.5).alias("usd"))
+    return TT.usage_totals(e).select("phase", "calls", "hits", F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"), "tokens_out", "tokens", (F.floor(F.col("usd") * 1000 + 0.5) / 1000).alias("usd"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS node, CASE p_size % 4 WHEN 0 THEN 'topic' WHEN 1 THEN 'entity' WHEN 2 THEN 'preference' ELSE 'task' END AS type, p_size > 25 AS inf FROM part), s AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_discount < 0.02), k AS (SELECT p_partkey AS node FROM part WHERE p_size < 10 UNION SELECT -p_partkey FROM part WHERE p_size = 1)
+ SELECT count(*) AS visible, count(*) FILTER (s.node IS NULL) AS isolated, count(*) FILTER (type = 'preference') AS self_model, count(*) FILTER (inf) AS inferred, count(*) FILTER (type IN ('topic', 'entity')) AS nouns, count(*) FILTER (k.node IS NOT NULL) AS seeded, (SELECT count(*) FROM k) - count(*) FILTER (k.node IS NOT NULL) AS unmatched_seeds,
+ floor(count(*) FILTER (type IN ('topic', 'entity'))::DOUBLE / count(*) FILTER (type = 'preference') * 100 + 0.5) / 100 AS ratio FROM n LEFT JOIN s ON n.node = s.node LEFT JOIN k ON n.node = k.node""")
+def graph_report(spark, d):
+    k = F.col("p_size") % 4
+    p = read(spark, d, "part")
+    nodes = p.select(F.col("p_partkey").alias("node"), F.when(k == 0, "topic").when(k == 1, "entity").when(k == 2, "preference").otherwise("task").alias("type"), F.when(F.col("p_size") > 25, "supported_inference").otherwise("explicit").alias("inference_level"))
+    linked = read(spark, d, "lineitem").where("l_discount < 0.02").select(F.col("l_partkey").alias("node"))
+    seeds = p.where("p_size < 10").select(F.col("p_partkey").alias("node")).union(p.where("p_size = 1").select(-F.col("p_partkey")))
+    return TT.graph_totals(nodes, linked, B.SELF_MODEL, seeds)
+
+
+@query("""WITH e AS (SELECT l_partkey AS node, 'o' || l_orderkey AS source, l_linenumber || '-' || l_suppkey || '-' || l_quantity || '-' || l_shipdate AS quote, min(l_discount) AS x FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY x, source, quote) AS r FROM e),
+ l AS (SELECT DISTINCT l_partkey AS node, 'o' || l_orderkey AS source FROM lineitem), f AS (SELECT node, source, string_agg(quote, ';' ORDER BY r) FILTER (k <= 3) AS quotes FROM (SELECT *, row_number() OVER (PARTITION BY node, source ORDER BY r) AS k FROM r WHERE r <= 30) GROUP BY ALL)
+ SELECT l.source, l.node, p_size / 100::DOUBLE AS confidence, coalesce(quotes, '') AS quotes FROM l JOIN part ON p_partkey = l.node LEFT JOIN f ON l.node = f.node AND l.source = f.source""")
+def evidence_edges(spark, d):
+    """Edges of orders and parts: a part keeps thirty quotes, an edge the first three of its order."""
+    rows = order_rows(spark, d).select(F.substring("node", 6, 99).cast("long").alias("node"), "source", F.col("evidence")[0]["quote"].alias("quote"), F.col("confidence"))
+    e = rows.groupBy("node", "source", "quote").agg(F.max("confidence").alias("confidence"))
+    e = B.in_order(B.ranked(e.withColumn("e", F.struct("source", "quote", "confidence")), ["node"], [F.desc("confidence"), F.col("source"), F.col("quote")], 30), ["node"], "e", "evidence")
+    nodes = read(spark, d, "part").select(F.col("p_partkey").alias("node"), (F.col("p_size") / 100).alias("confidence")).join(e, "node")
+    return TT.evidence_edges(rows, nodes).select("source", "node", "confidence", F.array_join(F.transform("evidence", lambda x: x["quote"]), ";").alias("quotes"))
+
+
+@query(f"""WITH i AS (SELECT l_orderkey AS source, 'topic' AS type, p_name AS label, 1 - l_discount AS c, l_linenumber AS ord, l_partkey, l_suppkey, {slug_sql('p_name')} AS slug, p_size FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT DISTINCT source, slug FROM i WHERE p_size > 25),
+ r AS (SELECT i.*, row_number() OVER (PARTITION BY source ORDER BY c DESC, ord, l_partkey, l_suppkey) AS rank FROM i ANTI JOIN n ON i.source = n.source AND i.slug = n.slug) SELECT source, label, ord, rank::INT AS rank FROM r WHERE rank <= 8""")
+def source_only_items(spark, d):
+    p = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("label"), "p_size")
+    i = read(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("source"), F.lit("topic").alias("type"), F.concat("label", F.lit(" (chunk 2)")).alias("label"), (1 - F.col("l_discount")).alias("confidence"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.col("label").alias("plain"), "p_size")
+    names = i.where("p_size > 25").select("source", "type", T.slug(F.col("plain")).alias("slug"))
+    return TT.source_only(i, names).select("source", F.col("plain").alias("label"), F.col("ord.l_linenumber").alias("ord"), "rank")
+
+
+@query(r"""SELECT 'conv-' || conv_id AS source_id, md5('Title: Talk ' || conv_id || chr(10) || 'Source ID: conv-' || conv_id || chr(10) || 'Updated: 2024' || chr(10) || chr(10) || 'Transcript:' || chr(10) || CASE WHEN length(t) <= 900 THEN t ELSE regexp_replace(left(t, 885), '\s+$', '') || chr(10) || chr(10) || '[truncated]' END) AS prompt
+ FROM (SELECT conv_id, string_agg('### ' || role || '/A' || turn || ' 2024' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)""")
+def conversation_prompts(spark, d):
+    shown = TT.shown_turn(F.col("role"), F.col("text"), F.concat(F.lit("A"), "turn"), F.lit("2024"))
+    t = TT.transcripts(read(spark, d, "conversations").select("conv_id", F.concat(F.lit("conv-"), "conv_id").alias("source_id"), F.col("turn").alias("turn_ord"), shown.alias("shown")))
+    whole = TT.prompt(F.concat(F.lit("Talk "), F.substring("source_id", 6, 99)), F.col("source_id"), F.lit(""), F.lit("2024"), F.col("transcript"), 900)
+    return t.select("source_id", F.md5(whole).alias("prompt"))

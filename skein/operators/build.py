@@ -210,11 +210,19 @@ def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return F.broadcast(kinds).join(n, F.col("value") == F.col("v"), "left").select("value", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-def review_stats(items: DataFrame) -> DataFrame:
-    """category, rendered, summarised: of each category and priority five high, three medium and no low items are rendered. items: category, priority."""
-    g = items.groupBy("category", "priority").agg(F.count("*").alias("n"))
-    shown = F.when(F.col("priority") == "high", F.least("n", F.lit(5))).when(F.col("priority") == "medium", F.least("n", F.lit(3))).otherwise(0)
-    return g.groupBy("category").agg(F.sum(shown).alias("rendered"), (F.sum("n") - F.sum(shown)).alias("summarised"))
+def review_stats(items: DataFrame, categories: list[str]) -> DataFrame:
+    """category, n, high, medium, low, merged_variants, low_variants, rendered, summarised of every category, 0 included.
+
+    Five high and three medium items of a category are rendered, low ones never. items: category, priority, variant_count; what has no category, or
+    another one, is ``other``.
+    """
+    i = items.withColumn("category", F.when(F.col("category").isin(categories), F.col("category")).otherwise("other")).withColumn("v", F.coalesce("variant_count", F.lit(1)))
+    p = F.col("priority")
+    g = i.groupBy("category").agg(F.count("*").alias("n"), *[F.count_if(p == x).alias(x) for x in PRIORITIES], F.sum(F.greatest(F.col("v") - 1, F.lit(0))).alias("merged_variants"), F.sum(F.when(p == "low", F.col("v")).otherwise(0)).alias("low_variants"))
+    kinds = items.sparkSession.createDataFrame([(c,) for c in categories], "kind string")
+    out = F.broadcast(kinds).join(g, F.col("kind") == F.col("category"), "left").drop("category").withColumnRenamed("kind", "category").fillna(0)
+    shown = F.least("high", F.lit(5)) + F.least("medium", F.lit(3))
+    return out.select("category", "n", *PRIORITIES, "merged_variants", "low_variants", shown.alias("rendered"), (F.col("high") + F.col("medium") + F.col("low") - shown).alias("summarised"))
 
 
 def place_in(value: Column, order: list[str], missing: int) -> Column:

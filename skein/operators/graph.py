@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +100,37 @@ def merged_items(items: DataFrame) -> DataFrame:
 def chunked(turns: DataFrame, most: int, overhead: int = 80) -> DataFrame:
     """Turns of a conversation dealt into prompts: a chunk ends before the turn that would take it over ``most`` characters.
 
-    turns: source_id, turn_ord, text. A fold over each conversation's ordered lengths; texts are not collected.
+    turns: source_id, turn_ord, text, shown (the length of the turn as it is shown). What fits as a whole, turns with a blank line between
+    them, stays whole. Turns are read in order as they lie in a partition, with one number kept from turn to turn: no list of a
+    conversation's turns is ever made, and only lengths are shuffled.
     """
-    seq = turns.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("turn_ord", F.length("text").alias("n")))).alias("t"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<turn_ord:bigint,chunk:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        size = x["n"] + overhead
-        new = (a["used"] > 0) & (a["used"] + size > most)
-        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, size).otherwise(a["used"] + size).alias("used"), F.concat(a["out"], F.array(F.struct(x["turn_ord"].cast("long").alias("turn_ord"), chunk.alias("chunk")))).alias("out"))
-
-    folded = seq.select("source_id", F.aggregate("t", start, step)["out"].alias("out"))
-    return folded.select("source_id", F.explode("out").alias("x")).select("source_id", "x.turn_ord", "x.chunk")
+    t = turns.select("source_id", "turn_ord", F.length("text").cast("long").alias("n"), "shown")
+    total = t.groupBy("source_id").agg((F.sum("shown") + 2 * (F.count("*") - 1)).alias("total"))
+    kind = turns.schema["source_id"].dataType.simpleString()
+    rows = t.join(total, "source_id").withColumn("whole", F.col("total") <= most).select("source_id", F.col("turn_ord").cast("long").alias("turn_ord"), "n", "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, chunk, used = None, 0, 0
+        for b in batches:
+            out = []
+            for s, n, whole in zip(*(b.column(c).to_pylist() for c in ("source_id", "n", "whole")), strict=True):
+                if s != source:
+                    source, chunk, used = s, 0, 0
+                size = n + overhead
+                if not whole and used and used + size > most:
+                    chunk, used = chunk + 1, 0
+                used += size
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column("source_id"), b.column("turn_ord"), pa.array(out, pa.int32())], ["source_id", "turn_ord", "chunk"])
+
+    return rows.repartition("source_id").sortWithinPartitions("source_id", "turn_ord").mapInArrow(run, f"source_id {kind}, turn_ord long, chunk int")
+
+
+def link_counts(links: DataFrame, key: str) -> DataFrame:
+    """key, n: the links of each source or node."""
+    return links.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def extraction_totals(extractions: DataFrame) -> DataFrame:
+    """One row: the mean confidence (0 for none) and the latest of all dates (update, creation, extraction). extractions: confidence, updated, created, extracted."""
+    return extractions.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.max(F.greatest(*[F.nullif(c, F.lit("")) for c in ("updated", "created", "extracted")])).alias("latest"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import graph as G
+from .operators import totals as TT
 from .operators import windows as W
 from .operators.similarity import similar_top
 from .plans.flagship import conversation_graph
@@ -58,9 +59,8 @@ def turn_order(spark, d):
 
 @query("SELECT 'conv-' || conv_id AS source_id, string_agg('### ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def transcript(spark, d):
-    part = F.struct("turn", F.concat(F.lit("### "), "role", F.lit("\n"), "text").alias("t"))
-    g = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    return g.select(F.concat(F.lit("conv-"), "conv_id").alias("source_id"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("transcript"))
+    shown = TT.shown_turn(F.col("role"), F.col("text"))
+    return TT.transcripts(read(spark, d, "conversations").select(F.concat(F.lit("conv-"), "conv_id").alias("source_id"), F.col("turn").alias("turn_ord"), shown.alias("shown")))
 
 
 @query("""WITH c AS (SELECT conv_id, count(*) AS n, sum(length('### ' || role || chr(10) || text)) + 2 * (count(*) - 1) AS chars FROM conversations GROUP BY conv_id),
@@ -69,12 +69,7 @@ def transcript(spark, d):
  m AS (SELECT *, tokens * 2 + conversations * 2800 + 1800 + ceil(0.12 * tokens::DOUBLE) AS i, ceil(0.35 * tokens::DOUBLE * 2) + ceil(0.08 * tokens::DOUBLE) AS o, ceil(0.35 * tokens::DOUBLE) AS e FROM k)
  SELECT conversations, turns, chars, tokens, floor(((i * 2.5 + o * 15 + e * 0.13) / 1000000) * 10000 + 0.5) / 10000 AS cost_usd FROM m""")
 def import_preview(spark, d):
-    part = F.length(F.concat(F.lit("### "), "role", F.lit("\n"), "text"))
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), (F.sum(part) + 2 * (F.count("*") - 1)).alias("chars"))
-    t = c.agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"), (F.sum("chars") + 2 * (F.count("*") - 1)).alias("chars")).withColumn("tokens", F.ceil(F.col("chars") / 4).cast("long"))
-    k = F.col("tokens").cast("double")
-    i, o, e = k * 2 + F.col("conversations") * 2800 + 1800 + F.ceil(k * 0.12), F.ceil(k * 0.35 * 2) + F.ceil(k * 0.08), F.ceil(k * 0.35)
-    return t.withColumn("cost_usd", F.floor(((i * 2.5 + o * 15 + e * 0.13) / 1000000) * 10000 + 0.5) / 10000)
+    return TT.import_preview(read(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), TT.shown_turn(F.col("role"), F.col("text")).alias("shown")))
 
 
 @query("""SELECT conv_id, turn, lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor((h * 33) & 4294967295, c)), 36)) AS id FROM conversations""")
@@ -331,8 +326,8 @@ def evidence_source(spark, d):
 
 @query("SELECT source, count(*) FILTER (l.quality IS NOT NULL) AS hits, count(*) FILTER (l.quality IS NULL) AS misses FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
 def cache_probe(spark, d):
-    j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.groupBy("source").agg(F.count_if(F.col("quality").isNotNull()).alias("hits"), F.count_if(F.col("quality").isNull()).alias("misses"))
+    j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("value")), "doc_id", "left")
+    return TT.cache_totals(j, "source")
 
 
 @query("""WITH x AS (SELECT d.doc_id AS path, coalesce(quality, 1) = 1 AS managed, coalesce(toxic, 0) = 1 AS protected, CASE WHEN lang = 'de' THEN 'review_item' ELSE 'note' END AS kind FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
@@ -361,12 +356,13 @@ def source_only(spark, d):
     return W.top_per_group(rest, ["l_orderkey"], [F.col("l_discount"), F.col("l_partkey"), F.col("l_linenumber")], 8).select("l_orderkey", "l_partkey", "rank")
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text) + 80 AS n FROM conversations),
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text) + 80 AS n, sum(length('### ' || role || chr(10) || text)) OVER (PARTITION BY conv_id) + 2 * (count(*) OVER (PARTITION BY conv_id) - 1) <= 2000 AS whole FROM conversations),
  r AS (SELECT conv_id, i, turn, n AS used, 0 AS chunk FROM t WHERE i = 1 UNION ALL
- SELECT t.conv_id, t.i, t.turn, CASE WHEN r.used + t.n > 2000 THEN t.n ELSE r.used + t.n END, CASE WHEN r.used + t.n > 2000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+ SELECT t.conv_id, t.i, t.turn, CASE WHEN NOT whole AND r.used + t.n > 2000 THEN t.n ELSE r.used + t.n END, CASE WHEN NOT whole AND r.used + t.n > 2000 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
  SELECT conv_id AS source_id, turn AS turn_ord, chunk::INT AS chunk FROM r""")
 def chunk_split(spark, d):
-    return G.chunked(read(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("turn_ord"), "text"), 2000)
+    shown = F.length(F.concat(F.lit("### "), "role", F.lit("\n"), "text"))
+    return G.chunked(read(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").alias("turn_ord"), "text", shown.alias("shown")), 2000)
 
 
 @query()
