@@ -490,7 +490,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5,
     texts = text_of(docs, text_hash().alias("th"))
     ranks = word_ranks(docs)
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(4, -(-size // range_bytes))
+    ranges = max(16, -(-size // range_bytes))  # a line is sent to nearly as many ranges as it has keys, few inputs included
 
     def meet(t: pa.Table) -> pa.Table:
         kind, rows = t.column("kind")[0].as_py(), t.column("rows").to_pylist()
