@@ -23,7 +23,8 @@ SECTIONS = [
 ]
 # Headings of the identity card.
 CARD = ["Identity", "Active Focus (Top 3)", "Working Style & Preferences", "Building Style", "Product Taste", "Recurring Projects", "Constraints & Boundaries", "Key People", "Communication Preferences", "Tools & Stack", "How agents should help me"]
-DRAFT = "path string, content string, create_only boolean, kind string"
+# The order of types in the context.
+CONTEXT_TYPES = ["agent_instruction", "pattern", "principle", "preference", "project", "decision", "task", "topic", "entity", "artifact"]
 
 
 def draft(path: Column, content: Column, kind: str, create_only: bool = False) -> list[Column]:
@@ -152,6 +153,34 @@ def context_pack(nodes: DataFrame, sources: DataFrame, root: str, prefix: str =
     return notes.unionByName(readme)
 
 
+def agent_context(nodes: DataFrame, sources: DataFrame, edges: DataFrame, root: str, profile: str = "", prefix: str = PREFIX, wiki: bool = False) -> DataFrame:
+    """The context as one note: the profile (given, or the summaries of the six surest sources), the twenty surest nodes of a type, all sources.
+
+    nodes: type, label, summary, confidence, evidence (source, quote, confidence); sources: source, title, summary, confidence, last_seen, input_ord; edges: counted.
+    Nodes are ranked before they are gathered; the list of sources is the note's own.
+    """
+    c = F.col
+    n = F.size("evidence")
+    name = reference(paths.node_path(c("type"), c("label"), root), c("label"), wiki)
+    quote = F.coalesce(F.concat(F.lit(' Evidence: "'), T.truncated(cleaned(F.get("evidence", F.lit(0))["quote"]), 160), F.lit('"')), F.lit(""))
+    line = F.concat(F.lit("- "), name, F.lit(" ("), number(T.round_half_up(c("confidence"))), F.lit(", "), n.cast("string"), F.when(n == 1, " evidence item): ").otherwise(" evidence items): "), cleaned(c("summary")), quote)
+    top = in_order(ranked(nodes.withColumn("line", line), ["type"], [F.desc("confidence"), n.desc(), c("label")], 20), ["type"], "line", "lines")
+    order = F.array(*map(F.lit, CONTEXT_TYPES))
+    kinds = nodes.sparkSession.createDataFrame([(t,) for t in CONTEXT_TYPES], "type string")
+    parts = F.broadcast(kinds).join(top, "type", "left").select(F.array_position(order, c("type")).alias("k"), F.concat(F.lit("## "), mapped(c("type"), {t: TYPES[t][1] for t in TYPES}), F.lit("\n"), F.coalesce(F.array_join("lines", "\n"), F.lit("None extracted yet."))).alias("part"))
+    body = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), "\n\n").alias("body"))
+    told = sources.withColumn("s", T.trim_all(F.coalesce("summary", F.lit("")))).where("s <> ''").groupBy("s").agg(F.max(F.struct("confidence", (-c("input_ord")).alias("o"))).alias("m"))
+    six = told.orderBy(F.desc("m.confidence"), F.desc("m.o")).limit(6)
+    about = six.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-c("m.confidence")).alias("a"), (-c("m.o")).alias("o"), "s"))), lambda x: F.concat(F.lit("- "), x["s"])), "\n").alias("about"))
+    listed = F.concat(F.lit("- "), reference(paths.source_path(c("title"), c("source"), root), c("title"), wiki), F.lit(": "), "summary")
+    of = sources.withColumn("line", listed).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("input_ord", "line"))), lambda x: x["line"]), "\n").alias("listed"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("sure"), F.max("last_seen").alias("latest"))
+    one = body.join(about).join(of).join(edges.agg(F.count("*").alias("n_edges")))  # one row each
+    head = front_matter([("type", F.lit("agent_context"), "text"), ("id", F.lit("agent_context"), "text"), ("managed", F.lit(True), "number"), ("confidence", T.round_half_up(c("sure")), "number"), ("last_seen", c("latest"), "text"), ("evidence_count", c("n_edges"), "number")], prefix)
+    said = F.lit(profile.strip()) if profile.strip() else F.when(c("about") == "", "No high-confidence context extracted yet.").otherwise(c("about"))
+    text = F.concat(head, F.lit("\n# Agent Context\n\n## Identity Card\n"), reference(paths.identity_path(root), F.lit("_Me"), wiki), F.lit(" — your own protected note; read it before what is inferred.\n\n## Profile Summary\n"), said, F.lit("\n\n"), "body", F.lit("\n\n## Source Conversations\n"), "listed")
+    return one.select(*draft(paths.context_path(root), text, "agent_context"))
+
+
 def all_drafts(*drafts: DataFrame) -> DataFrame:
     """All drafts of a run, each path once: the first that was given stands."""
     every = [d.withColumn("place", F.lit(k)) for k, d in enumerate(drafts)]

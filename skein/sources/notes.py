@@ -106,8 +106,24 @@ def node_seeds(notes: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return with_sources(seeds, source_paths(notes, prefix))
 
 
+def legacy_seeds(notes: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """Review items of the older form, a note each: fields in the front matter, the label in the title, else the file's name."""
+    c, front = F.col("content"), F.col("front")
+
+    def f(key: str) -> Column:
+        return field(front, prefix + key)
+
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    title = trim_all(F.regexp_extract(c, r"(?m)^#\s+Review:\s+(.+)$", 1))
+    n = managed(notes, prefix).where(f("type") == "review_item").withColumn("label", F.when(title == "", base).otherwise(title)).withColumn("kind", f("target_type"))
+    return n.select(
+        F.col("path").alias("seed"), F.col("kind").alias("type"), F.coalesce(f("id"), F.concat(F.lit("review_"), "kind", F.lit("_"), slug(F.col("label")))).alias("id"), "label", slug(F.col("label")).alias("slug"), listed(front, prefix + "aliases").alias("aliases"), "path",
+        F.coalesce(section(c, "Summary"), F.lit("")).alias("summary"), F.coalesce(f("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), listed(front, prefix + "source_ids").alias("source_ids"), f("review_status").alias("status"), f("review_priority").alias("priority"), f("review_category").alias("category"), evidence(section(c, "Evidence")).alias("evidence"),
+    )
+
+
 def review_seeds(notes: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """The entries of review inboxes, with the status that a person gave them; entries without a label, type or status are left out."""
+    """The entries of review inboxes and review items with a note each, with the status that a person gave them; those without a label, type or status are left out."""
     inbox = managed(notes, prefix).where(field(F.col("front"), f"{prefix}type") == "review_queue")
     x = F.col("entry")
     parts = inbox.select("path", F.posexplode(F.split("content", r"(?m)(?=^###\s+Review:\s+)")).alias("pos", "entry")).where(x.rlike(r"(?m)^###\s+Review:\s+"))
@@ -123,4 +139,5 @@ def review_seeds(notes: DataFrame, prefix: str = PREFIX) -> DataFrame:
         F.concat_ws("#", "path", "pos").alias("seed"), f("Target type").alias("type"), F.coalesce(F.nullif(f("ID"), F.lit("")), F.concat(F.lit("review_"), f("Target type"), F.lit("_"), slug(label))).alias("id"), label.alias("label"), slug(label).alias("slug"), many("Aliases").alias("aliases"), "path",
         section(x, "Summary", 4).alias("summary"), F.coalesce(f("Confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), many("Source IDs").alias("source_ids"), f("Status").alias("status"), f("Priority").alias("priority"), f("Category").alias("category"), evidence(section(x, "Evidence", 4)).alias("evidence"),
     )
+    seeds = seeds.unionByName(legacy_seeds(notes, prefix))
     return with_sources(seeds.where((F.col("label") != "") & F.col("type").isin(list(TYPES)) & F.col("status").isin(STATUSES)), source_paths(notes, prefix))
