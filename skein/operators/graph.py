@@ -100,11 +100,12 @@ def merged_items(items: DataFrame) -> DataFrame:
 def chunked(turns: DataFrame, most: int, overhead: int = 80) -> DataFrame:
     """Turns of a conversation dealt into prompts: a chunk ends before the turn that would take it over ``most`` characters.
 
-    turns: source_id, turn_ord, text, shown (the length of the turn as it is shown). What fits as a whole, turns with a blank line between
-    them, stays whole. Turns are read in order as they lie in a partition, with one number kept from turn to turn: no list of a
+    turns: source_id, turn_ord, text, and shown, the length of the turn as it is shown: what fits as a whole, turns with a blank line between
+    them, stays whole (without such lengths nothing counts as whole). Turns are read in order as they lie in a partition, with one number kept from turn to turn: no list of a
     conversation's turns is ever made, and only lengths are shuffled.
     """
-    t = turns.select("source_id", "turn_ord", F.length("text").cast("long").alias("n"), "shown")
+    shown = F.col("shown") if "shown" in turns.columns else F.lit(most + 1)
+    t = turns.select("source_id", "turn_ord", F.length("text").cast("long").alias("n"), shown.alias("shown"))
     total = t.groupBy("source_id").agg((F.sum("shown") + 2 * (F.count("*") - 1)).alias("total"))
     kind = turns.schema["source_id"].dataType.simpleString()
     rows = t.join(total, "source_id").withColumn("whole", F.col("total") <= most).select("source_id", F.col("turn_ord").cast("long").alias("turn_ord"), "n", "whole")

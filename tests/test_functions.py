@@ -65,6 +65,8 @@ def test_chunks_break_before_the_turn_that_is_too_much(spark):
     turns = spark.createDataFrame([("s", i, "x" * 20) for i in range(4)], ["source_id", "turn_ord", "text"])
     got = sorted((r.turn_ord, r.chunk) for r in G.chunked(turns, 250).collect())
     assert got == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    lengths = turns.withColumn("shown", F.lit(30))
+    assert {r.chunk for r in G.chunked(lengths, 126).collect()} == {0} and len({r.chunk for r in G.chunked(lengths, 125).collect()}) == 4
 
 
 def test_write_plan(spark):
