@@ -3,7 +3,7 @@
 Equal vectors are one node. Nodes are dealt to blocks around pivots; inside the blocks of its nearest
 pivots a node meets its first neighbours. Then neighbours of neighbours are joined, round by round: each block asks for
 the nodes that its members' neighbours (either way) have as neighbours, their vectors come by a join, and
-a member keeps the best it meets, until a round changes few lists (``settled`` of them). Of those that have a node as neighbour
+a member keeps the best it meets, until a round changes few lists (``settled`` of them); ways that an earlier round has gone are not gone again. Of those that have a node as neighbour
 a round asks at most twice as many as of its own, drawn by hash, so a node that is near to very many holds up nobody.
 A query starts at its own node, expands the best nodes that it has not yet expanded by
 a join with the graph, and ends when all of its best have been.
@@ -135,14 +135,23 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
     return members.select(F.col("b").alias("block"), F.col("node").alias("node"), F.col("v").alias("v")).groupBy("block").cogroup(candidates.groupBy("asker")).applyInArrow(run, GRAPH)
 
 
-def descend(graph: DataFrame, homes: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
-    """One round: the ``width`` nearest neighbours of the ``width`` nearest neighbours, either way, meet; each node keeps the best k of these and its own."""
-    edges = graph.select("node", F.explode(F.slice("near", 1, width)).alias("to"))
+def descend(graph: DataFrame, was: DataFrame | None, homes: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
+    """One round: the ``width`` nearest neighbours of the ``width`` nearest neighbours, either way, meet; each node keeps the best k of these and its own.
+
+    A way of two old neighbours has been gone before, so only ways with a neighbour that the last graph ``was`` without are gone.
+    """
+    now = graph.select("node", F.slice("near", 1, width).alias("near"))
+    if was is not None:
+        now = now.join(was.select("node", F.slice("near", 1, width).alias("old")), "node", "left")
+        now = now.select("node", F.explode("near").alias("to"), F.coalesce("old", F.array().cast("array<long>")).alias("old")).select("node", "to", (~F.array_contains("old", F.col("to"))).alias("fresh"))
+    else:
+        now = now.select("node", F.explode("near").alias("to"), F.lit(True).alias("fresh"))
+    edges = cut(now)
     drawn = Window.partitionBy("to").orderBy(F.xxhash64("node", "to"), "node")
-    back = edges.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= 2 * width).select("to", "node")
-    both = edges.union(back).distinct()
-    of = both.join(homes.select("node", "b"), "node").select("b", F.col("to").alias("via")).distinct()
-    asked = of.join(edges.withColumnRenamed("node", "via"), "via").select("b", F.col("to").alias("c")).distinct()
+    back = edges.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= 2 * width).select("to", "node", "fresh")
+    both = edges.union(back).groupBy("node", "to").agg(F.max("fresh").alias("fresh"))
+    of = both.join(homes.select("node", "b"), "node").groupBy("b", F.col("to").alias("via")).agg(F.max("fresh").alias("new"))
+    asked = of.join(edges.withColumnRenamed("node", "via"), "via").where(F.col("new") | F.col("fresh")).select("b", F.col("to").alias("c")).distinct()
     return merged(meet(homes, asked, vectors, k, False).union(graph), k)
 
 
@@ -195,9 +204,10 @@ def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512,
     blocked = cut(with_blocks(nodes, total, block, near))
     homes = blocked.select("node", "v", F.col("blocks")[0].alias("b"))
     graph = cut(first_graph(blocked, degree))
+    was = None
     while True:
-        better = cut(descend(graph, homes, nodes, degree, width))
-        moved, graph = changed(graph, better), better
+        better = cut(descend(graph, was, homes, nodes, degree, width))
+        moved, was, graph = changed(graph, better), graph, better
         if moved <= settled:
             break
     asks = classed.where(F.col("vec_id") % divisor == 0).select("node").distinct()
