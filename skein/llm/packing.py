@@ -43,7 +43,7 @@ class Ids(dict):
     lower-cased (ASCII) before, as the tokenizer does itself, unless the text may hold a special token.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.coder, self.most = Tokenizer.from_file(path), most
