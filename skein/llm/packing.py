@@ -58,8 +58,9 @@ class Ids(dict):
     def encode(self, text: str) -> bytes:
         return np.asarray(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self) + len(missing) > self.most:
+    def learn(self, missing: set[bytes], hold: bool = False) -> None:
+        """Adds words. A table that would be too large is emptied first, unless ``hold``: one text's own words must be there together."""
+        if not hold and len(self) + len(missing) > self.most:
             self.clear()
         tails, plain = [], set()
         for w in missing:
@@ -105,7 +106,7 @@ class Ids(dict):
         except KeyError:
             self.learn({w for w in set(ws) if w not in self})
             if not all(map(self.__contains__, ws)):  # the table was emptied: learn the whole text's words
-                self.learn({w for w in set(ws) if w not in self})
+                self.learn({w for w in set(ws) if w not in self}, hold=True)
             return b"".join(map(self.__getitem__, ws))
 
 

@@ -375,6 +375,14 @@ def test_packing_of_nothing_and_of_nasty_rows(spark):
         assert at <= 2048
 
 
+def test_a_text_of_more_words_than_the_table_holds():
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    small, large = packing.Ids(path, 50), packing.Ids(path)
+    text = " ".join(f"word{k} plain" for k in range(300)).encode()
+    for t in (b"plain word1 other", text, b"plain word1 word299", text + b" more"):
+        assert small.of(t) == large.of(t)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
