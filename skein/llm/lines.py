@@ -520,7 +520,8 @@ def rewritten(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> D
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    about = F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))  # texts that stay are not split
+    about = F.struct(F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
     return touched.unionByName(others).select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], about.alias("__lines"))
 
 
