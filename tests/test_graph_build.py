@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import build as B
+from skein.operators.common import cut, once_each
 from skein.operators.review import compacted, same_items
 from skein.operators.seeds import survivors
 from skein.plans.graph_build import build_graph
@@ -138,3 +139,12 @@ def test_sanitised_items(spark):
     schema = "label string, summary string, quote string, confidence double, stability string, inference_level string, applies_to array<string>"
     got = B.sanitised(spark.createDataFrame([(" a ", "b", "c", 1.7, "stable", "odd", [" x ", "", "y"]), ("", "b", "c", 0.5, None, None, []), ("a", "b", "c", float("nan"), "odd", "explicit", None)], schema)).collect()
     assert [(r.label, r.confidence, r.stability, r.inference_level, r.applies_to) for r in got] == [("a", 1.0, "stable", None, ["x", "y"]), ("a", 0.0, None, "explicit", None)]
+
+
+def test_facts_of_repeated_texts_are_worked_out_once(spark):
+    df = rows(spark, "k int, a string, q array<string>", (1, "x", ["b"]), (2, "x", ["b"]), (3, None, None), (4, None, None), (5, "y", [])).withColumn("n", F.lit(0))
+    facts = {"n": F.length("a"), "m": F.coalesce(F.size("q"), F.lit(-1))}
+    once, plain = once_each(df, ["a", "q"], facts), once_each(df, ["a", "q"], facts, most=0)
+    assert sorted(map(tuple, once.select("k", "n", "m").collect())) == sorted(map(tuple, plain.select("k", "n", "m").collect())) and once.count() == 5
+    # written by columns: a reader of one column does not read the others
+    assert cut(df).select("k").columns == ["k"] and all(f.endswith(".parquet") for f in cut(df).inputFiles())
