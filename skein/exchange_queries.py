@@ -11,6 +11,7 @@ from .operators import clustering as C
 from .operators import graph as G
 from .operators import state as S
 from .operators import windows as W
+from .operators.common import cut
 from .registry import TRIM, query, read, slug_sql, tokens_sql
 from .sources import exports, notes
 
@@ -166,5 +167,7 @@ def cluster_promotion(spark, d):
 def review_groups(spark, d):
     """Parts of a brand with similar names, grouped as a pass in the order of keys would."""
     t = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), T.significant_tokens(F.col("p_name")).alias("tokens")).where(F.size("tokens") > 0)
-    pairs = G.similar_sets(t).select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight"))
-    return C.leader_clusters(t.select("id", F.col("id").alias("ord")), pairs)
+    classes = cut(G.set_classes(t))
+    firsts = classes.where("id = first").select("id", "type", F.col("toks").alias("tokens"))
+    pairs = cut(G.similar_sets(firsts).select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight")))
+    return C.leader_clusters_of_classes(t.select("id", F.col("id").alias("ord")), classes.select("id", "first"), pairs)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import render as R
 from skein.operators import clustering as C
+from skein.operators import graph as G
 from skein.operators import state as S
 from skein.sources import exports, notes
 from skein.streaming.imports import arriving, cached, import_stream
@@ -127,3 +128,25 @@ def test_progress_is_told_for_each_batch(spark, tmp_path):
     batches = sorted((r.batch, r.completed) for r in got if r.kind == "batch" and r.duration_ms is not None)
     assert {r.total for r in got} == {6} and max(c for _, c in batches) == 6 and len({b for b, _ in batches}) >= 3
     assert {r.kind for r in got} == {"started", "batch", "ended"}
+
+
+def test_equal_sets_stand_by_their_first(spark):
+    rng = random.Random(8)
+    for words, most, n in ((4, 2, 120), (6, 4, 90)):
+        sets = [(k, rng.choice("ab"), rng.sample("uvwxyz"[:words], rng.randint(1, most))) for k in range(n)]
+        df = spark.createDataFrame(sets, "id long, type string, tokens array<string>").cache()
+        every, few = G.similar_sets(df).cache(), G.similar_classes(df).collect()
+        first = {r.id: r.first for r in G.set_classes(df).select("id", F.col("first")).collect()}
+        # each link of the pairwise join follows from the classes, and nothing else does; copies are not paired with each other
+        links = {(r.a, r.b) for r in few}
+        up = lambda a, b: (first[a], first[b]) if first[a] < first[b] else (first[b], first[a])
+        want = {(r.a, r.b) for r in every.collect()}
+        assert want == {(a, b) for a in first for b in first if a < b and (first[a] == first[b] or up(a, b) in links)}
+        assert sum(first[r.b] == r.a for r in few) == len(first) - len(set(first.values())) and len(few) < len(want)
+        nodes = df.select("id", F.col("id").alias("ord"))
+        weighed = every.select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight"))
+        classes = G.set_classes(df)
+        firsts = classes.where("id = first").select("id", "type", F.col("toks").alias("tokens"))
+        pairs = G.similar_sets(firsts).select("a", "b", (F.col("n_shared") / F.col("n_all")).alias("weight"))
+        got = C.leader_clusters_of_classes(nodes, classes.select("id", "first"), pairs)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, C.leader_clusters(nodes, weighed).collect()))
