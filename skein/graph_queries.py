@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import build as B
 from .operators import totals as TT
-from .operators.common import shared_folder
+from .operators.common import cut, dealt, shared_folder
 from .operators.graph import extraction_totals as extraction_totals_of
 from .operators.graph import link_counts, merge_actions
 from .operators.incremental import NodeState
@@ -108,9 +108,11 @@ def match_keys(spark, d):
  u AS (SELECT node, other, min(other_type) AS other_type, any_value(confidence) AS confidence, any_value(n_evidence) AS n_evidence, any_value(label) AS label FROM l GROUP BY node, other)
  SELECT node, other, other_type, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node, other_type ORDER BY confidence DESC, n_evidence DESC, label, other) AS rank FROM u) WHERE rank <= 2""")
 def append_links(spark, d):
-    l = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("other")).agg(F.min("l_returnflag").alias("other_type"))
+    l = read(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("other"), "l_returnflag")
+    n = l.count()
+    l = cut(dealt(l, n, "node").groupBy("node", "other").agg(F.min("l_returnflag").alias("other_type")))
     l = l.withColumns({"confidence": F.col("other") % 7 / 10, "n_evidence": F.col("other") % 3, "label": F.concat(F.lit("n"), "other")})
-    return B.appended_links(l.where("other_type = 'A'"), l.where("other_type <> 'A'").union(l.where("other_type = 'A'"))).select("node", "other", "other_type", "rank")
+    return B.appended_links(l.where("other_type = 'A'"), l.where("other_type <> 'A'").union(l.where("other_type = 'A'")), n_rows=n).select("node", "other", "other_type", "rank")
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS node FROM lineitem WHERE l_discount < 0.01), n AS (SELECT p_partkey AS node, p_partkey + 1 AS other FROM part WHERE p_size < 5),

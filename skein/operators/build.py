@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import dealt
 from .windows import top_per_group
 
 # Types that describe a person and their review threshold; source classes that are not filed by themselves.
@@ -187,9 +188,9 @@ def promoted_after_review(status: Column, category: Column, kind: Column, priori
     return F.when(~kind.isin(SELF_MODEL) | (status == "rejected"), False).when(status == "approved", True).when(category == "lookup_behavior", False).otherwise(sure)
 
 
-def appended_links(old: DataFrame, new: DataFrame, cap: int = 2) -> DataFrame:
-    """Links of both, each once, the best ``cap`` a node and type. Both: node, other, other_type, confidence, n_evidence, label."""
-    both = old.unionByName(new).dropDuplicates(["node", "other"])
+def appended_links(old: DataFrame, new: DataFrame, cap: int = 2, n_rows: int = 0) -> DataFrame:
+    """Links of both, each once, the best ``cap`` a node and type. Both: node, other, other_type, confidence, n_evidence, label. n_rows: of how many links, about."""
+    both = dealt(old.unionByName(new), n_rows, "node").dropDuplicates(["node", "other"])
     return top_per_group(both, ["node", "other_type"], [F.desc("confidence"), F.desc("n_evidence"), F.col("label"), F.col("other")], cap)
 
 
