@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import build as B
-from skein.operators.common import cut, once_each
+from skein.operators.common import coded, cut, once_each
+from skein.operators.graph import cooccurrence
 from skein.operators.review import compacted, same_items
 from skein.operators.seeds import survivors
 from skein.plans.graph_build import build_graph
@@ -148,3 +149,17 @@ def test_facts_of_repeated_texts_are_worked_out_once(spark):
     assert sorted(map(tuple, once.select("k", "n", "m").collect())) == sorted(map(tuple, plain.select("k", "n", "m").collect())) and once.count() == 5
     # written by columns: a reader of one column does not read the others
     assert cut(df).select("k").columns == ["k"] and all(f.endswith(".parquet") for f in cut(df).inputFiles())
+
+
+def test_a_number_stands_for_repeated_columns(spark):
+    df = rows(spark, "k int, a string, q array<string>", (1, "x", ["b"]), (2, "x", ["b"]), (3, None, None), (4, None, None), (5, "y", [None]))
+    for most in (100, 0):
+        narrow, back = coded(df, ["a", "q"], most)
+        assert ("a" in narrow.columns) == (most == 0)
+        assert sorted(map(str, back(narrow.repartition(3, "k")).select("k", "a", "q").collect())) == sorted(map(str, df.collect()))
+
+
+def test_pairs_of_few_nodes_are_the_same_by_either_way(spark):
+    links = rows(spark, "s int, n string, kind string, c double", *[(s, f"n{(s * 7 + j * j) % 9}", "ab"[(s * 7 + j * j) % 9 % 2], (s * 7 + j * j) % 9 / 10) for s in range(60) for j in range(3)]).distinct()
+    plain, few = cooccurrence(links, "s", "n", "kind", ["c"], 2), cooccurrence(links, "s", "n", "kind", ["c"], 2, 180, 9)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, few.collect())) and plain.count()
