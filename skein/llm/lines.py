@@ -517,9 +517,9 @@ def rewritten(docs: DataFrame, similarity: float = 0.8, min_words: int = 5) -> D
     # only the texts that may lose a line are shuffled, and always: no small table takes another way than a large one
     touched = marked.join(slots, here, "left_semi").join(gone.hint("merge"), (F.col("__own") == F.col("__th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc", "__th")
     others = marked.join(slots, here, "left_anti").withColumn("__gone", F.lit(None).cast("array<int>"))
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # a text is split once, whatever the number of its lines
+    kept = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept[0])
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))  # texts that stay are not split
     about = F.struct(F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
     return touched.unionByName(others).select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], about.alias("__lines"))

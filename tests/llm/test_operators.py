@@ -477,3 +477,12 @@ def test_repeated_rows_do_not_crash(spark, texts):
     assert lines.without_repeated_lines(docs).count() == 40
     assert mixing.mix_sources(docs).count() == 40
     assert language_model.score_documents(docs).count() == 40
+
+
+def test_a_text_is_split_once(spark):
+    again = "the same line of five words"
+    docs = frame(spark, [f"a\n{again}\n\nb", f"x\n{again}\n\ny\n{again}"])
+    out = lines.rewritten(docs)
+    # not once a line that stays
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert sorted(r.text for r in out.collect()) == [f"a\n{again}\n\nb", "x\n\ny"]
