@@ -1,41 +1,45 @@
 """Approximate nearest neighbours by inner product: a neighbour graph from NN-descent, searched greedily.
 
 Equal vectors are one node. Nodes are dealt to blocks around pivots; inside the blocks of its nearest
-pivots a node meets its first neighbours. Then neighbours of neighbours are joined, round by round: each block asks for
-the nodes that its members' neighbours (either way) have as neighbours, their vectors come by a join, and
-a member keeps the best it meets, until a round changes few lists (``settled`` of them); ways that an earlier round has gone are not gone again. Of those that have a node as neighbour
-a round asks at most twice as many as of its own, drawn by hash, so a node that is near to very many holds up nobody.
+pivots a node meets its first neighbours. Then neighbours of neighbours meet, round by round, around the node that they share: its
+neighbours' vectors (either way) come to it by a join, each takes the best it meets into its list, and the rounds
+end when one changes few lists (``settled`` of them); what met in an earlier round does not meet again. Of those that have a node as neighbour
+a round takes at most twice as many as of its own, drawn by hash, so a node that is near to very many holds up nobody.
 A query starts at its own node, expands the best nodes that it has not yet expanded by
 a join with the graph, and ends when all of its best have been.
 
-Vectors travel once a block that asks for them, not once a pair. Blocks above ``block`` rows are cut by hash, so no
+In a round a vector travels once to each node that it is around, in the search once to each block that asks for it, never once a pair. Blocks above ``block`` rows are cut by hash, so no
 task's memory grows with a crowded pivot. Pivots are a bounded, reproducible sample (at most ``MAX_PIVOTS``) and broadcast;
 every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of unequal
 length have no inner product, and only those of the commonest length (ties: the shortest) take part; with fewer candidates than k
 all are returned; rows with the same id and vector count once; a vec_id with several vectors is one query and one candidate that is as
-near as its nearest vector; an empty table gives no rows; other columns are ignored. Components and scores are doubles throughout.
+near as its nearest vector; an empty table gives no rows; other columns are ignored. Sums and scores are doubles throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import cut, mix
+from .common import cut, groups_of, mix
 
 MAX_PIVOTS = 2048
 GRAPH = "node long, near array<long>, sims array<double>"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
+    """vec_id and v of the rows that take part: floats stay floats, which take half the room on the way and are computed with as doubles; other numbers become doubles."""
     v = F.col("embedding")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.elementType == FloatType() else "array<double>"
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    ok = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    ok = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("v"))
     sizes = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return ok.where(F.size("v") == (sizes[0].d if sizes else 0)).dropDuplicates(["vec_id", "v"])
 
@@ -82,7 +86,7 @@ def with_blocks(nodes: DataFrame, total: int, block: int, near: int) -> DataFram
                 at = at * parts + (drawn % np.uint64(parts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("v"), pa.array(list(at), pa.list_(pa.int64()))], ["node", "v", "blocks"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, v array<double>, blocks array<long>")
+    return nodes.select("node", "v").mapInArrow(run, f"node long, v {nodes.schema['v'].dataType.simpleString()}, blocks array<long>")
 
 
 def first_graph(blocked: DataFrame, k: int) -> DataFrame:
@@ -112,8 +116,8 @@ def merged(rows: DataFrame, k: int) -> DataFrame:
     return flat.select("node", top.alias("z")).select("node", F.col("z.near").alias("near"), F.transform("z.far", lambda x: -x).alias("sims"))
 
 
-def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own: bool) -> DataFrame:
-    """Each member's (b, node, v) best k of the candidates (b, c) that its block has asked for; its own node aside unless ``own``."""
+def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Each member's (b, node, v) best k of the candidates (b, c) that its block has asked for."""
     candidates = asked.join(vectors.select(F.col("node").alias("c"), "v"), "c").select(F.col("b").alias("asker"), F.col("c").alias("c"), F.col("v").alias("v"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -123,10 +127,7 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
         y, cs = matrix(right.column("v")), right.column("c").to_numpy()
         out_s, out_i = [], []
         for a in range(0, len(ids), 64):
-            s = x[a : a + 64] @ y.T
-            if not own:
-                s[ids[a : a + 64, None] == cs[None, :]] = -np.inf
-            s, i = best(s, cs, k)
+            s, i = best(x[a : a + 64] @ y.T, cs, k)
             out_s.append(s)
             out_i.append(i)
         near, sims = lists(np.concatenate(out_s), np.concatenate(out_i))
@@ -135,10 +136,34 @@ def meet(members: DataFrame, asked: DataFrame, vectors: DataFrame, k: int, own:
     return members.select(F.col("b").alias("block"), F.col("node").alias("node"), F.col("v").alias("v")).groupBy("block").cogroup(candidates.groupBy("asker")).applyInArrow(run, GRAPH)
 
 
-def descend(graph: DataFrame, was: DataFrame | None, homes: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
-    """One round: the ``width`` nearest neighbours of the ``width`` nearest neighbours, either way, meet; each node keeps the best k of these and its own.
+def met_at(rows: DataFrame) -> DataFrame:
+    """What the members (via, c, fresh, least, v) of each ``via`` find in each other: pairs of which one is fresh and that reach the first's ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, "via"):
+            via, ids, fresh, least = (t.column(c).to_numpy() for c in ("via", "c", "fresh", "least"))
+            x = matrix(t.column("v"))
+            start = np.flatnonzero(np.r_[True, via[1:] != via[:-1]])
+            size = np.diff(np.r_[start, len(via)])
+            for a in range(0, len(start), 256):  # groups side by side, filled up to the largest of them
+                places = np.arange(size[a : a + 256].max())
+                there = places < size[a : a + 256, None]
+                at = np.where(there, start[a : a + 256, None] + places, 0)
+                s = x[at] @ x[at].transpose(0, 2, 1)
+                c, new = ids[at], fresh[at]
+                ok = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]) & (c[:, :, None] != c[:, None, :]) & (s >= least[at][:, :, None])
+                found = ok.any(2)
+                near, sims = lists(np.where(ok, s, -np.inf)[found], np.broadcast_to(c[:, None, :], s.shape)[found])
+                yield pa.RecordBatch.from_arrays([pa.array(c[found]), near, sims], ["node", "near", "sims"])
+
+    return rows.repartition("via").sortWithinPartitions("via").mapInArrow(run, GRAPH)
+
+
+def descend(graph: DataFrame, was: DataFrame | None, vectors: DataFrame, k: int, width: int) -> DataFrame:
+    """One round: around each node its ``width`` nearest neighbours and at most twice as many of those that have it as one meet; each node keeps the best k of these and its own.
 
-    A way of two old neighbours has been gone before, so only ways with a neighbour that the last graph ``was`` without are gone.
+    Two old neighbours have met before, so only pairs with a neighbour that the last graph ``was`` without meet. A node's vector
+    travels once to each node around which it meets others: at most 3 * ``width`` times a round, whatever the number of nodes.
     """
     now = graph.select("node", F.slice("near", 1, width).alias("near"))
     if was is not None:
@@ -149,10 +174,12 @@ def descend(graph: DataFrame, was: DataFrame | None, homes: DataFrame, vectors:
     edges = cut(now)
     drawn = Window.partitionBy("to").orderBy(F.xxhash64("node", "to"), "node")
     back = edges.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= 2 * width).select("to", "node", "fresh")
-    both = edges.union(back).groupBy("node", "to").agg(F.max("fresh").alias("fresh"))
-    of = both.join(homes.select("node", "b"), "node").groupBy("b", F.col("to").alias("via")).agg(F.max("fresh").alias("new"))
-    asked = of.join(edges.withColumnRenamed("node", "via"), "via").where(F.col("new") | F.col("fresh")).select("b", F.col("to").alias("c")).distinct()
-    return merged(meet(homes, asked, vectors, k, False).union(graph), k)
+    both = edges.union(back).groupBy(F.col("node").alias("via"), F.col("to").alias("c")).agg(F.max("fresh").alias("fresh"))
+    members = both.join(both.where("fresh").select("via").distinct(), "via", "left_semi")
+    # a full list takes nothing that is farther than its last
+    least = graph.select(F.col("node").alias("c"), F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(float("-inf")).alias("least"))
+    about = vectors.select(F.col("node").alias("c"), "v").join(least, "c", "left").select("c", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    return merged(met_at(members.join(about, "c").select("via", "c", "fresh", "least", "v")).union(graph), k)
 
 
 def changed(old: DataFrame, new: DataFrame) -> float:
@@ -179,7 +206,7 @@ def search(graph: DataFrame, queries: DataFrame, vectors: DataFrame, beam: int,
             break
         via = frontier.join(queries.select("node", "b"), "node").select("b", F.explode("now").alias("via")).distinct()
         asked = via.join(graph.select(F.col("node").alias("via"), "near"), "via").select("b", F.explode("near").alias("c")).distinct()
-        met = merged(meet(queries, asked, vectors, beam, True).union(frontier.select("node", "near", "sims")), beam)
+        met = merged(meet(queries, asked, vectors, beam).union(frontier.select("node", "near", "sims")), beam)
         state = cut(met.join(frontier.select("node", "done"), "node"))
     return state.select("node", "near", "sims")
 
@@ -206,7 +233,7 @@ def nearest(vectors: DataFrame, k: int = 20, degree: int = 24, block: int = 512,
     graph = cut(first_graph(blocked, degree))
     was = None
     while True:
-        better = cut(descend(graph, was, homes, nodes, degree, width))
+        better = cut(descend(graph, was, nodes, degree, width))
         moved, was, graph = changed(graph, better), graph, better
         if moved <= settled:
             break

@@ -240,6 +240,26 @@ def test_neighbours_in_divided_blocks(spark, monkeypatch):
     assert hit >= 0.9 * 5 * 30
 
 
+def test_rows_that_meet_are_in_proportion_to_the_vectors(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    met, plain = [], neighbours.met_at
+    monkeypatch.setattr(neighbours, "met_at", lambda rows: (met.append(rows.count()), plain(rows))[1])
+    for n in (200, 1000):
+        x = r.normal(size=(n, 8))
+        x[0] *= 50  # near to very many
+        table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<float>")
+        assert neighbours.nearest(table, k=5, degree=12, block=50, width=4).count() == n // 20 * 5
+        assert met and max(met) <= 3 * 4 * n
+        met.clear()
+
+
+def test_what_meets_at_a_node(spark):
+    rows = [(1, 10, True, -math.inf, [1.0, 0.0]), (1, 11, False, 0.5, [1.0, 1.0]), (1, 12, False, -math.inf, [0.0, 1.0]), (2, 10, False, -math.inf, [1.0, 0.0]), (2, 12, True, 0.5, [0.0, 1.0])]
+    got = neighbours.met_at(spark.createDataFrame(rows, "via long, c long, fresh boolean, least double, v array<float>")).collect()
+    # 11 and 12 are old to each other; 12 takes nothing below 0.5 at node 2
+    assert sorted((g.node, sorted(zip(g.near, g.sims, strict=True))) for g in got) == [(10, [(11, 1.0), (12, 0.0)]), (10, [(12, 0.0)]), (11, [(10, 1.0)]), (12, [(10, 0.0)])]
+
+
 def test_classifiers(spark):
     good = ["the house by the river was old and quiet in the evening " * 6 + f"number {i}" for i in range(60)]
     bad = [f"buy$$$ now%%% cheap*** {i} " * 20 for i in range(60)]
