@@ -118,21 +118,22 @@ def names_and_summaries(rows: DataFrame, heads: DataFrame, most_aliases: int = 1
     return told.join(names, "node", "left").select("node", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "summary")
 
 
-def accumulated(rows: DataFrame, heads: DataFrame, most_evidence: int = 30, most_aliases: int = 12) -> DataFrame:
+def accumulated(rows: DataFrame, heads: DataFrame, most_evidence: int = 30, most_aliases: int = 12, by_node: bool = False) -> DataFrame:
     """Nodes from all that was filed under them, in the order of ``ord`` (below zero: what the node was before).
 
     rows: node, ord, sources, names, summary, confidence, evidence (source, quote, confidence), stability, inference_level, applies_to,
     agent_instruction, last_seen; heads: node, label. The highest confidence, distinct sources, names with another slug than the label's,
     evidence by confidence (a quote of a source as it came first, no surer than its item), the strongest stability and inference, eight scopes,
     the first instruction, last_seen of the last row that has one, and summaries folded in order up to 900 characters (of the first thousand
-    different ones: more cannot meet in a row).
+    different ones: more cannot meet in a row). by_node: quotes and sources seldom repeat, so they travel once, to their node, repeats included.
     """
     known = names_and_summaries(rows, heads, most_aliases)
     g = rows.groupBy("node").agg(F.max("confidence").alias("confidence"), strongest_of(T.STABILITY, "stability"), strongest_of(T.INFERENCE, "inference_level"), F.max_by("last_seen", F.when(F.col("last_seen").isNotNull(), F.col("ord"))).alias("last_seen"), F.min_by("agent_instruction", F.when(F.col("agent_instruction") != "", F.col("ord"))).alias("agent_instruction"))
-    s = rows.select("node", F.explode("sources").alias("s")).groupBy("node").agg(F.count_distinct("s").alias("n_sources"))
+    to_node = (lambda x: x.repartition("node")) if by_node else (lambda x: x)
+    s = to_node(rows.select("node", F.explode("sources").alias("s"))).groupBy("node").agg(F.count_distinct("s").alias("n_sources"))
     e = F.col("e")
     quotes = rows.select("node", "ord", "confidence", F.posexplode("evidence").alias("pos", "e")).withColumn("e", F.struct(e["source"].alias("source"), e["quote"].alias("quote"), F.least(e["confidence"], F.col("confidence")).alias("confidence")))
-    quotes = quotes.groupBy("node", e["source"].alias("source"), e["quote"].alias("quote")).agg(F.min(F.struct("ord", "pos", e["confidence"].alias("confidence"))).alias("m")).select("node", "m.ord", "m.pos", F.struct("source", "quote", "m.confidence").alias("e"))
+    quotes = to_node(quotes).groupBy("node", e["source"].alias("source"), e["quote"].alias("quote")).agg(F.min(F.struct("ord", "pos", e["confidence"].alias("confidence"))).alias("m")).select("node", "m.ord", "m.pos", F.struct("source", "quote", "m.confidence").alias("e"))
     quotes = in_order(ranked(quotes, ["node"], [F.desc("e.confidence"), F.col("ord"), F.col("pos")], most_evidence), ["node"], "e", "evidence")
     scope = rows.select("node", "ord", F.posexplode("applies_to").alias("pos", "x")).where("x <> ''").groupBy("node", "x").agg(F.min(F.struct("ord", "pos")).alias("o"))
     scope = in_order(ranked(scope, ["node"], [F.col("o")], 8), ["node"], "x", "applies_to")

@@ -48,3 +48,24 @@ def test_an_unfinished_version_is_not_seen(spark, tmp_path):
     assert state.version() == 1 and state.nodes().count() == 2
     assert state.rebuild(spark.createDataFrame([*rows, row("s3", "a", 3)], ROW)).nodes.count() == 2
     assert state.version() == 2
+
+
+def test_rows_of_changed_sources_by_bits(spark, tmp_path):
+    rows = [row(f"s{k}", f"n{k % 6}", k) for k in range(40)]
+    rows[7] = (*rows[7][:4], ["s7", "s8"], *rows[7][5:])  # names another source
+    rows[8] = (*rows[8][:8], [(None, "q", None)], *rows[8][9:])
+    for most in (4, 30):  # changed sources are the fewer, and the more
+        state = NodeState(spark, str(tmp_path / f"few{most}"), buckets=4, few=0)
+        first = state.rebuild(spark.createDataFrame(rows, ROW))
+        assert told(first.nodes) == full(spark.createDataFrame(rows, ROW))
+        later = [row(r[0], "n2", k + 100) if k < most else r for k, r in enumerate(rows)][1:]
+        again = state.rebuild(spark.createDataFrame(later, ROW))
+        assert again.changed_sources == most and told(again.nodes) == full(spark.createDataFrame(later, ROW))
+
+
+def test_no_source_is_written_twice(spark, tmp_path):
+    rows = spark.createDataFrame([row(f"s{k}", f"n{k % 3}", k) for k in range(9)], ROW)
+    NodeState(spark, str(tmp_path / "s"), buckets=2).rebuild(rows)
+    assert not (tmp_path / "s" / "links").exists()
+    members = spark.read.parquet(str(tmp_path / "s" / "members" / "v=1"))
+    assert members.where("own AND sources IS NULL AND evidence[0].source IS NULL AND evidence[0].quote IS NOT NULL").count() == 9
