@@ -35,16 +35,20 @@ def text_of(docs: DataFrame, *extra: str | Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *extra)
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that turn one batch into one batch."""
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` for functions that turn one batch into one batch; ``after`` is called at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                for k in range(0, b.num_rows, 512):  # long texts: few at a time
-                    out = f(b.slice(k, 512))
-                    if out is not None:
-                        yield out
+        try:
+            for b in batches:
+                if b.num_rows:
+                    for k in range(0, b.num_rows, 512):  # long texts: few at a time
+                        out = f(b.slice(k, 512))
+                        if out is not None:
+                            yield out
+        finally:
+            if after:
+                after()
 
     return df.mapInArrow(run, schema)
 
@@ -59,7 +63,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i modulo 2**64, for i up to n."""
     if len(_POWERS[0]) <= n:
         for k, b in enumerate((BASE, INVERSE)):
-            steps = np.full(2 * n, b, np.uint64)
+            steps = np.full(n + n // 8 + 64, b, np.uint64)  # a worker keeps them
             steps[0] = 1
             _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS[0], _POWERS[1]

@@ -213,7 +213,7 @@ def dealt_lines(texts: DataFrame, ranks: np.ndarray, ranges: int, similarity: fl
                 at = np.searchsorted(piece[4], number, "right") - 1
                 nul, doc, th, first, start = (x[at] for x in piece)
                 places, of = prefixes((w >> HALF).astype(np.uint32), n, ranks, similarity, min_words)
-                held.append(((h, nul, doc, th, first + number - start), n, sketched(w, n), (w[places] >> HALF).astype(np.uint32), places - (np.cumsum(n) - n)[of], of))
+                held.append(((h, nul, doc, th, first + number - start), n, sketched(w, n), (w[places] >> HALF).astype(np.uint32), (places - (np.cumsum(n) - n)[of]).astype(np.uint32), of.astype(np.uint32)))
                 size += len(of) + len(n)
             if size >= most:
                 yield flush(held)
@@ -234,7 +234,7 @@ def dealt_lines(texts: DataFrame, ranks: np.ndarray, ranges: int, similarity: fl
             out.append((2, int(h[rest[0]] % np.uint64(ranges)), packed(*[x[rest] for x in rows], layout=OCCURRENCE), b"", b""))
         sizes = [len(x[1]) for x in held]
         shift = np.cumsum([0, *sizes[:-1]])
-        key, place, of = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]), np.concatenate([x[5] + d for x, d in zip(held, shift.tolist(), strict=True)])
+        key, place, of = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]), np.concatenate([x[5] + np.uint32(d) for x, d in zip(held, shift.tolist(), strict=True)])
         flat, k = np.concatenate([x[2] for x in held]), sketch_words(n)
         begin = np.cumsum(k) - k
         keep = np.flatnonzero(mine[of])

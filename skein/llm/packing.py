@@ -141,7 +141,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    return by_batch(text_of(docs), cut, PIECES + (", ids binary" if keep_ids else ""))
+    # workers live on after a task, beside those of other steps: the table of words goes, the tokenizer stays
+    return by_batch(text_of(docs), cut, PIECES + (", ids binary" if keep_ids else ""), after=lambda: coder(tokenizer).clear())
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

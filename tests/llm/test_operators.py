@@ -356,6 +356,19 @@ def test_lines_find_what_brute_force_finds(spark, shortest, longest):
     assert got == want and len(want) > 20
 
 
+def test_packing_leaves_no_table_of_words_in_a_worker(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from skein.llm.queries import TOKENIZER
+
+    path = public_tokenizers.path(TOKENIZER)
+    cut = packing.pieces(frame(spark, [f"plain words {i}" for i in range(50)]).coalesce(1), path)
+    assert cut.count() == 50
+    left = spark.range(8, numPartitions=8).mapInArrow(lambda it: (b.append_column("left", [len(packing.coder(path))] * b.num_rows) for b in it), "id long, left long")
+    assert left.agg(F.max("left")).first()[0] == 0
+
+
 def test_edits_are_levenshtein():
     r = random.Random(2)
     for _ in range(500):
