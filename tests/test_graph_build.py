@@ -9,7 +9,7 @@ from skein.operators.common import coded, cut, once_each
 from skein.operators.graph import cooccurrence
 from skein.operators.review import compacted, same_items
 from skein.operators.seeds import survivors
-from skein.plans.graph_build import build_graph
+from skein.plans.graph_build import build_graph, completed, source_classes
 
 ITEM = "source string, title string, type string, ord long, label string, summary string, confidence double, evidence array<struct<quote:string,confidence:double>>, stability string, inference_level string, applies_to array<string>, agent_instruction string, last_seen string"
 
@@ -159,6 +159,26 @@ def test_a_number_stands_for_repeated_columns(spark):
         assert sorted(map(str, back(narrow.repartition(3, "k")).select("k", "a", "q").collect())) == sorted(map(str, df.collect()))
 
 
+def test_labels_are_read_once_and_rows_keep_what_they_are_judged_by(spark):
+    df = rows(spark, "k int, a string, q array<string>", (1, "x", ["b"]), (2, "x", ["b"]), (3, None, None), (4, None, None), (5, "yy", [])).withColumn("more", F.col("k") * 2)
+    told = lambda d: d.withColumns({"a": F.upper("a"), "was": F.col("a"), "n": F.coalesce(F.length("a"), F.lit(-1))}).drop("q")
+    out = []
+    for most in (100, 0):
+        narrow, back = coded(df, ["a", "q"], most, told, ["n"])
+        assert {"k", "more", "n"} <= set(narrow.columns) and ("was" in narrow.columns) == (most == 0)
+        out.append(sorted(map(str, back(narrow.where("n <> 2").repartition(3, "k")).select("k", "more", "n", "a", "was").collect())))
+    assert out[0] == out[1] and len(out[0]) == 4
+
+
+def test_a_sources_facts_are_gathered_in_one_number(spark):
+    items = spark.createDataFrame(ROWS, ITEM)
+    plan = source_classes(completed(items))._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or(facts" in plan and "max(p0" not in plan
+    clusters = completed(items).withColumn("cluster", F.col("ord") % 3)
+    told = lambda d: sorted(map(str, d.collect()))
+    assert told(B.review_items(clusters, clusters.select("cluster", "source").distinct())) == told(B.review_items(clusters))
+
+
 def test_pairs_of_few_nodes_are_the_same_by_either_way(spark):
     links = rows(spark, "s int, n string, kind string, c double", *[(s, f"n{(s * 7 + j * j) % 9}", "ab"[(s * 7 + j * j) % 9 % 2], (s * 7 + j * j) % 9 / 10) for s in range(60) for j in range(3)]).distinct()
     plain, few = cooccurrence(links, "s", "n", "kind", ["c"], 2), cooccurrence(links, "s", "n", "kind", ["c"], 2, 180, 9)
